@@ -2,6 +2,8 @@
 
 from cohortlake.plans import (  # noqa: F401 - imported for registration
     curated_queries,
+    evaluation_queries,
+    source_queries,
 )
 from cohortlake.plans.registry import CATALOGUE
 

@@ -39,7 +39,7 @@ def _(t):
 
 
 _OVERLAP_SQL = check("""
-    , l AS (SELECT assigned_hospital AS hospital, subject_id, data_split FROM site_stays)
+    WITH l AS (SELECT assigned_hospital AS hospital, subject_id, data_split FROM site_stays)
     SELECT hospital,
       count(DISTINCT subject_id) FILTER (data_split = 'train') AS train_patients,
       count(DISTINCT subject_id) FILTER (data_split = 'validation') AS val_patients,
@@ -50,7 +50,7 @@ _OVERLAP_SQL = check("""
         WHERE a.hospital = l.hospital AND a.data_split = 'train' AND b.data_split = 'test') AS train_test_overlap,
       (SELECT count(DISTINCT a.subject_id) FROM l a JOIN l b USING (hospital, subject_id)
         WHERE a.hospital = l.hospital AND a.data_split = 'validation' AND b.data_split = 'test') AS val_test_overlap
-    FROM l GROUP BY hospital""").replace("\n\n    , l AS", ",\n l AS")
+    FROM l GROUP BY hospital""")
 query("j06_split_overlap", _OVERLAP_SQL)(lambda t: verification.split_overlap(t.site_stays))
 
 
