@@ -1,6 +1,7 @@
 """Every registered query."""
 
 from cohortlake.plans import (  # noqa: F401 - imported for registration
+    cohort_queries,
     curated_queries,
     evaluation_queries,
     source_queries,
