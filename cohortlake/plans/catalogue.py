@@ -4,6 +4,7 @@ from cohortlake.plans import (  # noqa: F401 - imported for registration
     cohort_queries,
     curated_queries,
     evaluation_queries,
+    quality_queries,
     source_queries,
 )
 from cohortlake.plans.registry import CATALOGUE
