@@ -4,6 +4,9 @@ from cohortlake.plans import (  # noqa: F401 - imported for registration
     cohort_queries,
     curated_queries,
     evaluation_queries,
+    model_queries,
+    privacy_queries,
+    projection_queries,
     quality_queries,
     source_queries,
 )

@@ -204,7 +204,7 @@ TABLES: dict[str, str] = {
       r / CAST(n AS DOUBLE) AS val_auc, o / CAST(n AS DOUBLE) AS recall,
       (n - r) / CAST(n AS DOUBLE) AS accuracy FROM runs_0""",
     "site_weights": """SELECT CAST(CAST(floor(vec_id / 3) AS BIGINT) % 4 AS INT) AS round, vec_id AS client_id,
-      10 + vec_id % 90 AS n_examples, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS weights FROM embeddings""",
+      10 + vec_id % 90 AS n_examples, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS weights FROM embeddings""",
 }
 
 

@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlake.functions import vocabulary as V
-from cohortlake.functions.scalars import hash_unit
 from cohortlake.operators import curated
 
 # fixed values: units and codes that movements cycle through
@@ -52,6 +51,56 @@ def _site(key: Column, even: int) -> Column:
     return pick(V.SITES, key + even)
 
 
+def shape_predictions(orders: DataFrame) -> DataFrame:
+    """One scored admission per order, with site, split and sensitive columns."""
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    died = (F.col("o_orderstatus") == "F").cast("int")
+    noise = (key * 31 + who * 17) % 1000
+    scored = orders.select(
+        key.alias("row_id"),
+        who.alias("subject_id"),
+        F.col("o_orderdate").alias("scored_at"),
+        died.alias("y_true"),
+        ((noise * 6 + died * 3000 + 500) / F.lit(10000.0)).alias("score"),
+        F.when(who % 3 == 0, "F").otherwise("M").alias("gender"),
+        (F.lit(18) + (who * 7) % 74).cast("int").alias("age"),
+        pick(V.INSURANCES, who + key % 2).alias("insurance"),
+        F.when(who % 11 != 0, pick(ETHNICITIES, who * 3)).alias("race"),
+    )
+    return curated.assign_site_and_split(scored).withColumnRenamed("assigned_hospital", "site")
+
+
+def shape_access_events(events: DataFrame) -> DataFrame:
+    """Log-worthy actions, one per event; works on batch and streaming frames."""
+    key, who = F.col("event_id"), F.col("user_id")
+    return events.select(
+        F.format_string("evt_%d", key).alias("event_id"),
+        F.col("ts").cast("timestamp").alias("event_timestamp"),
+        F.concat(F.lit("user_"), who.cast("string")).alias("user_id"),
+        F.when(who % 5 != 0, pick(["clinician", "nurse"], who)).alias("user_role"),
+        pick(ACTIONS, key).alias("kind"),
+        _site(who, 0).alias("hospital_id"),
+        _site(who, 1).alias("target_hospital"),
+        (F.lit(18) + (who * 7) % 74).cast("int").alias("age"),
+        ((key * 7 % 101) / F.lit(100.0)).alias("risk_score"),
+        F.when(key % 4 != 0, F.col("event_type")).alias("query_type"),
+        F.col("event_type").alias("reason"),
+        pick(V.ADMISSION_TYPES, key).alias("admission_type"),
+        F.when(key % 3 != 0, pick(V.ICU_TYPES, key)).alias("icu_type"),
+        (key % 4).cast("int").alias("early_icu_score"),
+    )
+
+
+def shape_transfer_updates(events: DataFrame) -> DataFrame:
+    """Status records of transfers: the event type is the status, the user the transfer."""
+    return events.select(
+        F.format_string("xfer_%d", F.col("user_id")).alias("transfer_id"),
+        F.col("ts").cast("timestamp").alias("updated_at"),
+        F.col("event_type").alias("status"),
+        F.col("event_id").alias("sequence"),
+    )
+
+
 class Tables:
     """Lazy access to the given tables and the role tables derived from them."""
 
@@ -211,22 +260,7 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """One scored admission per order, with site, split and sensitive columns."""
-        key, who = F.col("o_orderkey"), F.col("o_custkey")
-        died = (F.col("o_orderstatus") == "F").cast("int")
-        noise = (key * 31 + who * 17) % 1000
-        scored = self.raw("orders").select(
-            key.alias("row_id"),
-            who.alias("subject_id"),
-            F.col("o_orderdate").alias("scored_at"),
-            died.alias("y_true"),
-            ((noise * 6 + died * 3000 + 500) / F.lit(10000.0)).alias("score"),
-            F.when(who % 3 == 0, "F").otherwise("M").alias("gender"),
-            (F.lit(18) + (who * 7) % 74).cast("int").alias("age"),
-            pick(V.INSURANCES, who + key % 2).alias("insurance"),
-            F.when(who % 11 != 0, pick(ETHNICITIES, who * 3)).alias("race"),
-        )
-        return curated.assign_site_and_split(scored).withColumnRenamed("assigned_hospital", "site")
+        return shape_predictions(self.raw("orders"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -234,24 +268,7 @@ class Tables:
 
     @cached_property
     def access_events(self) -> DataFrame:
-        """Log-worthy actions, one per event."""
-        key, who = F.col("event_id"), F.col("user_id")
-        return self.events.select(
-            F.format_string("evt_%d", key).alias("event_id"),
-            F.col("ts").cast("timestamp").alias("event_timestamp"),
-            F.concat(F.lit("user_"), who.cast("string")).alias("user_id"),
-            F.when(who % 5 != 0, pick(["clinician", "nurse"], who)).alias("user_role"),
-            pick(ACTIONS, key).alias("kind"),
-            _site(who, 0).alias("hospital_id"),
-            _site(who, 1).alias("target_hospital"),
-            (F.lit(18) + (who * 7) % 74).cast("int").alias("age"),
-            ((key * 7 % 101) / F.lit(100.0)).alias("risk_score"),
-            F.when(key % 4 != 0, F.col("event_type")).alias("query_type"),
-            F.col("event_type").alias("reason"),
-            pick(V.ADMISSION_TYPES, key).alias("admission_type"),
-            F.when(key % 3 != 0, pick(V.ICU_TYPES, key)).alias("icu_type"),
-            (key % 4).cast("int").alias("early_icu_score"),
-        )
+        return shape_access_events(self.events)
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -305,6 +322,3 @@ class Tables:
             (F.lit(10) + key % 90).alias("n_examples"),
             F.transform("embedding", lambda x: x.cast("double")).alias("weights"),
         )
-
-    def unit_of(self, key: Column, salt: str) -> Column:
-        return hash_unit(key, salt)

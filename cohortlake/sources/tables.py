@@ -188,3 +188,9 @@ def table_size(spark: SparkSession, path: str, name: str) -> DataFrame:
         "size_bytes",
         F.round(F.col("size_bytes") / 1048576, 2).alias("size_mb"),
     )
+
+
+def append_and_read(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Append rows and read the table back."""
+    append_table(df, path, by)
+    return df.sparkSession.read.parquet(path)
