@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from cohortlake.functions import clinical as C, generalise as G, vocabulary as V
 from cohortlake.sources import schemas
-from cohortlake.sources.tables import append_table
+from cohortlake.sources.tables import append_table, spread
 
 CATEGORY_PREFIX = {
     "prediction": "pred",
@@ -117,9 +117,10 @@ def with_event_date(records: DataFrame) -> DataFrame:
     return records.withColumn("event_date", F.to_date("event_timestamp"))
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Append to the day-partitioned log."""
-    append_table(with_event_date(records), path, by=("event_date",))
+def append_records(records: DataFrame, path: str, files_per_day: int = 1) -> None:
+    """Append to the day-partitioned log (S15, S16); a busy day is written by several tasks."""
+    dated = spread(with_event_date(records), ["event_date"], "log_id", files_per_day)
+    append_table(dated, path, by=("event_date",))
 
 
 def log_schema() -> T.StructType:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions import clinical as C, generalise as G, terms, vocabulary as V
 from cohortlake.functions.scalars import safe_ratio
+from cohortlake.operators.joins import join_small, null_safe
 
 
 def all_of(*tests: Column | None) -> Column:
@@ -205,7 +206,7 @@ def network_cohorts(requests: DataFrame, stays: DataFrame) -> DataFrame:
     parameters = ["requesting_hospital", "age_bucket", "admission_text", "early_icu_score", "icu_text"]
     bounds = G.age_bounds(F.col("age_bucket"))
     icu = terms.network_icu_type(F.col("icu_text"))["values"]
-    asked = requests.select(*parameters).distinct().withColumn("_q", F.xxhash64(*parameters))
+    asked = requests.select(*parameters).distinct()
     shaped = asked.select(
         *parameters,
         bounds["low"].alias("_low"),
@@ -214,7 +215,7 @@ def network_cohorts(requests: DataFrame, stays: DataFrame) -> DataFrame:
         F.explode(terms.network_admission_type(F.col("admission_text"))["values"]).alias("admission_type"),
     )
     cells = cohort_cells(stays)
-    hits = shaped.join(cells, ["admission_type", "early_icu_score"]).filter(
+    hits = join_small(shaped, cells, ["admission_type", "early_icu_score"]).filter(
         F.col("age_at_admission").between(F.col("_low"), F.col("_high"))
         & F.array_contains(F.col("_icu"), F.col("icu_type"))
         & (F.col("assigned_hospital") != F.col("requesting_hospital"))
@@ -229,9 +230,8 @@ def network_cohorts(requests: DataFrame, stays: DataFrame) -> DataFrame:
         F.filter(F.array(*[F.lit(s) for s in V.SITES]), lambda s: s != F.col("requesting_hospital"))
     )
     expected = asked.select(*parameters, peers.alias("hospital"))
-    same = lambda name: F.col(f"e.{name}").eqNullSafe(F.col(f"a.{name}"))
     joined = expected.alias("e").join(
-        answers.alias("a"), all_of(*[same(n) for n in [*parameters, "hospital"]]), "left"
+        answers.alias("a"), null_safe("e", "a", [*parameters, "hospital"]), "left"
     )
     return joined.select(
         *[F.col(f"e.{n}") for n in [*parameters, "hospital"]],

@@ -138,9 +138,10 @@ def stay_frame(
     counts = transfer_counts(transfers)
     hours = T.whole_units("HOUR", F.col("admittime"), F.col("icu_intime"))
     return (
+        # both joins on hadm_id first: they share one shuffle of the stays
         stays.join(adm, "hadm_id")
-        .join(who, "subject_id")
         .join(counts, "hadm_id", "left")
+        .join(who, "subject_id")
         .withColumn("n_icu_transfers", F.coalesce("n_icu_transfers", F.lit(0)))
         .withColumn("n_total_transfers", F.coalesce("n_total_transfers", F.lit(0)))
         .withColumn("ed_admission_flag", C.ed_flag(F.col("admission_location")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions.scalars import safe_ratio
+from cohortlake.operators.joins import join_small
 from cohortlake.operators.runs import sorted_runs
 
 COUNTS = ["tp", "fp", "fn", "tn"]
@@ -79,10 +80,10 @@ def curve(
     points = score_points(df, by, label, score)
     runs = sorted_runs(points, [*by, F.col("threshold").desc()])
     placed = runs.running(by, {"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = placed.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    totals = runs.rows.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     if by:
-        return placed.join(totals, by)
-    total = totals.first()
+        return join_small(placed, totals, by)
+    total = totals.first()  # two numbers
     return placed.withColumn("p", F.lit(total["p"] or 0)).withColumn("n", F.lit(total["n"] or 0))
 
 

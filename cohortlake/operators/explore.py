@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions import temporal as T
+from cohortlake.operators.joins import null_safe
 from cohortlake.operators.runs import exact_quantiles, sorted_runs
 
 
@@ -54,8 +55,7 @@ def group_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.avg(F.col(value).cast("double")).alias("mean"), F.count(value).alias("count")
     )
     medians = exact_quantiles(df, keys, value, {"median": 0.5})
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    joined = basic.alias("b").join(medians.alias("m"), reduce(lambda a, c: a & c, same), "left")
+    joined = basic.alias("b").join(medians.alias("m"), null_safe("b", "m", keys), "left")
     return joined.select(*[F.col(f"b.{k}") for k in keys], "mean", "median", "count")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions import clinical as C, temporal as T
 from cohortlake.functions.scalars import hash_unit, known
+from cohortlake.operators.joins import join_small
 from cohortlake.operators.runs import exact_quantiles, sorted_runs
 
 # fixed values: what a missing request feature is taken to be
@@ -96,7 +97,7 @@ def fit_numeric(
     packed = medians.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "median"))).alias("_m")
     )
-    rows = numeric.join(packed, keys, "left") if keys else numeric.withColumn("_m", packed.select("_m").scalar())
+    rows = join_small(numeric, packed, keys, "left") if keys else numeric.withColumn("_m", packed.select("_m").scalar())
     filled = rows.withColumns({c: F.coalesce(F.col(c), F.try_element_at("_m", F.lit(c))) for c in columns})
     wide = filled.groupBy(*keys).agg(
         F.any_value("_m").alias("_m"),
@@ -131,7 +132,7 @@ def scale(
     keys, columns = list(keys), list(columns)
     packed = _parameter_map(params, keys)
     if keys:
-        rows = df.join(packed, keys, "left")
+        rows = join_small(df, packed, keys, "left")
     else:
         rows = df.withColumn("_params", packed.scalar())
     rows = coerce_numeric(rows, columns)
@@ -185,7 +186,9 @@ def encode(
             *keys, F.col("value").alias(f"_v_{name}"), F.col("code").alias(f"_c_{name}")
         )
         value = known(F.col(name)) if missing == "Unknown" else F.col(name).cast("string")
-        rows = rows.withColumn(f"_v_{name}", value).join(codes, [*keys, f"_v_{name}"], "left")
+        rows = join_small(
+            rows.withColumn(f"_v_{name}", value), codes, [*keys, f"_v_{name}"], "left"
+        )
         rows = rows.withColumn(name, F.coalesce(f"_c_{name}", F.lit(-1))).drop(f"_v_{name}", f"_c_{name}")
     return rows
 
@@ -203,7 +206,8 @@ def stratified_split(
     totals = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     position = (F.col("_rn") - 1) / F.col("_n").cast("double")
     train, validation, _ = shares
-    return ranked.join(totals, label).withColumn(
+    # one row per class
+    return join_small(ranked, totals, label).withColumn(
         "split",
         F.when(position < train, "train")
         .when(position < train + validation, "validation")

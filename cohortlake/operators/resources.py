@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlake.functions import capacity as P, terms
 from cohortlake.functions.scalars import flag_map, lenient_list
+from cohortlake.operators.joins import join_small
 from cohortlake.operators.runs import sorted_runs
 
 
@@ -70,7 +71,7 @@ def best_targets(requests: DataFrame, resources: DataFrame) -> DataFrame:
     )
     best = first.join(second, "capability", "left")
     own = F.col("first.hospital_id") == F.col("requesting_hospital")
-    return requests.join(best, "capability", "left").withColumn(
+    return join_small(requests, best, "capability", "left").withColumn(
         "target", F.when(own, F.col("second.hospital_id")).otherwise(F.col("first.hospital_id"))
     ).drop("first", "second")
 
@@ -86,7 +87,7 @@ def transfer_decisions(requests: DataFrame, resources: DataFrame) -> DataFrame:
     target, beds = F.col("target_hospital"), F.col("_beds")
     known, free = F.col("target_tier").isNotNull(), F.coalesce(F.col("_beds"), F.lit(0)) > 0
     confirmed = known & free
-    return requests.join(hospitals, "target_hospital", "left").select(
+    return join_small(requests, hospitals, "target_hospital", "left").select(
         "request_id",
         "target_hospital",
         F.when(confirmed, "CONFIRMED").otherwise("FAILED").alias("status"),
@@ -117,7 +118,7 @@ def allocate_beds(requests: DataFrame, resources: DataFrame) -> DataFrame:
         "icu_beds_occupied",
     )
     given = F.col("position") <= F.coalesce(F.col("icu_beds_available"), F.lit(0))
-    return placed.join(beds, "target_hospital", "left").select(
+    return join_small(placed, beds, "target_hospital", "left").select(
         "request_id",
         "target_hospital",
         "position",

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlake.operators.joins import join_small, null_safe
 from cohortlake.session import ensure_checkpointing
 
 RUN, POS, ROW = "_run", "_pos", "_row"
@@ -154,17 +155,15 @@ def exact_quantiles(
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = sorted_runs(counted, [*keys, "_v"]).running(keys, {"_cum": F.col("_n")})
-    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    runs = sorted_runs(counted, [*keys, "_v"])
+    placed = runs.running(keys, {"_cum": F.col("_n")})
+    totals = runs.rows.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if keys:
-        condition = F.lit(True)
-        for k in keys:
-            totals = totals.withColumnRenamed(k, f"_t_{k}")
-        for k in keys:
-            condition = condition & _same(F.col(k), F.col(f"_t_{k}"))
-        placed = placed.join(totals, condition)
+        placed = join_small(placed.alias("p"), totals.alias("t"), null_safe("p", "t", keys)).select(
+            "p.*", "t._total"
+        )
     else:
-        total = totals.first()["_total"] or 0
+        total = totals.first()["_total"] or 0  # one number
         placed = placed.withColumn("_total", F.lit(total).cast("bigint"))
     aggs = []
     for name, p in probabilities.items():

@@ -51,9 +51,14 @@ def build_layers(sources: Mapping[str, DataFrame]) -> dict[str, dict[str, DataFr
 
 
 def write_layers(
-    spark: SparkSession, sources: Mapping[str, DataFrame], folder: str, prefix: str = ""
+    spark: SparkSession, sources: Mapping[str, DataFrame], folder: str, prefix: str = "",
+    files_per_partition: int = 1,
 ) -> dict[str, dict[str, DataFrame]]:
-    """Build and store every table in order; later tables read the stored earlier ones."""
+    """Build and store every table in order; later tables read the stored earlier ones.
+
+    Site and split have nine combinations, so ``files_per_partition`` sets how many tasks
+    write each of them; raise it with the size of the data.
+    """
     names = {layer: f"{prefix}{layer}" for layer in BUILDERS}
     S.ensure_layers(spark, list(names.values()), folder)
     built: dict[str, DataFrame] = dict(sources)
@@ -61,7 +66,10 @@ def write_layers(
     for layer, builders in BUILDERS.items():
         out[layer] = {}
         for name, build in builders.items():
-            writer = build(built).write.mode("overwrite").option("path", f"{folder}/{layer}/{name}")
+            df = build(built)
+            if name in PARTITIONS:
+                df = S.spread(df, PARTITIONS[name], "subject_id", files_per_partition)
+            writer = df.write.mode("overwrite").option("path", f"{folder}/{layer}/{name}")
             if name in PARTITIONS:
                 writer = writer.partitionBy(*PARTITIONS[name])
             writer.saveAsTable(f"`{names[layer]}`.`{name}`")

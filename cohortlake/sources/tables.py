@@ -76,6 +76,11 @@ def percent_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 # ---- sinks --------------------------------------------------------------------
 
 
+def spread(df: DataFrame, by: Sequence[str], key: str, files: int) -> DataFrame:
+    """Rows placed so that each partition value is written by ``files`` tasks."""
+    return df.repartition(*by, F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
+
+
 def write_table(
     df: DataFrame, path: str, by: Sequence[str] = (), key: str | None = None, files: int = 1,
     mode: str = "overwrite",
@@ -86,8 +91,7 @@ def write_table(
     buckets of ``key`` inside each partition instead of one task per partition value.
     """
     if by and key:
-        spread = F.pmod(F.xxhash64(F.col(key)), F.lit(files))
-        df = df.repartition(*by, spread)
+        df = spread(df, by, key, files)
     writer = df.write.mode(mode)
     if by:
         writer = writer.partitionBy(*by)
