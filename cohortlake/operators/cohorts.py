@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlake.functions import clinical as C, generalise as G, terms, vocabulary as V
 from cohortlake.functions.scalars import safe_ratio
 from cohortlake.operators.joins import join_small, null_safe
+from cohortlake.session import materialise
 
 
 def all_of(*tests: Column | None) -> Column:
@@ -205,16 +206,16 @@ def network_cohorts(requests: DataFrame, stays: DataFrame) -> DataFrame:
     """
     parameters = ["requesting_hospital", "age_bucket", "admission_text", "early_icu_score", "icu_text"]
     bounds = G.age_bounds(F.col("age_bucket"))
-    icu = terms.network_icu_type(F.col("icu_text"))["values"]
+    icu = terms.NETWORK_ICU_TYPE.values(F.col("icu_text"))
     asked = requests.select(*parameters).distinct()
     shaped = asked.select(
         *parameters,
         bounds["low"].alias("_low"),
         bounds["high"].alias("_high"),
         icu.alias("_icu"),
-        F.explode(terms.network_admission_type(F.col("admission_text"))["values"]).alias("admission_type"),
+        F.explode(terms.NETWORK_ADMISSION_TYPE.values(F.col("admission_text"))).alias("admission_type"),
     )
-    cells = cohort_cells(stays)
+    cells = materialise(cohort_cells(stays))
     hits = join_small(shaped, cells, ["admission_type", "early_icu_score"]).filter(
         F.col("age_at_admission").between(F.col("_low"), F.col("_high"))
         & F.array_contains(F.col("_icu"), F.col("icu_type"))

@@ -124,13 +124,17 @@ def sorted_runs(df: DataFrame, order: Sequence[str | Column], partitions: int |
     """Sort rows globally into balanced runs; give a complete order, ties included."""
     spark = df.sparkSession
     ensure_checkpointing(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [_col(c) for c in order]
-    placed = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns).checkpoint()
+    if partitions:
+        ranged = df.repartitionByRange(partitions, *columns)
+    else:
+        ranged = df.repartitionByRange(*columns)  # adjacent small ranges may be merged
+    placed = ranged.sortWithinPartitions(*columns).checkpoint(eager=False)
     marked = placed.withColumn("_id", F.monotonically_increasing_id())
     marked = marked.withColumn(RUN, F.shiftright("_id", _ROW_BITS)).withColumn(
         ROW, F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
     )
+    # the first job over the rows also writes the checkpoint
     sizes = {r[RUN]: r["count"] for r in marked.groupBy(RUN).count().collect()}
     starts, total = [], 0
     for run in range(max(sizes, default=0) + 1):

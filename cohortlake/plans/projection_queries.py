@@ -256,9 +256,9 @@ def _(t):
       AND r.location_text IS NOT DISTINCT FROM m.location_text"""))
 def _(t):
     return t.requests.select(
-        "request_id", terms.map_admission_type(F.col("admission_text"))["values"].alias("admission_types"),
-        terms.map_icu_type(F.col("icu_text"))["values"].alias("icu_types"),
-        terms.map_admission_location(F.col("location_text"))["values"].alias("locations"))
+        "request_id", terms.ADMISSION_TYPE.values(F.col("admission_text")).alias("admission_types"),
+        terms.ICU_TYPE.values(F.col("icu_text")).alias("icu_types"),
+        terms.ADMISSION_LOCATION.values(F.col("location_text")).alias("locations"))
 
 
 @query("j14b_network_term_mapping", check(f"""
@@ -279,8 +279,8 @@ def _(t):
       r.admission_text IS NOT DISTINCT FROM m.admission_text AND r.icu_text IS NOT DISTINCT FROM m.icu_text"""))
 def _(t):
     return t.requests.select(
-        "request_id", terms.network_admission_type(F.col("admission_text"))["values"].alias("admission_types"),
-        terms.network_icu_type(F.col("icu_text"))["values"].alias("icu_types"))
+        "request_id", terms.NETWORK_ADMISSION_TYPE.values(F.col("admission_text")).alias("admission_types"),
+        terms.NETWORK_ICU_TYPE.values(F.col("icu_text")).alias("icu_types"))
 
 
 @query("p37_parameter_validation", check(f"""

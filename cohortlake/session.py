@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str, cores: str = "*", memory: str = "8g") -> SparkSession:
@@ -52,3 +52,9 @@ def ensure_checkpointing(spark: SparkSession) -> None:
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """A small intermediate result written to the shared folder, to be read more than once."""
+    ensure_checkpointing(df.sparkSession)
+    return df.checkpoint(eager=False)
