@@ -61,35 +61,41 @@ def parse_iso(text: Column) -> Column:
     return F.try_to_timestamp(F.trim(text))
 
 
-def _keyword_flag(text: Column, yes: list[str], no: list[str], parsed: Column, default: int) -> Column:
+def _keyword_flag(
+    text: Column, yes: list[str], no: list[str], parsed: Column, default: int | Column
+) -> Column:
     upper = F.upper(text)
+    default = default if isinstance(default, Column) else F.lit(default)
     return (
         F.when(upper.rlike("|".join(yes)), 1)
         .when(upper.rlike("|".join(no)), 0)
-        .otherwise(F.coalesce(parsed, F.lit(default)))
+        .otherwise(F.coalesce(parsed, default))
         .cast("int")
     )
 
 
-def weekend_from_text(text: Column, default: int = 0) -> Column:
-    """Weekend flag from a day word or an ISO string, words first."""
+def weekend_from_text(text: Column, default: int | Column | None = None) -> Column:
+    """Weekend flag from a day word or an ISO string, words first.
+
+    Text that is neither takes ``default``; without one, the flag of the current time.
+    """
     return _keyword_flag(
         text,
         ["SATURDAY", "SUNDAY", "WEEKEND"],
         ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "WEEKDAY"],
         weekend_flag(parse_iso(text)),
-        default,
+        weekend_flag(F.current_timestamp()) if default is None else default,
     )
 
 
-def night_from_text(text: Column, default: int = 0) -> Column:
+def night_from_text(text: Column, default: int | Column | None = None) -> Column:
     """Night flag from a word or an ISO string, words first."""
     return _keyword_flag(
         text,
         ["NIGHT", "EVENING", "PM"],
         ["MORNING", "AFTERNOON", "DAY", "AM"],
         night_flag(parse_iso(text)),
-        default,
+        night_flag(F.current_timestamp()) if default is None else default,
     )
 
 

@@ -115,8 +115,8 @@ def _time_texts(t):
         ELSE coalesce(CAST(hour(p) >= 18 OR hour(p) < 6 AS INT), 0) END AS INT) AS night FROM texts""")
 def _(t):
     return _time_texts(t).select(
-        "event_id", "txt", T.weekend_from_text(F.col("txt")).alias("weekend"),
-        T.night_from_text(F.col("txt")).alias("night"))
+        "event_id", "txt", T.weekend_from_text(F.col("txt"), 0).alias("weekend"),
+        T.night_from_text(F.col("txt"), 0).alias("night"))
 
 
 @query("p13_presence_flags", check("""
