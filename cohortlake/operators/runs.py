@@ -34,6 +34,7 @@ class SortedRuns:
     """Rows with ``_run``, ``_row`` (in run) and ``_pos`` (global, from 0)."""
 
     rows: DataFrame
+    present: tuple[int, ...]  # runs that hold rows
 
     def numbered(self, name: str) -> DataFrame:
         """Global row number from 1."""
@@ -104,10 +105,14 @@ class SortedRuns:
         )
         rows = self.rows.withColumn("_taken", taken)
         edge = F.max_by if step == 1 else F.min_by
-        # one row per run: bounded by the number of partitions
+        # the last (first) row of a run goes to the run after (before) it: one row per run
+        receiver = [None] * (max(self.present, default=0) + 1)
+        for before, after in zip(self.present, self.present[1:]):
+            giver, taker = (before, after) if step == 1 else (after, before)
+            receiver[giver] = taker
+        to_run = F.element_at(F.lit(receiver).cast("array<bigint>"), F.col(RUN).cast("int") + 1)
         edges = rows.groupBy(RUN).agg(edge("_taken", POS).alias("_edge"))
-        over_runs = Window.orderBy(RUN)
-        edges = edges.select(RUN, F.lag("_edge", step).over(over_runs).alias("_edge"))
+        edges = edges.select(to_run.alias(RUN), "_edge").filter(F.col(RUN).isNotNull())
         in_run = Window.partitionBy(RUN).orderBy(POS)
         rows = rows.withColumn("_near", F.lag("_taken", step).over(in_run))
         rows = rows.join(F.broadcast(edges), RUN, "left")
@@ -141,7 +146,7 @@ def sorted_runs(df: DataFrame, order: Sequence[str | Column], partitions: int |
         starts.append(total)
         total += sizes.get(run, 0)
     offset = F.element_at(F.lit(starts), F.col(RUN).cast("int") + 1).cast("bigint")
-    return SortedRuns(marked.withColumn(POS, offset + F.col(ROW)).drop("_id"))
+    return SortedRuns(marked.withColumn(POS, offset + F.col(ROW)).drop("_id"), tuple(sorted(sizes)))
 
 
 def exact_quantiles(

@@ -129,7 +129,7 @@ def export_csv(tables: Mapping[str, DataFrame], folder: str) -> None:
             else F.col(f.name)
             for f in df.schema.fields
         ]
-        df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
 
 
 def manifest(run_id: str, tables: Mapping[str, DataFrame], paths: Mapping[str, str]) -> DataFrame:
