@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlake.functions import clinical as C, temporal as T, vocabulary as V
 from cohortlake.functions.scalars import stable_bucket
@@ -70,24 +70,34 @@ def fact_transfers(transfers: DataFrame) -> DataFrame:
     )
 
 
-def icu_groups(transfers: DataFrame) -> DataFrame:
-    """One row per (subject, admission) with its ICU movements.
+def movement_groups(transfers: DataFrame) -> DataFrame:
+    """One row per (subject, admission) with its ICU movements and movement counts.
 
-    The unit set of a group is bounded by the unit vocabulary, and every aggregate
-    combines map-side.
+    One aggregate serves both. The unit set of a group is bounded by the unit vocabulary,
+    and every aggregate combines map-side.
     """
-    icu = transfers.filter(
-        F.col("careunit").isNotNull() & (C.is_icu_unit(F.col("careunit")) == 1)
+    unit, icu = F.col("careunit"), F.col("_icu")
+    # classified once per movement, not once per aggregate
+    rows = transfers.select(
+        "subject_id", "hadm_id", "careunit", "intime", "outtime", "transfer_id",
+        (C.is_icu_unit(unit) == 1).alias("_icu"),
+        (C.care_type(unit) == "ICU").cast("int").alias("_listed"),
     )
-    units = F.collect_set("careunit")
+
+    def at_icu(value: Column) -> Column:
+        return F.when(icu, value)
+
+    first = at_icu(F.struct("intime", "transfer_id", "careunit"))
     return (
-        icu.groupBy("subject_id", "hadm_id")
+        rows.groupBy("subject_id", "hadm_id")
         .agg(
-            F.min("intime").alias("icu_intime"),
-            F.max("outtime").alias("icu_outtime"),
-            F.min("transfer_id").alias("first_icu_transfer_id"),
-            units.alias("_units"),
-            F.min_by("careunit", F.struct("intime", "transfer_id", "careunit")).alias("first_careunit"),
+            F.min(at_icu(F.col("intime"))).alias("icu_intime"),
+            F.max(at_icu(F.col("outtime"))).alias("icu_outtime"),
+            F.min(at_icu(F.col("transfer_id"))).alias("first_icu_transfer_id"),
+            F.collect_set(at_icu(unit)).alias("_units"),
+            F.min(first)["careunit"].alias("first_careunit"),
+            F.sum("_listed").alias("n_icu_transfers"),
+            F.count(F.lit(1)).alias("n_total_transfers"),
         )
         .withColumn("icu_units", F.array_join(F.array_sort("_units"), ","))
         .withColumn("n_distinct_icu_units", F.size("_units").cast("bigint"))
@@ -95,27 +105,52 @@ def icu_groups(transfers: DataFrame) -> DataFrame:
     )
 
 
+def icu_groups(transfers: DataFrame) -> DataFrame:
+    """The groups with at least one ICU movement."""
+    icu = transfers.filter(C.is_icu_unit(F.col("careunit")) == 1)
+    return movement_groups(icu).drop("n_icu_transfers", "n_total_transfers")
+
+
+STAY_COLUMNS = [
+    "subject_id", "hadm_id", "first_icu_transfer_id", "icu_intime", "icu_outtime",
+    "los_icu_hours", "los_icu_days", "icu_units", "first_careunit",
+    "n_distinct_icu_units", "icu_type", "is_mixed_icu",
+]
+
+
+def _typed_stays(groups: DataFrame) -> DataFrame:
+    n, start, end = (F.col(c) for c in ("n_distinct_icu_units", "icu_intime", "icu_outtime"))
+    return (
+        groups.withColumn("los_icu_hours", T.whole_units("HOUR", start, end))
+        .withColumn("los_icu_days", T.whole_units("DAY", start, end))
+        .withColumn("icu_type", C.icu_type(F.col("icu_units"), n))
+        .withColumn("is_mixed_icu", C.mixed_flag(n))
+    )
+
+
 def fact_icu_stay(transfers: DataFrame, surrogate_key: bool = True) -> DataFrame:
     """ICU stays derived from movements.
 
     ``surrogate_key=False`` leaves out stay_id and with it the global sort.
     """
-    n = F.col("n_distinct_icu_units")
-    stays = (
-        icu_groups(transfers)
-        .withColumn("los_icu_hours", T.whole_units("HOUR", F.col("icu_intime"), F.col("icu_outtime")))
-        .withColumn("los_icu_days", T.whole_units("DAY", F.col("icu_intime"), F.col("icu_outtime")))
-        .withColumn("icu_type", C.icu_type(F.col("icu_units"), n))
-        .withColumn("is_mixed_icu", C.mixed_flag(n))
-    )
-    columns = [
-        "subject_id", "hadm_id", "first_icu_transfer_id", "icu_intime", "icu_outtime",
-        "los_icu_hours", "los_icu_days", "icu_units", "first_careunit",
-        "n_distinct_icu_units", "icu_type", "is_mixed_icu",
-    ]
+    stays = _typed_stays(icu_groups(transfers)).select(*STAY_COLUMNS)
     if not surrogate_key:
-        return stays.select(*columns)
-    return sorted_runs(stays, ["subject_id", "hadm_id"]).numbered("stay_id").select("stay_id", *columns)
+        return stays
+    return sorted_runs(stays, ["subject_id", "hadm_id"]).numbered("stay_id").select("stay_id", *STAY_COLUMNS)
+
+
+def counted_stays(transfers: DataFrame) -> DataFrame:
+    """Stays of known admissions with their movement counts, from one scan of the movements.
+
+    Counts are per admission, over all its subjects. The window needs the rows by
+    hadm_id, which is also what the join with the admissions needs, and an admission has
+    one row per subject.
+    """
+    admission = Window.partitionBy("hadm_id")
+    groups = movement_groups(transfers.filter(F.col("hadm_id").isNotNull()))
+    counts = {c: F.sum(c).over(admission) for c in ("n_icu_transfers", "n_total_transfers")}
+    counted = groups.withColumns(counts).filter(F.col("n_distinct_icu_units") > 0)
+    return _typed_stays(counted).select(*STAY_COLUMNS, *counts)
 
 
 def transfer_counts(transfers: DataFrame) -> DataFrame:
@@ -127,21 +162,24 @@ def transfer_counts(transfers: DataFrame) -> DataFrame:
 
 
 def stay_frame(
-    stays: DataFrame, admissions: DataFrame, patients: DataFrame, transfers: DataFrame
+    stays: DataFrame, admissions: DataFrame, patients: DataFrame, transfers: DataFrame | None
 ) -> DataFrame:
-    """Stays joined with admission, patient and movement counts."""
+    """Stays joined with admission, patient and movement counts.
+
+    Stays that carry their counts (``counted_stays``) need no movements.
+    """
     adm = admissions.select(
         "hadm_id", "admittime", "age_at_admission", "los_hospital_days", "los_hospital_hours",
         "admission_type", "admission_location", "insurance", "hospital_expire_flag", "deathtime",
     )
     who = patients.select("subject_id", "gender", "ethnicity", "marital_status", "death_date")
-    counts = transfer_counts(transfers)
     hours = T.whole_units("HOUR", F.col("admittime"), F.col("icu_intime"))
+    rows = stays.join(adm, "hadm_id")
+    if "n_total_transfers" not in stays.columns:
+        # joined on hadm_id right after the admissions: both joins share one shuffle
+        rows = rows.join(transfer_counts(transfers), "hadm_id", "left")
     return (
-        # both joins on hadm_id first: they share one shuffle of the stays
-        stays.join(adm, "hadm_id")
-        .join(counts, "hadm_id", "left")
-        .join(who, "subject_id")
+        rows.join(who, "subject_id")
         .withColumn("n_icu_transfers", F.coalesce("n_icu_transfers", F.lit(0)))
         .withColumn("n_total_transfers", F.coalesce("n_total_transfers", F.lit(0)))
         .withColumn("ed_admission_flag", C.ed_flag(F.col("admission_location")))
@@ -168,7 +206,7 @@ def _features(frame: DataFrame) -> list[str]:
 
 
 def clinical_features(
-    stays: DataFrame, admissions: DataFrame, patients: DataFrame, transfers: DataFrame
+    stays: DataFrame, admissions: DataFrame, patients: DataFrame, transfers: DataFrame | None = None
 ) -> DataFrame:
     """Feature table, one row per ICU stay."""
     frame = stay_frame(stays, admissions, patients, transfers)
@@ -197,7 +235,7 @@ def patient_split_assignment(patients: DataFrame) -> DataFrame:
 
 
 def site_stays(
-    stays: DataFrame, admissions: DataFrame, patients: DataFrame, transfers: DataFrame
+    stays: DataFrame, admissions: DataFrame, patients: DataFrame, transfers: DataFrame | None = None
 ) -> DataFrame:
     """Feature rows of every site in one table.
 

@@ -22,7 +22,10 @@ def daily_performance(df: DataFrame, by: Sequence[str] = (), ts: str = "scored_a
 
 
 def _percent(value: Column) -> Column:
-    return F.concat(F.format_string("%.2f", value * 100), F.lit("%"))
+    """Percent with two digits; an exact tie (an odd number of eighths) goes to the even digit."""
+    pct = value * 100
+    even = F.when(F.pmod(pct * 8, F.lit(2.0)) == 1, F.bround(pct, 2)).otherwise(pct)
+    return F.concat(F.format_string("%.2f", even), F.lit("%"))
 
 
 def retrain_decision(

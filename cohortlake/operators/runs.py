@@ -3,8 +3,9 @@
 A window keyed by a column sends a whole key to one task; an unkeyed window sends
 everything to one task. Here rows are range-partitioned on the complete order instead,
 so a hot key is cut into several runs, and what has to pass from run to run (one row
-per run) is stitched on afterwards. The sorted rows are checkpointed: run numbers stay
-the same when an executor is lost, and both uses of the rows see the same cut.
+per run) is stitched on afterwards. The sorted rows are written to the shared folder with
+their run numbers: these stay the same when an executor is lost, and every use of the
+rows sees the same cut.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlake.operators.joins import join_small, null_safe
-from cohortlake.session import ensure_checkpointing
+from cohortlake.session import materialise
 
 RUN, POS, ROW = "_run", "_pos", "_row"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
@@ -127,19 +128,16 @@ class SortedRuns:
 
 def sorted_runs(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> SortedRuns:
     """Sort rows globally into balanced runs; give a complete order, ties included."""
-    spark = df.sparkSession
-    ensure_checkpointing(spark)
     columns = [_col(c) for c in order]
     if partitions:
         ranged = df.repartitionByRange(partitions, *columns)
     else:
         ranged = df.repartitionByRange(*columns)  # adjacent small ranges may be merged
-    placed = ranged.sortWithinPartitions(*columns).checkpoint(eager=False)
-    marked = placed.withColumn("_id", F.monotonically_increasing_id())
-    marked = marked.withColumn(RUN, F.shiftright("_id", _ROW_BITS)).withColumn(
+    placed = ranged.sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id())
+    stored = materialise(placed)
+    marked = stored.withColumn(RUN, F.shiftright("_id", _ROW_BITS)).withColumn(
         ROW, F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
     )
-    # the first job over the rows also writes the checkpoint
     sizes = {r[RUN]: r["count"] for r in marked.groupBy(RUN).count().collect()}
     starts, total = [], 0
     for run in range(max(sizes, default=0) + 1):

@@ -20,7 +20,15 @@ query("j02_dim_patient", check("SELECT * FROM dim_patient"))(lambda t: t.dim_pat
     SELECT * EXCLUDE (hospital_expire_flag, deathtime, death_date, assigned_hospital, data_split,
       icu_mortality_label) FROM site_stays"""))
 def _(t):
-    return curated.clinical_features(t.icu_stays, t.fact_admission, t.dim_patient, t.transfers)
+    return curated.clinical_features(curated.counted_stays(t.transfers), t.fact_admission, t.dim_patient)
+
+
+@query("j03b_clinical_features_from_facts", check("""
+    SELECT hadm_id, subject_id, icu_type, n_icu_transfers, n_total_transfers, early_icu_score FROM site_stays"""))
+def _(t):
+    # stays and movements as separate tables, as in the stored layers
+    features = curated.clinical_features(t.icu_stays, t.fact_admission, t.dim_patient, t.transfers)
+    return features.select("hadm_id", "subject_id", "icu_type", "n_icu_transfers", "n_total_transfers", "early_icu_score")
 
 
 query("j04_site_stays", check("SELECT * FROM site_stays WHERE assigned_hospital = 'hospital_a'"))(

@@ -17,6 +17,8 @@ def build_session(app: str, cores: str = "*", memory: str = "8g") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # groups kept in memory before an object aggregate starts to sort
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
@@ -48,13 +50,12 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cohortlake/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpointing(spark: SparkSession) -> None:
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """A small intermediate result written to the shared folder, to be read more than once."""
-    ensure_checkpointing(df.sparkSession)
-    return df.checkpoint(eager=False)
+    """An intermediate result written to the shared folder, to be read more than once.
+
+    The written table cuts the lineage, survives lost executors, and gives the planner
+    its size and column pruning.
+    """
+    path = run_path(df.sparkSession, "intermediate")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -253,7 +253,7 @@ class Tables:
     @cached_property
     def site_stays(self) -> DataFrame:
         return curated.site_stays(
-            self.icu_stays, self.fact_admission, self.dim_patient, self.transfers
+            curated.counted_stays(self.transfers), self.fact_admission, self.dim_patient
         )
 
     # ---- scores, logs, runs -------------------------------------------------
