@@ -45,6 +45,44 @@ ICU_CAREUNITS = [
 EMERGENCY_CAREUNITS = ["Emergency Department", "Emergency Department Observation"]
 ICU_KEYWORDS = ["ICU", "INTENSIVE", "CCU", "SICU", "MICU", "CVICU", "TSICU"]
 
+# ICU type of a stay with one unit: (type, unit the list names, or the only unit)
+SINGLE_UNIT_ICU_TYPES = [
+    ("Medical ICU", "Medical Intensive Care Unit (MICU)", "Medical/Surgical Intensive Care Unit (MICU/SICU)"),
+    ("Surgical ICU", "Surgical Intensive Care Unit (SICU)", "Trauma SICU (TSICU)"),
+    ("Cardiac ICU", "Coronary Care Unit (CCU)", "Cardiac Vascular Intensive Care Unit (CVICU)"),
+    ("Neuro ICU", None, "Neuro Surgical Intensive Care Unit (Neuro SICU)"),
+]
+OTHER_ICU_TYPE = "Other ICU"
+MIXED_TWO, MIXED_MORE = "Mixed ICU (2 Units)", "Mixed ICU (3+ Units)"
+STEP_DOWN_WORDS = ["Intermediate", "Stepdown"]
+UNITS_OF_THEIR_OWN_CLASS = ["PACU", "Observation", "Unknown"]
+
+# generalised categories: (category, substrings that lead to it), first match wins
+ADMISSION_CATEGORIES = [
+    ("EMERGENCY", ["EMER"]),
+    ("URGENT", ["URGENT"]),
+    ("ELECTIVE", ["ELECTIVE"]),
+    ("OBSERVATION", ["OBS"]),
+    ("SURGICAL", ["SAME DAY", "SURGICAL"]),
+]
+EXACT_ADMISSION_CATEGORIES = ["URGENT", "ELECTIVE"]  # the whole text, not a substring
+ICU_CATEGORIES = [
+    ("CARDIAC", ["cardiac", "ccu", "cvicu"]),
+    ("MEDICAL", ["medical", "micu"]),
+    ("SURGICAL", ["surgical", "sicu", "trauma"]),
+    ("NEURO", ["neuro"]),
+    ("MIXED", ["mixed"]),
+]
+
+# explanations of risk factors; {} takes the value
+FACTOR_TEXTS = {
+    "early_icu_score": "{} ICU admission indicates critical illness",
+    "age_at_admission": "Advanced age ({} years) increases baseline mortality risk",
+    "emergency_admission": "Emergency admission suggests acute decompensation",
+    "n_icu_transfers": "{} ICU transfer(s) indicate complications",
+    "los_icu_hours": "Extended ICU stay ({} hours) indicates severity",
+}
+
 ADMISSION_LOCATIONS = [
     "CLINIC REFERRAL",
     "EMERGENCY ROOM",

@@ -8,13 +8,32 @@ from cohortlake.functions import clinical as C, generalise as G, vocabulary as V
 from cohortlake.sources import schemas
 from cohortlake.sources.tables import append_table, spread
 
-CATEGORY_PREFIX = {
+# fixed values: what each kind of event writes into the log
+ID_PREFIX = {
     "prediction": "pred",
     "external_query": "query",
     "patient_transfer": "xfer",
     "transfer_receipt": "recv",
     "privacy_operation": "priv",
 }
+CATEGORY = {
+    "prediction": "prediction",
+    "external_query": "external_query",
+    "patient_transfer": "transfer",
+    "transfer_receipt": "incoming_transfer",
+    "privacy_operation": "privacy",
+}
+PRIVACY = {
+    "prediction": V.PRIVACY_LEVEL,
+    "external_query": V.PRIVACY_LEVEL_DP,
+    "transfer_receipt": V.PRIVACY_LEVEL_DP,
+    "privacy_operation": V.PRIVACY_LEVEL,
+}
+BASIS = {"external_query": V.LEGAL_BASIS, "transfer_receipt": f"{V.LEGAL_BASIS} - Treatment"}
+RECEIVER_ROLE, DEFAULT_QUERY_ROLE = "receiving_coordinator", "clinical_staff"
+RECEIPT_QUERY_TYPE = "incoming_transfer"
+NETWORK_TABLE, TRANSFER_TABLE = "federated_hospital_data", "transfer_coordination"
+# end of fixed values
 
 
 def _by_kind(values: dict[str, Column | str], default: Column | None = None) -> Column:
@@ -46,30 +65,26 @@ def build_records(events: DataFrame) -> DataFrame:
     own_table = F.concat(site, F.lit("_data"))
     columns = {
         "log_id": F.concat(
-            _by_kind(CATEGORY_PREFIX), F.lit("_"),
+            _by_kind(ID_PREFIX), F.lit("_"),
             F.date_format("event_timestamp", "yyyyMMdd_HHmmss"), F.lit("_"),
             F.substring(F.md5("event_id"), 1, 8),
         ),
         "hospital_id": site,
         "action": F.col("kind"),
-        "action_category": _by_kind({
-            "prediction": "prediction", "external_query": "external_query",
-            "patient_transfer": "transfer", "transfer_receipt": "incoming_transfer",
-            "privacy_operation": "privacy",
-        }),
+        "action_category": _by_kind(CATEGORY),
         "event_timestamp": F.col("event_timestamp"),
         "logged_at": F.col("event_timestamp"),
         "user_id": F.col("user_id"),
         "user_role": _by_kind({
-            "transfer_receipt": F.lit("receiving_coordinator"),
-            "external_query": F.coalesce("user_role", F.lit("clinical_staff")),
+            "transfer_receipt": F.lit(RECEIVER_ROLE),
+            "external_query": F.coalesce("user_role", F.lit(DEFAULT_QUERY_ROLE)),
         }, F.col("user_role")),
         "patient_age_bucket": F.when(F.col("kind") != "privacy_operation", F.col("age_bucket")),
         "risk_score": risk,
         "risk_level": C.risk_level(risk, inclusive=False),
         "target_hospital": F.when(F.col("kind") != "prediction", target),
         "query_type": _by_kind({
-            "external_query": F.col("query_type"), "transfer_receipt": F.lit("incoming_transfer"),
+            "external_query": F.col("query_type"), "transfer_receipt": F.lit(RECEIPT_QUERY_TYPE),
         }),
         "data_accessed": _by_kind({
             "prediction": own_table,
@@ -81,24 +96,19 @@ def build_records(events: DataFrame) -> DataFrame:
         "tables_queried": _by_kind({
             "prediction": F.array(own_table),
             "external_query": F.array(
-                F.lit("federated_hospital_data"), F.concat(target, F.lit("_resources"))
+                F.lit(NETWORK_TABLE), F.concat(target, F.lit("_resources"))
             ),
             "transfer_receipt": F.array(
-                F.lit("transfer_coordination"), F.concat(target, F.lit("_outbound"))
+                F.lit(TRANSFER_TABLE), F.concat(target, F.lit("_outbound"))
             ),
         }),
-        "privacy_level": _by_kind({
-            "prediction": V.PRIVACY_LEVEL, "privacy_operation": V.PRIVACY_LEVEL,
-            "external_query": V.PRIVACY_LEVEL_DP, "transfer_receipt": V.PRIVACY_LEVEL_DP,
-        }),
+        "privacy_level": _by_kind(PRIVACY),
         "k_anonymity_threshold": F.when(F.col("kind") != "patient_transfer", F.lit(V.K_ANONYMITY)),
         "differential_privacy_epsilon": F.when(
             F.col("kind").isin("external_query", "transfer_receipt"), F.lit(V.EPSILON)
         ),
         "hipaa_compliant": F.lit(True),
-        "legal_basis": _by_kind({
-            "external_query": V.LEGAL_BASIS, "transfer_receipt": f"{V.LEGAL_BASIS} - Treatment",
-        }),
+        "legal_basis": _by_kind(BASIS),
         "purpose": _by_kind({
             "external_query": F.lit(V.EXTERNAL_QUERY_PURPOSE),
             "patient_transfer": F.col("reason"),

@@ -41,11 +41,33 @@ def split_of(key: str) -> str:
     return f"CASE WHEN {h} < 70 THEN 'train' WHEN {h} < 85 THEN 'validation' ELSE 'test' END"
 
 
-_CARE_TYPE = f"""CASE WHEN careunit IN {inlist(V.ICU_CAREUNITS)} THEN 'ICU'
-  WHEN careunit IN {inlist(V.EMERGENCY_CAREUNITS)} THEN 'Emergency'
-  WHEN careunit LIKE '%Intermediate%' OR careunit LIKE '%Stepdown%' THEN 'Step-down'
-  WHEN careunit = 'PACU' THEN 'PACU' WHEN careunit = 'Observation' THEN 'Observation'
-  WHEN careunit = 'Unknown' OR careunit IS NULL THEN 'Unknown' ELSE 'Ward' END"""
+def cases(rules, default: str) -> str:
+    """A CASE over (test, value) pairs of SQL text."""
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in rules) + f" ELSE {default} END"
+
+
+def any_like(text: str, words) -> str:
+    return "(" + " OR ".join(f"{text} LIKE '%{w}%'" for w in words) + ")"
+
+
+_CARE_TYPE = cases(
+    [
+        (f"careunit IN {inlist(V.ICU_CAREUNITS)}", "'ICU'"),
+        (f"careunit IN {inlist(V.EMERGENCY_CAREUNITS)}", "'Emergency'"),
+        (any_like("careunit", V.STEP_DOWN_WORDS), "'Step-down'"),
+        (f"careunit IN {inlist(V.UNITS_OF_THEIR_OWN_CLASS)}", "careunit"),
+        ("careunit IS NULL", "'Unknown'"),
+    ],
+    "'Ward'",
+)
+_ICU_TYPE = cases(
+    [("n_distinct_icu_units >= 3", f"'{V.MIXED_MORE}'"), ("n_distinct_icu_units = 2", f"'{V.MIXED_TWO}'")]
+    + [
+        (f"(icu_units = '{only}'" + (f" OR contains(icu_units, '{named}'))" if named else ")"), f"'{label}'")
+        for label, named, only in V.SINGLE_UNIT_ICU_TYPES
+    ],
+    f"'{V.OTHER_ICU_TYPE}'",
+)
 _IS_ICU = f"(careunit IN {inlist(V.ICU_CAREUNITS)} OR careunit LIKE '%ICU%')"
 _HOURS = "date_sub('hour', admittime, icu_intime)"
 
@@ -133,20 +155,11 @@ TABLES: dict[str, str] = {
       count(DISTINCT careunit) AS n_distinct_icu_units,
       first(careunit ORDER BY intime, transfer_id, careunit) AS first_careunit
     FROM transfers WHERE careunit IS NOT NULL AND {_IS_ICU} GROUP BY subject_id, hadm_id""",
-    "icu_stays": """SELECT subject_id, hadm_id, first_icu_transfer_id, icu_intime, icu_outtime,
+    "icu_stays": f"""SELECT subject_id, hadm_id, first_icu_transfer_id, icu_intime, icu_outtime,
       date_sub('hour', icu_intime, icu_outtime) AS los_icu_hours,
       date_sub('day', icu_intime, icu_outtime) AS los_icu_days, icu_units, first_careunit,
       n_distinct_icu_units,
-      CASE WHEN n_distinct_icu_units >= 3 THEN 'Mixed ICU (3+ Units)'
-        WHEN n_distinct_icu_units = 2 THEN 'Mixed ICU (2 Units)'
-        WHEN icu_units LIKE '%Medical Intensive Care Unit (MICU)%'
-          OR icu_units = 'Medical/Surgical Intensive Care Unit (MICU/SICU)' THEN 'Medical ICU'
-        WHEN icu_units LIKE '%Surgical Intensive Care Unit (SICU)%'
-          OR icu_units = 'Trauma SICU (TSICU)' THEN 'Surgical ICU'
-        WHEN icu_units LIKE '%Coronary Care Unit (CCU)%'
-          OR icu_units = 'Cardiac Vascular Intensive Care Unit (CVICU)' THEN 'Cardiac ICU'
-        WHEN icu_units = 'Neuro Surgical Intensive Care Unit (Neuro SICU)' THEN 'Neuro ICU'
-        ELSE 'Other ICU' END AS icu_type,
+      {_ICU_TYPE} AS icu_type,
       CAST(n_distinct_icu_units > 1 AS INT) AS is_mixed_icu FROM icu_groups""",
     "numbered_stays": """SELECT row_number() OVER (ORDER BY subject_id NULLS FIRST, hadm_id NULLS FIRST) AS stay_id,
       * FROM icu_stays""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortlake.functions import vocabulary as V
-from cohortlake.plans.checks import lst
+from cohortlake.plans.checks import any_like, cases, lst
 
 GENDER = """CASE WHEN trim(upper(gender_text)) IN ('M', 'MALE', 'MAN') THEN 'M'
     WHEN trim(upper(gender_text)) IN ('F', 'FEMALE', 'WOMAN') THEN 'F' END"""
@@ -34,15 +34,18 @@ TERM_TABLES = ", ".join([
 NORMALISED = "lower(trim(admission_text))"
 
 
+def _category(x, text, categories, exact=()):
+    rules = [(f"{x} IS NULL OR {x} = ''", "'UNKNOWN'")]
+    rules += [
+        (f"{text} = '{name}'" if name in exact else any_like(text, words), f"'{name}'")
+        for name, words in categories
+    ]
+    return cases(rules, "'OTHER'")
+
+
 def category(x):
-    return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN 'UNKNOWN' WHEN upper({x}) LIKE '%EMER%' THEN 'EMERGENCY'
-    WHEN upper({x}) = 'URGENT' THEN 'URGENT' WHEN upper({x}) = 'ELECTIVE' THEN 'ELECTIVE'
-    WHEN upper({x}) LIKE '%OBS%' THEN 'OBSERVATION'
-    WHEN upper({x}) LIKE '%SAME DAY%' OR upper({x}) LIKE '%SURGICAL%' THEN 'SURGICAL' ELSE 'OTHER' END"""
+    return _category(x, f"upper({x})", V.ADMISSION_CATEGORIES, V.EXACT_ADMISSION_CATEGORIES)
 
 
 def icu_category(x):
-    return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN 'UNKNOWN' WHEN lower({x}) LIKE '%cardiac%' OR lower({x}) LIKE '%ccu%' OR lower({x}) LIKE '%cvicu%' THEN 'CARDIAC'
-    WHEN lower({x}) LIKE '%medical%' OR lower({x}) LIKE '%micu%' THEN 'MEDICAL'
-    WHEN lower({x}) LIKE '%surgical%' OR lower({x}) LIKE '%sicu%' OR lower({x}) LIKE '%trauma%' THEN 'SURGICAL'
-    WHEN lower({x}) LIKE '%neuro%' THEN 'NEURO' WHEN lower({x}) LIKE '%mixed%' THEN 'MIXED' ELSE 'OTHER' END"""
+    return _category(x, f"lower({x})", V.ICU_CATEGORIES)
