@@ -98,3 +98,12 @@ def test_quantiles(frame):
 def test_quantile_without_keys_and_nulls(spark):
     df = spark.createDataFrame([(None,), (4.0,), (1.0,), (None,), (2.0,)], "v double")
     assert exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == 2.0
+
+
+def test_a_hot_key_is_cut_into_balanced_runs(spark):
+    # a third of the rows share one key and one time
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).alias("k"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("t"), "id")
+    sizes = [r["count"] for r in sorted_runs(df, ["k", "t", "id"], 8).rows.groupBy("_run").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 30_000 / 8
