@@ -73,32 +73,47 @@ def sweep(
     return E.with_metrics(counted.select(*by, "threshold", *E.COUNTS))
 
 
+def _youden() -> Column:
+    return F.col("tpr") - F.col("fpr")
+
+
+def _f1() -> Column:
+    p, r = F.col("precision"), F.col("recall")
+    return 2 * (p * r) / (p + r + F.lit(1e-10))
+
+
+def _youden_pick() -> Column:
+    """Threshold of the largest TPR - FPR, the highest on ties."""
+    return F.max_by("threshold", F.struct(_youden(), F.col("threshold")))
+
+
+def _f1_pick() -> Column:
+    """Threshold of the largest F1, the lowest on ties."""
+    return F.max_by("threshold", F.struct(_f1(), -F.col("threshold")))
+
+
+def _recall_order(target: float) -> Column:
+    """Distance of the recall from a target, the lowest threshold first on ties."""
+    return F.struct(F.abs(F.col("recall") - F.lit(target)), F.col("threshold"))
+
+
 def best_youden(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Threshold of the largest TPR - FPR, the highest on ties."""
-    j = F.col("tpr") - F.col("fpr")
+    """Threshold that maximises Youden's index."""
     return E.roc_points(points).groupBy(*by).agg(
-        F.max_by("threshold", F.struct(j, F.col("threshold"))).alias("threshold"),
-        F.max(j).alias("youden_j"),
+        _youden_pick().alias("threshold"), F.max(_youden()).alias("youden_j")
     )
 
 
 def best_f1(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Threshold of the largest F1, the lowest on ties."""
-    p, r = F.col("precision"), F.col("recall")
-    f1 = 2 * (p * r) / (p + r + F.lit(1e-10))
-    return E.pr_points(points).groupBy(*by).agg(
-        F.max_by("threshold", F.struct(f1, -F.col("threshold"))).alias("threshold"),
-        F.max(f1).alias("f1"),
-    )
+    """Threshold that maximises F1."""
+    return E.pr_points(points).groupBy(*by).agg(_f1_pick().alias("threshold"), F.max(_f1()).alias("f1"))
 
 
 def nearest_recall(points: DataFrame, target: float, by: Sequence[str] = ()) -> DataFrame:
-    """Threshold whose recall is nearest to a target, the lowest on ties."""
-    gap = F.abs(F.col("recall") - F.lit(target))
-    order = F.struct(gap, F.col("threshold"))
+    """Threshold whose recall is nearest to a target."""
+    order = _recall_order(target)
     return E.pr_points(points).groupBy(*by).agg(
-        F.min_by("threshold", order).alias("threshold"),
-        F.min_by("recall", order).alias("recall"),
+        F.min_by("threshold", order).alias("threshold"), F.min_by("recall", order).alias("recall")
     )
 
 
@@ -115,13 +130,21 @@ def cheapest(
 
 
 def optimal_thresholds(df: DataFrame) -> dict[str, float]:
-    """The threshold of every method; six numbers reach the driver."""
-    points = E.curve(df)
+    """The threshold of every method; one pass over the curve and one over the grid.
+
+    Six numbers reach the driver.
+    """
+    picks = E.pr_points(E.roc_points(E.curve(df))).agg(
+        _youden_pick().alias("youden"),
+        _f1_pick().alias("f1"),
+        F.min_by("threshold", _recall_order(0.85)).alias("r85"),
+        F.min_by("threshold", _recall_order(0.80)).alias("r80"),
+    ).first()
     return {
-        YOUDEN: best_youden(points).first()["threshold"],
-        F1: best_f1(points).first()["threshold"],
-        RECALL_85: nearest_recall(points, 0.85).first()["threshold"],
-        RECALL_80: nearest_recall(points, 0.80).first()["threshold"],
+        YOUDEN: picks["youden"],
+        F1: picks["f1"],
+        RECALL_85: picks["r85"],
+        RECALL_80: picks["r80"],
         COST: cheapest(df).first()["threshold"],
         CURRENT: 0.5,
     }

@@ -50,12 +50,26 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cohortlake/{name}-{uuid.uuid4().hex}"
 
 
+_intermediates: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """An intermediate result written to the shared folder, to be read more than once.
 
     The written table cuts the lineage, survives lost executors, and gives the planner
-    its size and column pruning.
+    its size and column pruning. It stays until ``drop_intermediates``.
     """
     path = run_path(df.sparkSession, "intermediate")
     df.write.parquet(path)
+    _intermediates.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; results built on them end with it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _intermediates:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_intermediates.pop())
+        dropped += bool(target.getFileSystem(hadoop).delete(target, True))
+    return dropped

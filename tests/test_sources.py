@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import profile as P
 from cohortlake.plans import layers
-from cohortlake.session import run_path, shared_dir
+from cohortlake.session import drop_intermediates, materialise, run_path, shared_dir
 from cohortlake.sources import schemas, tables as S
 
 
@@ -105,3 +105,11 @@ def test_audit_schema_is_complete():
     assert len(schemas.AUDIT_LOG.fields) == 24
     assert [f.name for f in schemas.AUDIT_LOG.fields if not f.nullable] == [
         "log_id", "hospital_id", "action", "event_timestamp", "user_id"]
+
+
+def test_intermediates_are_written_and_dropped(spark):
+    kept = materialise(spark.range(5))
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert kept.count() == 5 and S.path_exists(spark, folder)
+    assert drop_intermediates(spark) >= 1 and not S.path_exists(spark, folder)
+    assert drop_intermediates(spark) == 0
