@@ -12,9 +12,11 @@ that start with the mark; segments repeat and are kept in a bounded memory.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: segments kept, and the longest that is kept
-MEMORY, LONGEST = 200_000, 48
+MEMORY, LONGEST = 500_000, 48
 
 
 class Codec:
@@ -43,16 +45,19 @@ class Codec:
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.rank[piece] = (-sp.get_score(i), i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.packed = {p: struct.pack("<I", i) for p, (_, i) in self.rank.items()}
+        self.letters = {p for p in self.rank if len(p) == 1}
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
         self.automaton = ahocorasick.Automaton()
         for piece in self.rank:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The merges themselves: best score first, then leftmost."""
+    def merged(self, text: str, done: list[tuple[str, str]] | None = None) -> list[str]:
+        """The merges themselves: best score first, then leftmost; ``done`` gets each pair."""
         part = list(text)
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -69,6 +74,8 @@ class Codec:
             _, i, j, both = heapq.heappop(heap)
             if not part[i] or not part[j] or part[i] + part[j] != both or right[i] != j:
                 continue
+            if done is not None:
+                done.append((part[i], part[j]))
             part[i], part[j] = both, ""
             right[i] = right[j]
             if right[i] < len(part):
@@ -77,13 +84,43 @@ class Codec:
             offer(i, right[i])
         return [p for p in part if p]
 
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two tokens whose merge makes a piece; none if its characters never become it."""
+        if piece not in self.halves:
+            last: list[tuple[str, str]] = []
+            whole = self.merged(piece, last) == [piece]
+            self.halves[piece] = last[-1] if whole and last else None
+        return self.halves[piece]
+
+    def _apart(self, a: str, b: str) -> bool:
+        """Undo the merges of both tokens, the latest first, and look for an earlier one across.
+
+        The tokens next to the border at any time are a tail of ``a`` and a head of ``b``. They
+        would join across it if that merge came before the one that took either of them inward;
+        of equal merges the leftmost comes first, so a tie goes across only against ``b``.
+        """
+        until = math.inf
+        while True:
+            across = self.rank.get(a + b)
+            if across is not None and across[0] < until:
+                return False
+            made_a = self.rank[a][0] if len(a) > 1 else -1
+            made_b = self.rank[b][0] if len(b) > 1 else -1
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                until, a = made_a, self._halves(a)[1]
+            else:
+                until, b = made_b + 0.5, self._halves(b)[0]
+
     def _follows(self, a: str, b: str) -> bool:
-        """True if no merge crosses the border of the two tokens."""
+        """True if ``b`` is a token that can stand after ``a`` (or first, if that is empty)."""
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) > 2 * MEMORY:
                 self.pairs.clear()
-            found = self.pairs[(a, b)] = self.merged(a + b) == ([a, b] if a else [b])
+            possible = len(b) == 1 or self._halves(b) is not None
+            found = self.pairs[(a, b)] = possible and (not a or self._apart(a, b))
         return found
 
     def tokens(self, text: str) -> list[str]:
@@ -91,31 +128,38 @@ class Codec:
         if text.startswith(SPACE * 2):
             # pieces of several marks have equal scores, so a last token need not be unique
             return self.merged(text)
-        last = [""] * (len(text) + 1)
-        ending: dict[int, list[str]] = {}
+        if not self.letters.issuperset(text):
+            out: list[str] = []
+            for known, run in groupby(text, self.letters.__contains__):
+                # an unknown character never merges, so what follows it starts afresh
+                out.extend(self.table("".join(run)) if known else run)
+            return out
+        return self.table(text)
+
+    def table(self, text: str) -> list[str]:
+        """The last token of each prefix, and the tokens read off from the end."""
+        last: list[str | None] = [None] * (len(text) + 1)
+        last[0] = ""
+        pairs, follows = self.pairs, self._follows
+        # matches come by their end, the longest of one end first
         for end, piece in self.automaton.iter(text):
-            ending.setdefault(end + 1, []).append(piece)
-        for i in range(1, len(text) + 1):
-            for piece in ending.get(i, ()):
-                start = i - len(piece)
-                before = last[start]
-                if (start == 0 or before) and (
-                    (before and before not in self.rank) or self._follows(before, piece)
-                ):
-                    last[i] = piece
-                    break
-            else:
-                if text[i - 1] in self.rank:
-                    # every piece that ends here would be merged further; a later prefix holds it
-                    continue
-                last[i] = text[i - 1]
+            if last[end + 1] is None:
+                before = last[end + 1 - len(piece)]
+                if before is not None:
+                    fits = pairs.get((before, piece))
+                    if fits is None:
+                        fits = follows(before, piece)
+                    if fits:
+                        last[end + 1] = piece
         out, i = [], len(text)
         while i:
-            if not last[i]:
+            token = last[i]
+            if token is None:
                 return self.merged(text)
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+            out.append(token)
+            i -= len(token)
+        out.reverse()
+        return out
 
     def ids(self, tokens: list[str]) -> list[int]:
         out: list[int] = []
@@ -132,8 +176,12 @@ class Codec:
         """Packed ids of a segment and what they decode to."""
         found = self.known.get(text)
         if found is None:
-            ids = self.ids(self.tokens(text))
-            found = struct.pack(f"<{len(ids)}I", *ids), self.pieces_text(ids)
+            if self.letters.issuperset(text):
+                # no unknown character, hence no bytes: the tokens spell the segment
+                found = b"".join(map(self.packed.__getitem__, self.tokens(text))), text.replace(SPACE, " ")
+            else:
+                ids = self.ids(self.tokens(text))
+                found = struct.pack(f"<{len(ids)}I", *ids), self.pieces_text(ids)
             if len(text) <= LONGEST:
                 if len(self.known) >= MEMORY:
                     self.known.clear()
@@ -166,8 +214,8 @@ class Codec:
         parts = _SEGMENT.findall(marked) if self.cuts else [marked]
         known, segment = self.known, self.segment
         found = [known.get(p) or segment(p) for p in parts]
-        packed = b"".join([begin, *(f[0] for f in found), end])
-        return packed, "".join([f[1] for f in found]).removeprefix(" ")
+        packed, texts = zip(*found)
+        return b"".join((begin, *packed, end)), "".join(texts).removeprefix(" ")
 
 
 _codecs: dict[str, Codec] = {}
