@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import language_id, quality, sentencepiece_codec, toxicity
+from cohortlake.llm import language_id, ngram_join, quality, sentencepiece_codec, toxicity
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it was not shipped with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -40,6 +50,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"), words=4, percent=85)
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label")).filter(remainder(5) != 0)
@@ -52,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}
