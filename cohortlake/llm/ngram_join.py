@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.components import components
-from cohortlake.llm.text import gram_hashes, signed, word_hashes
+from cohortlake.llm.text import gram_hashes, pieces, signed, word_hashes
 from cohortlake.session import materialise
 
 #: bound of the list of frequent tokens, and the count in one batch of rows that makes a candidate
@@ -59,7 +59,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     schema = "id long, n long, name string, token long, times long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles(t, words) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets],
                                 "name": [digest(s) if len(s) else None for s in sets], "token": 0, "times": 0})
@@ -80,7 +80,7 @@ def _first_tokens(docs: DataFrame, words: int, percent: int, often: tuple[np.nda
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, times = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple[np.ndarray, ...]] = []
             rows = 0
             for text in batch["text"]:
@@ -96,7 +96,7 @@ def _first_tokens(docs: DataFrame, words: int, percent: int, often: tuple[np.nda
                 m = len(first)
                 out.append((np.full(m, class_id(digest(s))), np.full(m, n), signed(s[first]), np.arange(m)))
                 rows += m
-                if rows > 100_000:
+                if rows > 50_000:
                     yield pd.DataFrame({k: np.concatenate(c) for k, c in zip(("cls", "n", "token", "place"), zip(*out))})
                     out, rows = [], 0
             if out:
@@ -199,12 +199,10 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     texts = source.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(chosen, "id")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
-                sets = [shingles(t, words) for t in part["text"]]
-                same = [digest(s) == name for s, name in zip(sets, part["name"])]
-                yield part[["cls", "name"]].assign(tokens=[s.tobytes() for s in sets])[same]
+        for part in pieces(batches, 256):
+            sets = [shingles(t, words) for t in part["text"]]
+            same = [digest(s) == name for s, name in zip(sets, part["name"])]
+            yield part[["cls", "name"]].assign(tokens=[s.tobytes() for s in sets])[same]
 
     sets = materialise(texts.select("cls", "name", "text").mapInPandas(
         tokens, "cls long, name string, tokens binary"))
