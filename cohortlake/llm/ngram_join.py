@@ -3,7 +3,8 @@
 Documents of equal shingle sets form a class. Classes that share frequent tokens form small
 groups, and the matrix stores each group's union of tokens. A class opens a group only if
 the tokens it shares with the union, by their places in one global order, leave room for
-the overlap that the threshold asks for; the members of opened groups are compared exactly.
+the overlap that the threshold asks for, and if the bit sketch of a member is near enough;
+the members of opened groups are compared exactly.
 
 Only the first tokens of a set in the global order (rare before frequent) can be decisive:
 sets over the threshold share one of them. The order needs no exact counts, so the frequent
@@ -50,25 +51,42 @@ def class_id(name: str) -> int:
     return int.from_bytes(bytes.fromhex(name[:16]), "big", signed=True)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens that fall on each bit; about one bit for each token.
+
+    Two sketches differ in at most as many bits as the sets have tokens apart, and folding
+    one in half keeps that true, so a difference over the threshold's proves a pair too far.
+    """
+    bits = max(256, 1 << (len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _fold(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """Per row the size and digest of its set, and beside these the tokens frequent in a batch."""
-    schema = "id long, n long, name string, token long, times long"
+    schema = "id long, n long, name string, sketch binary, token long, times long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
             sets = [shingles(t, words) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets],
-                                "name": [digest(s) if len(s) else None for s in sets], "token": 0, "times": 0})
+                                "name": [digest(s) if len(s) else None for s in sets],
+                                "sketch": [sketch(s) if len(s) else None for s in sets], "token": 0, "times": 0})
             every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
             if len(every):
                 at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
                 times = np.diff(np.append(at, len(every)))
                 often = times >= LEAST_IN_BATCH
-                yield pd.DataFrame({"id": None, "n": None, "name": None, "token": signed(every[at[often]]),
+                yield pd.DataFrame({"id": None, "n": None, "name": None, "sketch": None, "token": signed(every[at[often]]),
                                     "times": times[often]})
 
     return docs.mapInPandas(run, schema)
@@ -105,6 +123,59 @@ def _first_tokens(docs: DataFrame, words: int, percent: int, often: tuple[np.nda
     return docs.mapInPandas(run, "cls long, n int, token long, place int")
 
 
+def _bounded(rows: DataFrame, percent: int) -> DataFrame:
+    """The opened groups that hold a member within the sketches' bound of the query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, levels = None, [], {}
+        for batch in batches:
+            kept: list[tuple[int, int]] = []
+            for gid, share, query, cls, n, raw in zip(batch["gid"], batch["share"], batch["query"], batch["cls"],
+                                                      batch["n"], batch["sketch"]):
+                own = np.frombuffer(raw, np.uint8)
+                if (gid, share) != at:
+                    at, held, levels = (gid, share), [], {}
+                if not query:
+                    held.append((cls, n, own))
+                    continue
+                if not levels:
+                    # sizes within the threshold differ by one level at most
+                    for member, size, bits in held:
+                        levels.setdefault((len(bits), False), []).append((member, size, bits))
+                        levels.setdefault((len(bits) // 2, True), []).append((member, size, _fold(bits)))
+                    levels = {k: (np.array([m for m, _, _ in v]), np.array([c for _, c, _ in v]),
+                                  np.stack([b for _, _, b in v])) for k, v in levels.items()}
+                for level, bits in (((len(own), False), own), ((len(own), True), own),
+                                    ((len(own) // 2, False), _fold(own))):
+                    if level not in levels:
+                        continue
+                    members, sizes, table = levels[level]
+                    apart = np.bitwise_count(table ^ bits).sum(axis=1, dtype=np.int64)
+                    if np.any((members != cls) & (apart * (100 + percent) <= (sizes + n) * (100 - percent))):
+                        kept.append((cls, gid))
+                        break
+            if kept:
+                yield pd.DataFrame(kept, columns=["cls", "gid"])
+
+    return rows.mapInPandas(run, "cls long, gid long")
+
+
+def _meet(opened: DataFrame, groups: DataFrame, values: DataFrame) -> DataFrame:
+    """Queries and members of opened groups with their values, a bounded share of queries at a time.
+
+    The members of a group are few, and are repeated for every share of its queries.
+    """
+    load = opened.groupBy("gid").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    asked = opened.join(load, "gid").select(
+        "cls", "gid", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int").alias("share"),
+        F.lit(True).alias("query"))
+    held = groups.join(load, "gid").select(
+        "cls", "gid", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        F.lit(False).alias("query"))
+    return asked.union(held).join(values, "cls").repartition("gid", "share").sortWithinPartitions(
+        "gid", "share", "query")
+
+
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
     """Links between the queries and the members that meet under one group and share."""
 
@@ -156,7 +227,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     both = materialise(_sets(source, words))
-    rows = both.filter("n is not null").select("id", "n", "name")
+    rows = both.filter("n is not null").select("id", "n", "name", "sketch")
     often = (both.filter("n is null").groupBy("token").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "token").limit(FREQUENT).collect())
     frequent = np.array([r["token"] for r in often], np.int64).view(np.uint64)
@@ -189,12 +260,13 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         & (100 * F.col("high") >= percent * F.col("size")) & (percent * F.col("low") <= 100 * F.col("size"))
     )).select("cls", "gid").distinct())
 
+    names = materialise(rows.filter("n > 0").groupBy("name").agg(
+        F.min(F.coalesce("id", F.lit(_NO_ID))).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+    ).withColumn("cls", F.conv(F.substring("name", 1, 16), 16, -10).cast("long")))
+    opened = materialise(_bounded(_meet(opened, groups, names.select("cls", "n", "sketch")), percent).distinct())
+
     # texts are read again for the classes that take part; one row answers for its class
-    load = opened.groupBy("gid").agg(F.count("*").alias("queries"))
-    members = groups.join(load.select("gid", F.ceil(F.col("queries") / SHARE).cast("int").alias("shares")), "gid")
-    wanted = opened.select("cls").union(members.select("cls")).distinct()
-    names = rows.filter("n > 0").groupBy("name").agg(F.min(F.coalesce("id", F.lit(_NO_ID))).alias("id"))
-    names = names.withColumn("cls", F.conv(F.substring("name", 1, 16), 16, -10).cast("long"))
+    wanted = opened.select("cls").union(groups.join(opened.select("gid").distinct(), "gid").select("cls")).distinct()
     chosen = names.join(wanted, "cls").select("id", "name", "cls")
     texts = source.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(chosen, "id")
 
@@ -206,13 +278,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
     sets = materialise(texts.select("cls", "name", "text").mapInPandas(
         tokens, "cls long, name string, tokens binary"))
-    asked = opened.join(load, "gid").select(
-        "cls", "gid", F.pmod(F.xxhash64("cls"), F.ceil(F.col("queries") / SHARE)).cast("int").alias("share"),
-        F.lit(True).alias("query"))
-    held = members.select("cls", "gid", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
-                          F.lit(False).alias("query"))
-    meet = asked.union(held).join(sets, "cls").repartition("gid", "share").sortWithinPartitions("gid", "share", "query")
-    links = _compare(meet, percent)
+    links = _compare(_meet(opened, groups, sets), percent)
 
     linked = components(links)
     smallest = names.join(linked.withColumnRenamed("node", "name"), "name", "left").select(
