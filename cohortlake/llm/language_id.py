@@ -131,6 +131,9 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     The rows keep all their columns; the language column is left as it came.
     """
-    names = tuple(docs.columns)
-    kept = predict(docs, model, names)
-    return kept.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*names)
+    # columns travel under numbers, so that none can clash with the prediction's
+    numbered = tuple(f"__c{i}" for i in range(len(docs.columns)))
+    moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, numbered)], F.col("text").alias("text"))
+    kept = predict(moved, model, numbered).filter(
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(numbered, docs.columns)])

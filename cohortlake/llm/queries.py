@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import language_id, ngram_join, quality, sentencepiece_codec, toxicity
+from cohortlake.llm import (
+    language_id,
+    ngram_join,
+    quality,
+    secret_scan,
+    sentencepiece_codec,
+    template_decontamination,
+    toxicity,
+)
 from cohortlake.llm.workers import prepare
 
 
@@ -22,6 +30,11 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return template_decontamination.findings(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language_id.fit(docs, remainder(4) != 2)
@@ -42,6 +55,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"), words=4, percent=85)
 
@@ -55,9 +72,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_template_decontamination": op3_template_decontamination,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
+    "op8_secret_scan": op8_secret_scan,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }

@@ -118,10 +118,13 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     ``train`` is the bounded sample, with ``text`` and ``label``.
     """
     words = F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(_EDGE)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n),
-                         lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    words = train.select("label", F.explode(F.array_distinct(F.concat(words, *stems))).alias("word"))
-    counted = words.groupBy("word").agg(
+
+    def stems(n: int) -> F.Column:
+        longer = F.filter(words, lambda w: F.length(w) > n)
+        return F.transform(longer, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    listed = train.select("label", F.explode(F.array_distinct(F.concat(words, *map(stems, STEMS)))).alias("word"))
+    counted = listed.groupBy("word").agg(
         F.sum("label").alias("marked"), F.sum(1 - F.col("label")).alias("other")).filter(
         (F.col("marked") >= LEAST_DOCS) & (F.length("word") > 1))
     total = train.agg(F.sum("label").alias("m"), F.sum(1 - F.col("label")).alias("o")).first()
