@@ -176,10 +176,40 @@ def _meet(opened: DataFrame, groups: DataFrame, values: DataFrame) -> DataFrame:
         "gid", "share", "query")
 
 
+class _Forest:
+    """Which of a task's links join what its earlier links have not joined yet."""
+
+    def __init__(self, nodes: int = 200_000):
+        self.root: dict[str, str] = {}
+        self.nodes = nodes
+
+    def find(self, x: str) -> str:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def joins(self, a: str, b: str) -> bool:
+        if len(self.root) > self.nodes:
+            # forgetting costs repeated links, nothing else
+            self.root.clear()
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.root[max(a, b)] = min(a, b)
+        return True
+
+
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between the queries and the members that meet under one group and share."""
+    """Links between the queries and the members that meet under one group and share.
+
+    Components need no more than a spanning forest, so a task leaves out the links between
+    classes that it has joined already.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = _Forest()
         at, names, sizes, tokens, owners, built = None, [], [], [], [], False
         flat = owner = size = np.empty(0)
         for batch in batches:
@@ -210,7 +240,7 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
                 place = np.repeat(low - np.append(0, np.cumsum(held)[:-1]), held) + np.arange(held.sum())
                 both = np.bincount(owner[place], minlength=len(names))
                 near = np.flatnonzero(100 * both >= percent * (size + len(own) - both))
-                links.extend((name, names[k]) for k in near if names[k] != name)
+                links.extend((name, names[k]) for k in near if names[k] != name and forest.joins(name, names[k]))
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
