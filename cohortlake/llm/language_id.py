@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.workers import map_texts
+
 UNDETERMINED = "und"
 #: bounds of the model: hashed n-grams, lengths of n-grams, additive smoothing
 BUCKETS, LENGTHS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
@@ -112,18 +114,14 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     gives ``und`` and score 0. Ties go to the first language by name. Every row is answered
     on its own, so repeated rows get equal answers.
     """
-    source = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[list]:
         m = shared.value
-        for batch in batches:
-            found = [posterior(m, t) if m.languages and has_letter(t) else (UNDETERMINED, 0.0)
-                     for t in batch["__text"]]
-            yield batch[list(keep)].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+        found = [posterior(m, t) if m.languages and has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
+        return [[f[0] for f in found], [f[1] for f in found]]
 
-    return source.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return map_texts(docs, keep, {"lang_pred": "string", "score": "double"}, make)
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

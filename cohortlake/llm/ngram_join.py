@@ -255,7 +255,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     sets link, so repeated rows and rows that repeat an id are one component; ``component_id``
     is the smallest id in it, null only if none of its rows has one.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    # rows without an id carry a number that no id has, as a null would turn ids into floats
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").alias("text"))
     both = materialise(_sets(source, words))
     rows = both.filter("n is not null").select("id", "n", "name", "sketch")
     often = (both.filter("n is null").groupBy("token").agg(F.sum("times").alias("times"))
@@ -266,9 +267,9 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
     # tokens that decide for one row only lead nowhere
     first = _first_tokens(source, words, percent, (frequent[order], counts[order]))
-    repeated = first.groupBy("token").count().filter("count > 1").select("token")
+    repeated = materialise(first.groupBy("token").count().filter("count > 1").select("token"))
     shared = materialise(first.join(repeated, "token").distinct())
-    df = shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    df = materialise(shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     live = materialise(shared.join(df, "token"))
 
     # a group: classes with the same most frequent decisive token, cut by their id
@@ -291,14 +292,14 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     )).select("cls", "gid").distinct())
 
     names = materialise(rows.filter("n > 0").groupBy("name").agg(
-        F.min(F.coalesce("id", F.lit(_NO_ID))).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
     ).withColumn("cls", F.conv(F.substring("name", 1, 16), 16, -10).cast("long")))
     opened = materialise(_bounded(_meet(opened, groups, names.select("cls", "n", "sketch")), percent).distinct())
 
     # texts are read again for the classes that take part; one row answers for its class
     wanted = opened.select("cls").union(groups.join(opened.select("gid").distinct(), "gid").select("cls")).distinct()
     chosen = names.join(wanted, "cls").select("id", "name", "cls")
-    texts = source.withColumn("id", F.coalesce("id", F.lit(_NO_ID))).join(chosen, "id")
+    texts = source.join(chosen, "id")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 256):
@@ -314,11 +315,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     smallest = names.join(linked.withColumnRenamed("node", "name"), "name", "left").select(
         "name", F.coalesce("component", "name").alias("component"), F.col("id"))
     heads = smallest.groupBy("component").agg(F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("head"))
-    return _answer(rows, smallest, heads)
-
-
-def _answer(rows: DataFrame, smallest: DataFrame, heads: DataFrame) -> DataFrame:
     named = materialise(smallest.join(heads, "component").select("name", "head"))
+    id_ = F.when(F.col("id") != _NO_ID, F.col("id"))
     return rows.join(named, "name", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id")).alias("component_id"))
+        id_.alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("head")).otherwise(id_).alias("component_id"))

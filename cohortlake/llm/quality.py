@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.workers import map_texts
+
 #: bounds of the model: buckets of tokens, dimensions, ones in an index vector, neighbours on a side
 BUCKETS, DIMENSIONS, ONES, REACH = 1 << 12, 48, 4, 1
 #: bound of the labelled sample
@@ -219,17 +221,11 @@ def score(docs: DataFrame, model: Network | float, keep: tuple[str, ...] = ("doc
     """
     if isinstance(model, float):
         return docs.select(*[F.col(c).alias(c) for c in keep], F.lit(model).alias("score"))
-    source = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[list]:
         n = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at:at + 2048]
-                x = np.stack([pooled(t, n.vectors) for t in part["__text"]])
-                p = 1 / (1 + np.exp(-np.clip(_forward(x, n) / n.temperature, -60, 60)))
-                yield part[list(keep)].assign(score=p.astype(float))
+        x = np.stack([pooled(t, n.vectors) for t in texts])
+        return [1 / (1 + np.exp(-np.clip(_forward(x, n) / n.temperature, -60, 60)))]
 
-    return source.mapInPandas(run, f"{schema}, score double")
+    return map_texts(docs, keep, {"score": "double"}, make)

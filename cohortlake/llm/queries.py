@@ -14,6 +14,7 @@ from cohortlake.llm import (
     quality,
     secret_scan,
     sentencepiece_codec,
+    substring_dedup,
     template_decontamination,
     toxicity,
 )
@@ -30,6 +31,12 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.deduplicated(table(spark, folder, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return template_decontamination.findings(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -72,6 +79,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_template_decontamination": op3_template_decontamination,
     "op4_language_id": op4_language_id,
     "op6_sentencepiece": op6_sentencepiece,

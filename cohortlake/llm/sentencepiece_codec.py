@@ -15,15 +15,15 @@ import heapq
 import math
 import re
 import struct
-from collections.abc import Iterator
 from itertools import groupby
 
 import ahocorasick
-import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.workers import map_texts
+
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: segments kept, and the longest that is kept
@@ -235,18 +235,13 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) ->
     text counts as empty: begin and end ids, decoded to the empty text. Every row is kept,
     repeated ids and null ids included; columns not in ``keep`` are not read.
     """
-    source = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[list]:
         c = codec(model)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at:at + 512]
-                pairs = [c.encode(t if isinstance(t, str) else "") for t in part["__text"]]
-                yield part[list(keep)].assign(ids=[p[0] for p in pairs], decoded=[p[1] for p in pairs])
+        pairs = [c.encode(t or "") for t in texts]
+        return [[p[0] for p in pairs], [p[1] for p in pairs]]
 
-    return source.mapInPandas(run, f"{schema}, ids binary, decoded string")
+    return map_texts(docs, keep, {"ids": "binary", "decoded": "string"}, make)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

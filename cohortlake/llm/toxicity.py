@@ -8,18 +8,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cohortlake.llm.workers import map_texts
 from cohortlake.session import materialise
 
 #: bounds of what the model learns from: labelled documents, words of the lexicon
@@ -92,19 +90,13 @@ def _you() -> frozenset[str]:
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...]) -> DataFrame:
-    source = docs.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("__text"))
-    schema = T.StructType([f for f in source.schema if f.name != "__text"]
-                          + [T.StructField(f, T.DoubleType()) for f in FEATURES])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[list]:
         words, you = shared.value, _you()
-        for batch in batches:
-            rows = [features(t if isinstance(t, str) else "", words, you) for t in batch["__text"]]
-            table = pd.DataFrame(rows, columns=list(FEATURES), index=batch.index, dtype=float)
-            yield pd.concat([batch[list(keep)], table], axis=1)
+        return list(map(list, zip(*[features(t or "", words, you) for t in texts])))
 
-    return source.mapInPandas(run, schema)
+    return map_texts(docs, keep, dict.fromkeys(FEATURES, "double"), make)
 
 
 def sample(labelled: DataFrame, key: str, rows: int = SAMPLE) -> DataFrame:
