@@ -14,22 +14,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.text import gram_hashes, minimisers, pieces, signed, word_hashes
+from cohortlake.llm.text import gram_hashes, many_word_hashes, minimisers, pieces, signed
 from cohortlake.session import materialise
 
 
-def chosen(text: str | None, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors of a text, their places, and for each run of words its anchor."""
-    words = word_hashes(text.encode("utf-8", "replace")) if isinstance(text, str) else np.empty(0, np.uint64)
-    grams = gram_hashes(words, k)
-    places, of_run = minimisers(grams, window - k + 1)
-    return signed(grams[places]), places, of_run
+def chosen(texts: list[str], k: int, window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text the hashes of its anchors, their places, and for each run of words its anchor."""
+    out = []
+    for words in many_word_hashes([t.encode("utf-8", "replace") for t in texts]):
+        grams = gram_hashes(words, k)
+        places, of_run = minimisers(grams, window - k + 1)
+        out.append((signed(grams[places]), places, of_run))
+    return out
 
 
 def _records(source: DataFrame, k: int, window: int, placed: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 512):
-            found = [chosen(t, k, window) for t in part["text"]]
+            found = chosen(list(part["text"]), k, window)
             if placed:
                 yield pd.DataFrame({
                     "anchor": np.concatenate([f[0] for f in found]),
@@ -45,7 +47,7 @@ def _records(source: DataFrame, k: int, window: int, placed: bool) -> DataFrame:
 
 
 def repeated(source: DataFrame, k: int, window: int) -> DataFrame:
-    """``id`` and ``held``: places of anchors that two ids hold, with the smallest such id.
+    """``id``, ``places`` and ``firsts``: anchors that two ids hold, and the smallest such id of each.
 
     ``source`` has ``id`` (not null) and ``text``. Counting is a partial aggregate, so a
     frequent anchor is one record of a task; the join back can be split at a frequent anchor.
@@ -54,4 +56,5 @@ def repeated(source: DataFrame, k: int, window: int) -> DataFrame:
     first = materialise(_records(source, k, window, False).groupBy("anchor").agg(
         F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("anchor", "first"))
     met = _records(source, k, window, True).join(first, "anchor")
-    return met.groupBy("id").agg(F.collect_list(F.struct("place", "first")).alias("held"))
+    held = met.groupBy("id").agg(F.collect_list(F.struct("place", "first")).alias("held"))
+    return held.select("id", F.col("held.place").alias("places"), F.col("held.first").alias("firsts"))

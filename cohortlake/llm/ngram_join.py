@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.components import components
-from cohortlake.llm.text import gram_hashes, pieces, signed, word_hashes
+from cohortlake.llm.text import gram_hashes, many_word_hashes, pieces, signed
 from cohortlake.session import materialise
 
 #: bound of the list of frequent tokens, and the count in one batch of rows that makes a candidate
@@ -33,14 +33,14 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NO_ID = -(1 << 63)
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``words`` words, ascending; of the whole if shorter."""
-    if not isinstance(text, str):
-        return np.empty(0, np.uint64)
-    found = word_hashes(text.encode("utf-8", "replace").translate(_LOWER))
-    if not len(found):
-        return found
-    return np.unique(gram_hashes(found, min(words, len(found))) + np.uint64(len(found) if len(found) < words else 0))
+def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Per text the distinct hashes of its runs of ``words`` words, ascending; of the whole if shorter."""
+    out = []
+    for found in many_word_hashes([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]):
+        n = len(found)
+        out.append(np.unique(gram_hashes(found, words)) if n >= words
+                   else gram_hashes(found, n) + np.uint64(n) if n else found)
+    return out
 
 
 def digest(tokens: np.ndarray) -> str:
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
-            sets = [shingles(t, words) for t in batch["text"]]
+            sets = shingles(list(batch["text"]), words)
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets],
                                 "name": [digest(s) if len(s) else None for s in sets],
                                 "sketch": [sketch(s) if len(s) else None for s in sets], "token": 0, "times": 0})
@@ -101,8 +101,7 @@ def _first_tokens(docs: DataFrame, words: int, percent: int, often: tuple[np.nda
         for batch in pieces(batches):
             out: list[tuple[np.ndarray, ...]] = []
             rows = 0
-            for text in batch["text"]:
-                s = shingles(text, words)
+            for s in shingles(list(batch["text"]), words):
                 n = len(s)
                 if not n:
                     continue
@@ -303,7 +302,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 256):
-            sets = [shingles(t, words) for t in part["text"]]
+            sets = shingles(list(part["text"]), words)
             same = [digest(s) == name for s, name in zip(sets, part["name"])]
             yield part[["cls", "name"]].assign(tokens=[s.tobytes() for s in sets])[same]
 

@@ -27,7 +27,7 @@ from cohortlake.llm.text import pieces
 from cohortlake.session import materialise
 
 #: words of an anchor; words that one task streams past a shard; words of one automaton
-ANCHOR, SHARE, SHARD = 4, 100_000, 100_000
+ANCHOR, SHARE, SHARD = 5, 100_000, 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -105,16 +105,17 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 256):
             out = []
-            for id_, key, text, held in zip(part["id"], part["text_key"], part["text"], part["held"]):
-                _, places, of_run = chosen(text, ANCHOR, window)
+            anchors = chosen(list(part["text"]), ANCHOR, window)
+            for id_, key, text, at_, firsts, (_, places, of_run) in zip(
+                    part["id"], part["text_key"], part["text"], part["places"], part["firsts"], anchors):
                 if not len(of_run):
                     continue
                 # rows that repeat an id may bring places of the other text; they are harmless
                 first_at = np.full(int(places[-1]) + 1, -1, np.int64)
                 known = np.zeros(len(first_at), bool)
-                for h in held:
-                    if h["place"] < len(first_at):
-                        first_at[h["place"]], known[h["place"]] = h["first"], True
+                inside = at_ < len(first_at)
+                first_at[at_[inside]] = firsts[inside]
+                known[at_[inside]] = True
                 first, is_known = first_at[places][of_run], known[places][of_run]
                 words = _WORD.findall(text)
                 edge = np.flatnonzero((first[1:] != first[:-1]) | (is_known[1:] != is_known[:-1])) + 1

@@ -11,7 +11,9 @@ _PRIME = np.uint64(0x100000001B3)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: bytes hashed at a time, so that temporary arrays stay small for very long texts
 _SLICE = 1 << 20
-_powers = np.ones(1, np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_powers = _inverse = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,51 +23,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse modulo 2^64."""
+    global _powers, _inverse
     if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _PRIME, np.uint64)
-        grown[0] = 1
-        _powers = np.cumprod(grown, dtype=np.uint64)
-    return _powers[:n]
+        size = max(n, 2 * len(_powers))
+        tables = []
+        for base in (int(_PRIME), pow(int(_PRIME), -1, 1 << 64)):
+            grown = np.full(size, base, np.uint64)
+            grown[0] = 1
+            tables.append(np.cumprod(grown, dtype=np.uint64))
+        _powers, _inverse = tables
+    return _powers, _inverse
 
 
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets where words of ``[^\\x20\\x09-\\x0D]+`` start and end."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.ones(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1][(raw == 32) | ((raw >= 9) & (raw <= 13))] = 0
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
-def _hash_slices(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    length = ends - starts
-    table = _power_table(int(length.max()))
-    place = np.arange(int(ends[-1] - starts[0]), dtype=np.int64)
-    base = starts - starts[0]
-    offset = place - np.repeat(base, np.diff(np.append(base, len(place))))
-    inside = offset < np.repeat(length, np.diff(np.append(base, len(place))))
-    values = raw[starts[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
-    values *= table[np.minimum(offset, len(table) - 1)]
-    values[~inside] = 0
-    return np.add.reduceat(values, base)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """One mixed 64-bit hash for each word of a UTF-8 text."""
-    starts, ends = word_bounds(data)
+    """One mixed 64-bit hash for each word of a UTF-8 text.
+
+    A word's polynomial is a difference of running sums, brought back to power zero.
+    """
+    return hashes_at(data, *word_bounds(data))
+
+
+def hashes_at(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint64)
     raw, parts, first = np.frombuffer(data, np.uint8), [], 0
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + _SLICE)))
-        parts.append(_hash_slices(raw, starts[first:last], ends[first:last]))
+        base, end = starts[first], ends[last - 1]
+        powers, inverse = _power_tables(int(end - base) + 1)
+        sums = np.zeros(int(end - base) + 1, np.uint64)
+        np.cumsum((raw[base:end].astype(np.uint64) + np.uint64(1)) * powers[:end - base], out=sums[1:])
+        low = starts[first:last] - base
+        parts.append((sums[ends[first:last] - base] - sums[low]) * inverse[low])
         first = last
     return mix(np.concatenate(parts) + np.uint64(0x9E3779B97F4A7C15))
 
 
+def many_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """``word_hashes`` of several texts, hashed together."""
+    joined = b"\n".join(texts)
+    starts, ends = word_bounds(joined)
+    offsets = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(hashes_at(joined, starts, ends), np.searchsorted(starts, offsets[:-1])) if texts else []
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every run of ``k`` consecutive words."""
     n = len(words) - k + 1
@@ -92,7 +103,9 @@ def minimisers(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         smaller = other < value
         value[smaller] = other[smaller]
         best[smaller] = np.flatnonzero(smaller) + j
-    return np.unique(best, return_inverse=True)
+    # the places ascend with the runs
+    new = np.append(True, best[1:] != best[:-1])
+    return best[new], np.cumsum(new) - 1
 
 
 def signed(h: np.ndarray) -> np.ndarray:
