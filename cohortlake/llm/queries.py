@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import (
+    embedding_near_dedup,
     language_id,
     ngram_join,
     quality,
     secret_scan,
     sentencepiece_codec,
     substring_dedup,
+    suffix_dedup,
     template_decontamination,
     toxicity,
 )
@@ -37,6 +39,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, folder, "documents"), least=50).drop("text_key")
+
+
 def op3_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return template_decontamination.findings(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -49,6 +55,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_near_dedup.near_duplicates(table(spark, folder, "embeddings"), least=0.95)
+
+
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.digests(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -80,8 +90,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_template_decontamination": op3_template_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
