@@ -6,10 +6,9 @@ words to the left, range by range, so a passage that many documents share is cut
 several ranges. Neighbours are compared and their match is extended to both sides; a match
 of ``least`` words or more is a repeated passage.
 
-The neighbour with the longest match to the right can differ from the one with the longest
-match to the left, so a second order sorts equal anchors by what precedes them. A passage
-is missed only where both neighbours in both orders match it for less than ``least`` words,
-though a document farther off in the order would; README has the measured share.
+The neighbour with the longest match to the right need not have the longest to the left, so
+a suffix is compared with several before it. A passage is missed only where none of these
+matches it for ``least`` words, though one farther off would; README has the measured share.
 """
 
 from __future__ import annotations
@@ -27,11 +26,10 @@ from cohortlake.llm.anchors import chosen, repeated
 from cohortlake.llm.text import pieces
 from cohortlake.session import materialise
 
-#: words of an anchor
-ANCHOR = 10
+#: words of an anchor, and neighbours before a suffix that it is compared with
+ANCHOR, BACK = 10, 6
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: suffixes are sorted twice: by what follows, and by what precedes among equal anchors
-_ORDERS = (("right", "left", "id", "text_key", "place"), ("anchor", "left", "right", "id", "text_key", "place"))
+_ORDER = ("right", "left", "id", "text_key", "place")
 
 
 def _suffixes(docs: DataFrame, least: int) -> DataFrame:
@@ -75,63 +73,62 @@ def _match(a: tuple, b: tuple, least: int) -> tuple[int, int] | None:
     return (right, left) if right + left >= least and a[0] != b[0] else None
 
 
-def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
-    """Matches of neighbours within a range, and the first and last suffix of the range.
+def _pairs(s: tuple, before: list[tuple], least: int) -> Iterator[tuple]:
+    """Spans that a suffix and its neighbours before it hold in common, for both of them.
 
-    ``first`` is the smallest id of the run of matching neighbours, as far as the range goes.
+    The nearest comes first; a neighbour farther off counts only for what it adds.
     """
-    columns = ["id", "text_key", "place", "end", "partner", "first", "part", "edge", "right", "left"]
+    most_right = most_left = 0
+    for other in reversed(before):
+        m = _match(other, s, least)
+        if m and (m[0] > most_right or m[1] > most_left):
+            most_right, most_left = max(most_right, m[0]), max(most_left, m[1])
+            for x, y in ((s, other), (other, s)):
+                yield x[0], x[1], x[2] - m[1], x[2] + m[0], y[0]
+
+
+def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
+    """Matches of neighbours within a range, and the first and last suffixes of the range."""
+    columns = ["id", "text_key", "place", "end", "partner", "part", "edge", "right", "left"]
 
-    def rows_of(run: list[tuple], matches: list[tuple[int, int]]) -> Iterator[tuple]:
-        first = min(s[0] for s in run)
-        for i, s in enumerate(run):
-            around = [(m, run[j]) for m, j in ((matches[i - 1] if i else None, i - 1),
-                                               (matches[i] if i < len(matches) else None, i + 1)) if m]
-            for (right, left), other in around:
-                yield (s[0], s[1], s[2] - left, s[2] + right, other[0], first, None, None, None, None)
+    def edge(s: tuple, part: int, at: int) -> tuple:
+        return (s[0], s[1], s[2], None, None, part, at, s[3], s[4])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, opened, matches = TaskContext.get().partitionId(), None, [], []
+        part, before, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             out = []
             for s in zip(batch["id"], batch["text_key"], batch["place"], batch["right"], batch["left"]):
-                if last is None:
-                    out.append((s[0], s[1], s[2], None, None, None, part, "first", s[3], s[4]))
-                m = _match(last, s, least) if last else None
-                # a long run is closed early, and its last suffix opens the next one
-                if m is None or len(opened) > 10_000:
-                    if matches:
-                        out.extend(rows_of(opened, matches))
-                    opened, matches = ([last, s], [m]) if m else ([s], [])
-                else:
-                    opened.append(s)
-                    matches.append(m)
-                last = s
+                if before and s[:3] == before[-1][:3]:
+                    # a repeated row
+                    continue
+                if n < BACK:
+                    out.append(edge(s, part, n))
+                out.extend((*found, None, None, None, None) for found in _pairs(s, before, least))
+                before = [*before[1 - BACK:], s]
+                n += 1
             if out:
                 yield pd.DataFrame(out, columns=columns)
-        out = list(rows_of(opened, matches)) if matches else []
-        if last:
-            out.append((last[0], last[1], last[2], None, None, None, part, "last", last[3], last[4]))
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+        if n > BACK:
+            first = max(BACK, n - len(before))
+            yield pd.DataFrame([edge(s, part, first + i) for i, s in enumerate(before[first - n:])], columns=columns)
 
     return suffixes.mapInPandas(run, (
-        "id long, text_key long, place int, end int, partner long, first long, part int, edge string, "
-        "right string, left string"))
+        "id long, text_key long, place int, end int, partner long, part int, edge long, right string, left string"))
 
 
 def _across(edges: list, least: int) -> list[tuple]:
-    """Matches of the last suffix of a range with the first of the next, two rows a range."""
-    out = []
-    ordered = sorted(edges, key=lambda r: (r["part"], r["edge"] == "last"))
-    for a, b in zip(ordered, ordered[1:]):
-        if a["edge"] == "last" and b["edge"] == "first":
-            x, y = [(r["id"], r["text_key"], r["place"], r["right"], r["left"]) for r in (a, b)]
-            m = _match(x, y, least)
-            if m:
-                first = min(x[0], y[0])
-                out += [(x[0], x[1], x[2] - m[1], x[2] + m[0], y[0], first),
-                        (y[0], y[1], y[2] - m[1], y[2] + m[0], x[0], first)]
+    """Matches over the borders of ranges, from a few suffixes at each end of a range."""
+    out: list[tuple] = []
+    before: list[tuple] = []
+    part = None
+    for r in sorted(edges, key=lambda r: (r["part"], r["edge"])):
+        s = (r["id"], r["text_key"], r["place"], r["right"], r["left"])
+        if r["part"] != part:
+            part, earlier = r["part"], before
+        if earlier and r["edge"] < BACK:
+            out.extend(_pairs(s, earlier[r["edge"] - BACK:], least))
+        before = [*before[1 - BACK:], s]
     return out
 
 
@@ -148,20 +145,17 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
         F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     held = repeated(source, ANCHOR, least).select("id", "places")
     suffixes = materialise(_suffixes(
-        source.withColumn("text_key", F.xxhash64("text")).join(held, "id"), least).distinct()
-        .withColumn("anchor", F.substring_index("right", " ", ANCHOR)))
+        source.withColumn("text_key", F.xxhash64("text")).join(held, "id"), least))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["id", "text_key", "place", "end", "partner", "first"]
-    spans = docs.sparkSession.createDataFrame(
-        [], "id long, text_key long, place int, end int, partner long, first long")
-    for order in _ORDERS:
-        ranged = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        met = materialise(_neighbours(ranged.drop("anchor"), least))
-        edges = met.filter("edge is not null").collect()
-        spans = spans.union(met.filter("edge is null").select(columns)).union(
-            docs.sparkSession.createDataFrame(_across(edges, least), spans.schema))
+    ranged = suffixes.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    met = materialise(_neighbours(ranged, least))
+    # a few rows for each range
+    edges = met.filter("edge is not null").collect()
+    schema = "id long, text_key long, place int, end int, partner long"
+    spans = met.filter("edge is null").select("id", "text_key", "place", "end", "partner").union(
+        docs.sparkSession.createDataFrame(_across(edges, least), schema))
     listed = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct(
-        "place", "end", "partner", (F.col("first") < F.col("id")).alias("copy"))).alias("spans"))
+        "place", "end", "partner", (F.col("partner") < F.col("id")).alias("copy"))).alias("spans"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -97,12 +97,14 @@ def minimisers(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(grams) - window + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    best, value = np.arange(n, dtype=np.int64), grams[:n].copy()
-    for j in range(1, window):
-        other = grams[j:j + n]
-        smaller = other < value
-        value[smaller] = other[smaller]
-        best[smaller] = np.flatnonzero(smaller) + j
+    best, value, width = np.arange(len(grams), dtype=np.int64), grams, 1
+    while width < window:
+        # the smallest of twice as many, as far as the window goes
+        step = min(width, window - width)
+        later = value[step:] < value[:-step]
+        best = np.where(later, best[step:], best[:-step])
+        value = np.where(later, value[step:], value[:-step])
+        width += step
     # the places ascend with the runs
     new = np.append(True, best[1:] != best[:-1])
     return best[new], np.cumsum(new) - 1
