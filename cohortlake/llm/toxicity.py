@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.text import pieces
 from cohortlake.llm.workers import map_texts
 from cohortlake.session import materialise
 
@@ -43,7 +46,7 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 class Scorer:
     lexicon: dict[str, float]
     trees: GBTClassificationModel | None
-    steps: tuple[list[float], list[float]]
+    steps: IsotonicRegressionModel | None
     prior: float
 
 
@@ -109,15 +112,19 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
 
     ``train`` is the bounded sample, with ``text`` and ``label``.
     """
-    words = F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(_EDGE)))
 
-    def stems(n: int) -> F.Column:
-        longer = F.filter(words, lambda w: F.length(w) > n)
-        return F.transform(longer, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in pieces(batches, 256):
+            held: dict[str, list[int]] = {}
+            for text, label in zip(part["text"], part["label"]):
+                words = set(map(normal, _WORD.findall(text)))
+                for word in words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS)):
+                    held.setdefault(word, [0, 0])[int(label)] += 1
+            yield pd.DataFrame([(w, m, o) for w, (o, m) in held.items()], columns=["word", "marked", "other"])
 
-    listed = train.select("label", F.explode(F.array_distinct(F.concat(words, *map(stems, STEMS)))).alias("word"))
+    listed = train.select("text", "label").mapInPandas(run, "word string, marked long, other long")
     counted = listed.groupBy("word").agg(
-        F.sum("label").alias("marked"), F.sum(1 - F.col("label")).alias("other")).filter(
+        F.sum("marked").alias("marked"), F.sum("other").alias("other")).filter(
         (F.col("marked") >= LEAST_DOCS) & (F.length("word") > 1))
     total = train.agg(F.sum("label").alias("m"), F.sum(1 - F.col("label")).alias("o")).first()
     if not total["m"] or not total["o"]:
@@ -145,16 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = 12, depth: int = 4, row
                         .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))))
     shares = train.agg(F.count("*").alias("n"), F.sum("label").alias("m")).first()
     if not shares["n"] or shares["m"] in (0, shares["n"]):
-        return Scorer({}, None, ([], []), float((shares["m"] or 0) / shares["n"]) if shares["n"] else 0.0)
+        return Scorer({}, None, None, float((shares["m"] or 0) / shares["n"]) if shares["n"] else 0.0)
     lexicon = learn_lexicon(train.filter("part != 0"))
     table = materialise(assembled(with_features(train, lexicon, ("doc_id", "label", "part"))))
     inner = table.filter("part < 3")
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32,
                           stepSize=0.3, seed=7).fit(inner)
     outer = raw_scores(table.filter("part = 3 or part = 0"), model)
-    steps = IsotonicRegression(featuresCol="raw", labelCol="label").fit(
+    steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(
         outer.select(F.col("raw"), F.col("label").cast("double").alias("label")))
-    return Scorer(lexicon, model, ([float(b) for b in steps.boundaries], [float(p) for p in steps.predictions]), 0.0)
+    return Scorer(lexicon, model, steps, 0.0)
 
 
 def assembled(df: DataFrame) -> DataFrame:
@@ -165,18 +172,6 @@ def raw_scores(df: DataFrame, model: GBTClassificationModel) -> DataFrame:
     return model.transform(df).withColumn("raw", vector_to_array("probability")[1])
 
 
-def calibrated(raw: F.Column, steps: tuple[list[float], list[float]]) -> F.Column:
-    """Linear between the steps of the isotonic fit, and never outside 0 to 1."""
-    x, y = steps
-    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, x)), lambda b: b <= raw)), F.lit(0))
-    xs, ys = F.array(*map(F.lit, x)), F.array(*map(F.lit, y))
-    low, high = F.greatest(at, F.lit(1)), F.least(at + 1, F.lit(len(x)))
-    x0, x1 = F.element_at(xs, low), F.element_at(xs, high)
-    y0, y1 = F.element_at(ys, low), F.element_at(ys, high)
-    between = F.when(x1 > x0, y0 + (y1 - y0) * (F.greatest(raw, x0) - x0) / (x1 - x0)).otherwise(y0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), between))
-
-
 def score(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``score`` from 0 to 1, higher for likelier toxic.
 
@@ -186,4 +181,5 @@ def score(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("doc_id",))
     if scorer.trees is None:
         return docs.select(*[F.col(c).alias(c) for c in keep], F.lit(scorer.prior).alias("score"))
     scored = raw_scores(assembled(with_features(docs, scorer.lexicon, keep)), scorer.trees)
-    return scored.select(*keep, calibrated(F.col("raw"), scorer.steps).alias("score"))
+    # linear between the steps of the isotonic fit, and constant outside them
+    return scorer.steps.transform(scored.select(*keep, "raw")).select(*keep, "score")
