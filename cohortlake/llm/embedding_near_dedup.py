@@ -257,7 +257,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     rows = rows.withColumn("name", F.when(
         sound, F.sha2(F.concat_ws(",", F.transform("vec", lambda v: (v + 0.0).cast("string"))), 256)))
     keyed = rows.filter("name is not null")
-    classes = materialise(keyed.groupBy("name").agg(F.count("*").alias("n"), F.min("vec_id").alias("least_id"),
+    classes = materialise(keyed.groupBy("name").agg(F.count("*").alias("n"), F.min(F.when(F.col("vec_id") != none, F.col("vec_id"))).alias("least_id"),
                                                     F.first("vec").alias("vec"))
                           .withColumn("id", F.monotonically_increasing_id()))
     pairs = None
@@ -286,7 +286,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     member = components(pairs).withColumnRenamed("node", "id")
     known = classes.join(member, "id", "left").join(degree, "id", "left").select(
         "name", "n", "least_id", F.coalesce("component", "id").alias("component"), F.coalesce("others", F.lit(0)).alias("others"))
-    heads = known.groupBy("component").agg(F.min(F.when(F.col("least_id") != none, F.col("least_id"))).alias("head"))
+    heads = known.groupBy("component").agg(F.min("least_id").alias("head"))
     answer = materialise(known.join(heads, "component").select(
         "name", (F.col("others") + F.col("n") - 1).alias("n_links"), "head"))
     id_ = F.when(F.col("vec_id") != none, F.col("vec_id"))

@@ -291,7 +291,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     )).select("cls", "gid").distinct())
 
     names = materialise(rows.filter("n > 0").groupBy("name").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.min("id").alias("id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
     ).withColumn("cls", F.conv(F.substring("name", 1, 16), 16, -10).cast("long")))
     opened = materialise(_bounded(_meet(opened, groups, names.select("cls", "n", "sketch")), percent).distinct())
 
@@ -312,8 +312,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
     linked = components(links)
     smallest = names.join(linked.withColumnRenamed("node", "name"), "name", "left").select(
-        "name", F.coalesce("component", "name").alias("component"), F.col("id"))
-    heads = smallest.groupBy("component").agg(F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("head"))
+        "name", F.coalesce("component", "name").alias("component"), "least_id")
+    heads = smallest.groupBy("component").agg(F.min("least_id").alias("head"))
     named = materialise(smallest.join(heads, "component").select("name", "head"))
     id_ = F.when(F.col("id") != _NO_ID, F.col("id"))
     return rows.join(named, "name", "left").select(

@@ -108,10 +108,10 @@ def _neighbours(suffixes: DataFrame, least: int) -> DataFrame:
                 before = [*before[1 - BACK:], s]
                 n += 1
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield pd.DataFrame(out, columns=columns, dtype=object)
         if n > BACK:
             first = max(BACK, n - len(before))
-            yield pd.DataFrame([edge(s, part, first + i) for i, s in enumerate(before[first - n:])], columns=columns)
+            yield pd.DataFrame([edge(s, part, first + i) for i, s in enumerate(before[first - n:])], columns=columns, dtype=object)
 
     return suffixes.mapInPandas(run, (
         "id long, text_key long, place int, end int, partner long, part int, edge long, right string, left string"))
