@@ -74,15 +74,6 @@ ICU_CATEGORIES = [
     ("MIXED", ["mixed"]),
 ]
 
-# explanations of risk factors; {} takes the value
-FACTOR_TEXTS = {
-    "early_icu_score": "{} ICU admission indicates critical illness",
-    "age_at_admission": "Advanced age ({} years) increases baseline mortality risk",
-    "emergency_admission": "Emergency admission suggests acute decompensation",
-    "n_icu_transfers": "{} ICU transfer(s) indicate complications",
-    "los_icu_hours": "Extended ICU stay ({} hours) indicates severity",
-}
-
 ADMISSION_LOCATIONS = [
     "CLINIC REFERRAL",
     "EMERGENCY ROOM",
