@@ -127,7 +127,7 @@ def with_event_date(records: DataFrame) -> DataFrame:
     return records.withColumn("event_date", F.to_date("event_timestamp"))
 
 
-def append_records(records: DataFrame, path: str, files_per_day: int = 1) -> None:
+def append_records(records: DataFrame, path: str, files_per_day: int | None = None) -> None:
     """Append to the day-partitioned log (S15, S16); a busy day is written by several tasks."""
     dated = spread(with_event_date(records), ["event_date"], "log_id", files_per_day)
     append_table(dated, path, by=("event_date",))

@@ -52,11 +52,12 @@ def build_layers(sources: Mapping[str, DataFrame]) -> dict[str, dict[str, DataFr
 
 def write_layers(
     spark: SparkSession, sources: Mapping[str, DataFrame], folder: str, prefix: str = "",
-    files_per_partition: int = 1,
+    files_per_partition: int | None = None,
 ) -> dict[str, dict[str, DataFrame]]:
     """Build and store every table in order; later tables read the stored earlier ones.
 
-    Site and split have nine combinations, so ``files_per_partition`` sets how many tasks
+    Site and split have nine combinations, so large ones are split by their measured size;
+    ``files_per_partition`` sets instead how many tasks
     write each of them; raise it with the size of the data.
     """
     names = {layer: f"{prefix}{layer}" for layer in BUILDERS}

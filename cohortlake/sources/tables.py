@@ -76,21 +76,27 @@ def percent_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 # ---- sinks --------------------------------------------------------------------
 
 
-def spread(df: DataFrame, by: Sequence[str], key: str, files: int) -> DataFrame:
-    """Rows placed so that each partition value is written by ``files`` tasks."""
-    return df.repartition(*by, F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
+def spread(df: DataFrame, by: Sequence[str], key: str | None, files: int | None) -> DataFrame:
+    """Rows placed by partition value, so that a value is written by few tasks but not by one.
+
+    With ``files`` each value goes to that many tasks. Without, adaptive execution rebalances:
+    a value with many rows is split by its measured size, small ones share a task.
+    """
+    if files is not None and key is not None:
+        return df.repartition(*by, F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
+    return df.hint("rebalance", *by)
 
 
 def write_table(
-    df: DataFrame, path: str, by: Sequence[str] = (), key: str | None = None, files: int = 1,
+    df: DataFrame, path: str, by: Sequence[str] = (), key: str | None = None, files: int | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Write parquet, optionally partitioned.
 
-    Partition columns are often few and uneven, so rows are spread over ``files`` hash
-    buckets of ``key`` inside each partition instead of one task per partition value.
+    Partition columns are often few and uneven, so large values are split over several
+    tasks (see ``spread``) instead of one task per partition value.
     """
-    if by and key:
+    if by:
         df = spread(df, by, key, files)
     writer = df.write.mode(mode)
     if by:

@@ -113,3 +113,16 @@ def test_intermediates_are_written_and_dropped(spark):
     assert kept.count() == 5 and S.path_exists(spark, folder)
     assert drop_intermediates(spark) >= 1 and not S.path_exists(spark, folder)
     assert drop_intermediates(spark) == 0
+
+
+def test_a_large_partition_value_is_written_by_several_tasks(spark, tmp_path):
+    from cohortlake.sources import tables as S
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).selectExpr("id", "uuid() AS filler", "if(id % 10 = 0, 'small', 'hot') AS site")
+        S.write_table(rows, str(tmp_path / "t"), by=("site",), key="id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "site=hot").glob("*.parquet"))) > 2
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
