@@ -124,10 +124,17 @@ def with_fingerprint(df: DataFrame, fields: Sequence[str] = tuple(V.SHARED_FIELD
 
 
 def k_anonymous(df: DataFrame, quasi: Sequence[str], k: int = V.K_ANONYMITY) -> DataFrame:
-    """Groups of at least k rows with their size; smaller ones without it."""
-    groups = df.groupBy(*quasi).agg(F.count(F.lit(1)).alias("_n"))
-    met = F.col("_n") >= k
-    return groups.select(*quasi, met.alias("k_anonymity_met"), F.when(met, F.col("_n")).alias("n"))
+    """Groups of at least k rows with their size, and one row that counts the others.
+
+    That somebody has the values of a small group is what k-anonymity hides, so its values
+    are not released; the last row has no values and the number of suppressed groups.
+    """
+    groups = df.groupBy(*quasi).agg(F.count(F.lit(1)).alias("n"))
+    met = groups.filter(F.col("n") >= k).select(*quasi, "n", F.lit(None).cast("bigint").alias("suppressed_groups"))
+    rest = groups.agg(F.count_if(F.col("n") < k).alias("suppressed_groups")).select(
+        *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in quasi],
+        F.lit(None).cast("bigint").alias("n"), "suppressed_groups")
+    return met.unionByName(rest)
 
 
 def noisy_counts(

@@ -64,7 +64,7 @@ _ADM_OR_DEFAULT = ADMISSION_MAP.replace("admission_text", "adm_text")
 _ANON = f"""{TERM_TABLES}, {_PERSON}, d AS (SELECT DISTINCT admission_text, coalesce(admission_text, 'EMERGENCY') AS adm_text, icu_text FROM requests),
   m AS (SELECT admission_text, icu_text, ({_ADM_OR_DEFAULT}) AS ats, ({ICU_MAP}) AS it FROM d),
   anon AS (SELECT request_id, {_bucket('age')} AS age_bucket, {GENDER} AS gender, ats[1] AS admission_type, ats AS admission_types_all,
-    {category('ats[1]')} AS admission_type_category, CAST(greatest(0, least(3, score_text)) AS INT) AS early_icu_score,
+    {category('ats[1]')} AS admission_type_category, CAST(CASE WHEN score_text IS NULL THEN 2 ELSE greatest(0, least(3, score_text)) END AS INT) AS early_icu_score,
     it[1] AS icu_type, {icu_category('it[1]')} AS icu_type_category, {_range('risk_score')} AS risk_score_range,
     1 AS weekend_admission, 0 AS night_admission, CAST({category('ats[1]')} = 'EMERGENCY' AS INT) AS emergency_admission,
     requesting_hospital AS source_hospital, 'k_anonymity_5' AS privacy_level
@@ -134,8 +134,10 @@ def _(t):
 
 
 @query("v10_k_anonymity", check(f"""
-    SELECT gender, {_bucket('age')} AS age_bucket, insurance, race, count(*) >= 30 AS k_anonymity_met,
-      CASE WHEN count(*) >= 30 THEN count(*) END AS n FROM predictions GROUP BY 1, 2, 3, 4"""))
+    WITH g AS (SELECT gender, {_bucket('age')} AS age_bucket, insurance, race, count(*) AS n
+      FROM predictions GROUP BY 1, 2, 3, 4)
+    SELECT *, CAST(NULL AS BIGINT) AS suppressed_groups FROM g WHERE n >= 30
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*) FILTER (n < 30) FROM g"""))
 def _(t):
     rows = t.predictions.withColumn("age_bucket", G.age_bucket(F.col("age")))
     return PR.k_anonymous(rows, ["gender", "age_bucket", "insurance", "race"], 30)
@@ -163,7 +165,7 @@ def _(t):
 
 _ASKED = f"""asked AS (SELECT DISTINCT requesting_hospital, age_bucket, admission_text, early_icu_score, icu_text FROM
     (SELECT requesting_hospital, CASE WHEN request_id % 4 = 0 THEN '75+' ELSE ((18 + request_id % 80) // 10 * 10) || '-' || ((18 + request_id % 80) // 10 * 10 + 10) END AS age_bucket,
-      admission_text, CAST(greatest(0, least(3, score_text)) AS INT) AS early_icu_score, icu_text FROM requests)),
+      admission_text, CAST(CASE WHEN score_text IS NULL THEN 2 ELSE greatest(0, least(3, score_text)) END AS INT) AS early_icu_score, icu_text FROM requests)),
   bounded AS (SELECT *, CAST(split_part(replace(age_bucket, '+', '-120'), '-', 1) AS INT) AS low, CAST(split_part(replace(age_bucket, '+', '-120'), '-', 2) AS INT) AS high FROM asked),
   va AS (SELECT unnest({lst(V.ADMISSION_TYPES)}) AS v, unnest(range(9)) AS p),
   mapped AS (SELECT *, CASE WHEN admission_text IS NULL THEN {lst(V.EMERGENCY_ADMISSION_TYPES)} ELSE coalesce(
