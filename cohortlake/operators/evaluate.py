@@ -13,6 +13,11 @@ from cohortlake.operators.runs import sorted_runs
 COUNTS = ["tp", "fp", "fn", "tn"]
 
 
+def scored(df: DataFrame, score: str = "score") -> DataFrame:
+    """The rows that have a score: a row without one is neither positive nor negative, and in no bin."""
+    return df.filter(F.col(score).isNotNull())
+
+
 def confusion_counts(
     threshold: float | Column = 0.5, label: str = "y_true", score: str = "score"
 ) -> list[Column]:
@@ -113,7 +118,11 @@ def pr_points(points: DataFrame) -> DataFrame:
 
 
 def calibration(df: DataFrame, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """Mean score and observed rate in uniform right-closed score bins (A42); empty bins are absent."""
+    """Mean score and observed rate in uniform right-closed score bins (A42); empty bins are absent.
+
+    Rows without a score are left out.
+    """
+    df = scored(df)
     last = F.lit(bins - 1)
     index = F.greatest(F.lit(0), F.least(last, F.ceil(F.col("score") * bins) - 1)).cast("int")
     return df.groupBy(*by, index.alias("bin")).agg(
@@ -129,7 +138,8 @@ def melt_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> D
 
 
 def accuracy_by_class(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Share of correct rows per true class."""
+    """Share of correct rows per true class (A66), over the rows with a score."""
+    df = scored(df)
     right = (F.col("score") >= threshold).cast("int") == F.col("y_true")
     return df.groupBy("y_true").agg(
         F.count(F.lit(1)).alias("n"),

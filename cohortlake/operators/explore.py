@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,16 +68,14 @@ def rate_by(df: DataFrame, keys: Sequence[str | Column], flag: str) -> DataFrame
 
 
 def crosstab_share(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Row-normalised cross-tabulation in percent, one column per value."""
-    wide = df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).fillna(0)
-    total = reduce(lambda a, b: a + b, [F.col(f"`{v}`") for v in values])
-    return wide.select(
-        row,
-        *[
-            F.when(total > 0, F.col(f"`{v}`") / total.cast("double") * 100).otherwise(0.0).alias(v)
-            for v in values
-        ],
-    )
+    """Row-normalised cross-tabulation in percent, one column per value.
+
+    The share is of all rows of a key, also of those whose value is not listed or NULL.
+    """
+    total = F.count(F.lit(1)).cast("double")
+    return df.groupBy(row).agg(*[
+        (F.count_if(F.col(column) == v) / total * 100).alias(v) for v in values
+    ])
 
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

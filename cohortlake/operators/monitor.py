@@ -107,12 +107,12 @@ def distribution_shift(
 ) -> DataFrame:
     """KL divergence of two score distributions over uniform bins (Q08).
 
-    Counts get one added per bin, so empty bins stay finite.
+    Counts get one added per bin, so empty bins stay finite. Rows without a score are left out.
     """
     bucket = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
 
     def counted(df: DataFrame, p: int) -> DataFrame:
-        return df.select(bucket.alias("bin"), F.lit(p).alias("p"), F.lit(1 - p).alias("q"))
+        return E.scored(df).select(bucket.alias("bin"), F.lit(p).alias("p"), F.lit(1 - p).alias("q"))
 
     every = current.agg(F.count(F.lit(1)).alias("_n")).select(
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),

@@ -42,8 +42,9 @@ def sweep(
     """Confusion counts and metrics at every grid threshold.
 
     Each row is counted once, in the grid cell of its score; thresholds are suffix sums
-    over at most ``count + 1`` cells per group.
+    over at most ``count + 1`` cells per group. Rows without a score are left out.
     """
+    df = E.scored(df)
     by = list(by)
     count = grid[2]
     cells = df.groupBy(*by, _passed(F.col("score"), *grid).alias("cell")).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.functions import clinical as C
+from cohortlake.functions import vocabulary as V
 from cohortlake.operators import curated, verification
 from cohortlake.operators.runs import sorted_runs
 from cohortlake.plans.checks import check
@@ -31,9 +32,10 @@ def _(t):
     return features.select("hadm_id", "subject_id", "icu_type", "n_icu_transfers", "n_total_transfers", "early_icu_score")
 
 
-query("j04_site_stays", check("SELECT * FROM site_stays WHERE assigned_hospital = 'hospital_a'"))(
-    lambda t: curated.site_table(t.site_stays, "hospital_a")
-)
+@query("j04_site_stays", check("SELECT * FROM site_stays"))
+def _(t):
+    a, b, c = (curated.site_table(t.site_stays, site) for site in V.SITES)
+    return a.union(b).union(c)
 
 
 @query("j05_transfer_counts", check("""

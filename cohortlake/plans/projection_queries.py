@@ -293,7 +293,7 @@ def _(t):
         OR contains(term, lower(trim(icu_text)))) AND lower(trim(icu_text)) NOT IN {inlist([v.lower() for v in V.ICU_TYPES])} AS wi FROM m)
     SELECT request_id, a1 AS admission_type_primary, {category('a1')} AS admission_type_category,
       i1 AS icu_type_primary, {icu_category('i1')} AS icu_type_category,
-      CAST(greatest(0, least(3, score_text)) AS INT) AS early_icu_score, {GENDER} AS gender,
+      CAST(CASE WHEN score_text IS NULL THEN 2 ELSE greatest(0, least(3, score_text)) END AS INT) AS early_icu_score, {GENDER} AS gender,
       list_filter([CASE WHEN wa THEN 'Admission type ''' || r.admission_text || ''' not recognized' END,
         CASE WHEN wi THEN 'ICU type ''' || r.icu_text || ''' not recognized' END], lambda x: x IS NOT NULL) AS warnings
     FROM requests r JOIN w ON r.admission_text IS NOT DISTINCT FROM w.admission_text AND r.icu_text IS NOT DISTINCT FROM w.icu_text"""))

@@ -337,3 +337,18 @@ def test_given_flags_are_kept(spark):
     row = prep.complete_features(df).first()
     assert (row["night_admission"], row["ed_admission_flag"], row["early_icu_score"]) == (1, 1, 0)
     assert row["race"] == "UNKNOWN" and row["los_hospital_days"] == pytest.approx(50 / 24)
+
+
+def test_missing_values_stay_apart(spark):
+    from cohortlake.functions import clinical as C
+    from cohortlake.operators import evaluate as E, explore as X, monitor as M, thresholds as H
+
+    scores = spark.createDataFrame([(None,), (-1,), (2,), (9,)], "s int")
+    assert [r[0] for r in scores.select(C.valid_early_score(F.col("s"))).collect()] == [2, 0, 2, 3]
+    listed = spark.createDataFrame([("k", "a"), ("k", "x"), ("k", None), ("k", "a")], "k string, v string")
+    assert X.crosstab_share(listed, "k", "v", ["a", "b"]).first().asDict() == {"k": "k", "a": 50.0, "b": 0.0}
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, None)], "y_true int, score double")
+    assert {r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in H.sweep(rows).collect()} == {2}
+    assert sum(r["n"] for r in E.calibration(rows).collect()) == 2
+    assert sum(r["n"] for r in E.accuracy_by_class(rows).collect()) == 2
+    assert M.distribution_shift(rows, rows.filter("score is not null")).first()["kl"] == 0
