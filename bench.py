@@ -20,12 +20,13 @@ HEADLINE = [
     "a51_slice_metrics", "m02_stratified_split", "m05_standardisation", "m06_label_encoding",
     "q03_schema_drift", "q04_quality_findings", "v04_anonymise", "v06_pattern_scan",
     "v10_k_anonymity", "v13_network_cohort_query", "v15_audit_records", "st2_action_counts_stream",
+    "s08_ordered_build", "m11_oversampling", "m14_federated_rounds",
 ]
 
 
 def main() -> None:
     from cohortlake.plans.catalogue import CATALOGUE
-    from cohortlake.session import build_session
+    from cohortlake.session import build_session, intermediates
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -35,7 +36,8 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        CATALOGUE[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+        with intermediates(spark):
+            CATALOGUE[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({

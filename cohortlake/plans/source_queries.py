@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,6 +22,11 @@ def _stored_predictions(t) -> DataFrame:
     return S.read_table(t.spark, path)
 
 
+def _run_prefix() -> str:
+    """Catalog names of one run, so that runs on one metastore never meet."""
+    return f"run_{uuid.uuid4().hex[:12]}_"
+
+
 @query("s01_full_scan", "SELECT * FROM orders")
 def _(t):
     return S.read_table(t.spark, f"{t.folder}/orders.parquet")
@@ -73,16 +79,20 @@ def _small_sources(t):
 
 
 @query("s07_layer_databases", check("""
-    SELECT * FROM (VALUES ('curated'), ('federated'), ('verification')) AS v(layer),
-      (SELECT count(*) AS n_patients FROM patients)"""))
+    SELECT layer, 0 AS n_tables, n_patients FROM (VALUES ('curated'), ('federated'), ('verification')) AS v(layer),
+      (SELECT count(*) AS n_patients FROM patients)""").replace("0 AS n_tables", "CAST(0 AS BIGINT) AS n_tables"))
 def _(t):
     names = list(layers.BUILDERS)
     folder = run_path(t.spark, "layers")
-    prefix = "made_"
-    S.ensure_layers(t.spark, [prefix + n for n in names], folder)
-    present = [F.lit(n) for n in names if t.spark.catalog.databaseExists(prefix + n)]
-    return t.patients.agg(F.count(F.lit(1)).alias("n_patients")).select(
-        F.explode(F.array(*present)).alias("layer"), "n_patients")
+    prefix = _run_prefix()
+    made = [prefix + n for n in names]
+    S.ensure_layers(t.spark, made, folder)
+    S.ensure_layers(t.spark, made, folder)  # the second call finds them
+    held = S.layer_tables(t.spark, [n for n in made if t.spark.catalog.databaseExists(n)])
+    present = [F.struct(F.lit(n.removeprefix(prefix)).alias("layer"), F.lit(len(held[n])).cast("bigint").alias("n_tables"))
+               for n in held]
+    S.drop_layers(t.spark, made)
+    return t.patients.agg(F.count(F.lit(1)).alias("n_patients")).select(F.inline(F.array(*present)), "n_patients")
 
 
 @query("s08_ordered_build", check("""
@@ -98,14 +108,18 @@ def _(t):
     UNION ALL SELECT 9, 'verification', 'data_leakage_check',
       (SELECT count(DISTINCT assigned_hospital) FROM site_stays)"""))
 def _(t):
-    built = layers.write_layers(t.spark, _small_sources(t), run_path(t.spark, "build"), "ordered_")
+    prefix, folder = _run_prefix(), run_path(t.spark, "build")
+    built = layers.write_layers(t.spark, _small_sources(t), folder, prefix)
     counts, position = [], 0
     for layer, tables in built.items():
-        for name, df in tables.items():
+        for name in tables:
             position += 1
-            counts.append(df.agg(F.count(F.lit(1)).alias("n")).select(
+            stored = S.read_table(t.spark, f"{folder}/{layer}/{name}")
+            counts.append(stored.agg(F.count(F.lit(1)).alias("n")).select(
                 F.lit(position).alias("position"), F.lit(layer).alias("layer"),
                 F.lit(name).alias("table_name"), "n"))
+    # the files stay under their paths
+    S.drop_layers(t.spark, [prefix + layer for layer in built])
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -114,14 +128,16 @@ def _(t):
     UNION ALL SELECT 'listed_curated', 'fact_transfers', (SELECT count(*) FROM transfers)"""))
 def _(t):
     folder = run_path(t.spark, "listed")
-    S.ensure_layers(t.spark, ["listed_curated"], folder)
+    listed = _run_prefix() + "curated"
+    S.ensure_layers(t.spark, [listed], folder)
     for name, df in {"dim_patient": t.dim_patient, "fact_transfers": t.fact_transfers}.items():
-        df.write.mode("overwrite").option("path", f"{folder}/{name}").saveAsTable(f"listed_curated.{name}")
+        df.write.mode("overwrite").option("path", f"{folder}/{name}").saveAsTable(f"{listed}.{name}")
     counts = [
-        t.spark.table(f"{layer}.{name}").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(layer).alias("layer"), F.lit(name).alias("table_name"), "n")
-        for layer, names in S.layer_tables(t.spark, ["listed_curated"]).items() for name in names
+        S.read_table(t.spark, f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit("listed_curated").alias("layer"), F.lit(name).alias("table_name"), "n")
+        for name in S.layer_tables(t.spark, [listed])[listed]
     ]
+    S.drop_layers(t.spark, [listed])
     return reduce(DataFrame.unionByName, counts)
 
 

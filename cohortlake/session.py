@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,26 +53,47 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cohortlake/{name}-{uuid.uuid4().hex}"
 
 
-_intermediates: list[str] = []
+#: tables written outside of any scope
+_unscoped: list[str] = []
+_intermediates: ContextVar[list[str]] = ContextVar("intermediates", default=_unscoped)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """An intermediate result written to the shared folder, to be read more than once.
 
     The written table cuts the lineage, survives lost executors, and gives the planner
-    its size and column pruning. It stays until ``drop_intermediates``.
+    its size and column pruning. It stays until the ``intermediates`` scope around the
+    call ends, or until ``drop_intermediates``.
     """
     path = run_path(df.sparkSession, "intermediate")
     df.write.parquet(path)
-    _intermediates.append(path)
+    _intermediates.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_intermediates(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote; results built on them end with it."""
+    """Delete the intermediate tables of the current scope; results built on them end with it.
+
+    Tables of other scopes, of this thread or another, are left alone.
+    """
+    written = _intermediates.get()
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _intermediates:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_intermediates.pop())
+    while written:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.pop())
         dropped += bool(target.getFileSystem(hadoop).delete(target, True))
     return dropped
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A scope of its own for intermediate tables: they are deleted when it ends.
+
+    Write or collect the results inside it.
+    """
+    token = _intermediates.set([])
+    try:
+        yield
+    finally:
+        drop_intermediates(spark)
+        _intermediates.reset(token)

@@ -118,6 +118,14 @@ def ensure_layers(spark: SparkSession, layers: Sequence[str], folder: str) -> No
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{layer}` LOCATION '{folder}/{layer}'")
 
 
+def drop_layers(spark: SparkSession, layers: Sequence[str]) -> None:
+    """Take layers out of the catalog. Tables stored under a path of their own keep their files."""
+    for layer in layers:
+        for table in spark.catalog.listTables(layer):
+            spark.sql(f"DROP TABLE IF EXISTS `{layer}`.`{table.name}`")
+        spark.sql(f"DROP DATABASE IF EXISTS `{layer}`")
+
+
 def layer_tables(spark: SparkSession, layers: Sequence[str]) -> dict[str, list[str]]:
     """Table names per layer from the catalog."""
     return {

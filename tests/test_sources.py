@@ -126,3 +126,46 @@ def test_a_large_partition_value_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list((tmp_path / "t" / "site=hot").glob("*.parquet"))) > 2
     assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+
+
+def test_scopes_of_two_threads_leave_each_other_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from cohortlake.session import intermediates
+
+    both = Barrier(2)
+
+    def work(rows, first):
+        with intermediates(spark):
+            kept = materialise(spark.range(rows))
+            folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+            both.wait(60)
+            if first:
+                drop_intermediates(spark)
+            both.wait(60)
+            found = None if first else kept.count()
+        return found, folder
+
+    with ThreadPoolExecutor(2) as pool:
+        one, other = pool.submit(work, 3, True), pool.submit(work, 4, False)
+        assert other.result()[0] == 4
+        assert not any(S.path_exists(spark, f.result()[1]) for f in (one, other))
+
+
+def test_two_builds_never_share_catalog_names(spark):
+    from cohortlake.plans.catalogue import CATALOGUE
+    from tests.conftest import SMALL
+
+    before = {d.name for d in spark.catalog.listDatabases()}
+    first, second = (CATALOGUE["s08_ordered_build"].run(spark, SMALL) for _ in range(2))
+    assert {d.name for d in spark.catalog.listDatabases()} == before
+    assert sorted(first.collect()) == sorted(second.collect())
+
+
+def test_drift_of_stored_sizes(spark):
+    now = P.schema_rows({"t": spark.range(4)}, "l")
+    sizes = spark.createDataFrame([("t", 3.5)], "table_name string, size_mb double")
+    before = spark.createDataFrame([("t", 1.25)], "table_name string, size_mb double")
+    row = P.table_drift(now, P.schema_rows({"t": spark.range(2)}, "l"), sizes, before).first()
+    assert (row["delta"], row["baseline_mb"], row["current_mb"], row["delta_mb"]) == (2, 1.25, 3.5, 2.25)
