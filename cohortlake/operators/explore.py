@@ -21,10 +21,13 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Count and share per value (A22); the total is a scalar subquery, not a global window."""
-    total = df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).cast("double")).scalar()
+    """Count and share per value.
+
+    The total is a scalar over the grouped rows and shares their exchange: one scan, no
+    global window.
+    """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / total)
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n").cast("double")).scalar())
 
 
 def top_categories(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -94,8 +97,9 @@ def quantile_cap(df: DataFrame, column: str, p: float = 0.95) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal-width bins between minimum and maximum."""
     v = F.col(column).cast("double")
-    low = df.agg(F.min(v)).scalar()
-    width = df.agg(F.max(v) - F.min(v)).scalar()
+    # one scan for both bounds, one for the counts
+    bounds = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high"))).scalar()
+    low, width = bounds["low"], bounds["high"] - bounds["low"]
     at = F.when(F.col("_w") > 0, F.floor((F.col("_v") - F.col("_l")) / F.col("_w") * bins)).otherwise(0)
     return (
         df.filter(v.isNotNull())

@@ -31,11 +31,14 @@ def field_kind(data_type: T.DataType) -> str | None:
     return "boolean" if isinstance(data_type, T.BooleanType) else None
 
 
-def _statistics(name: str, kind: str, approximate: bool) -> dict[str, Column]:
+def _statistics(name: str, kind: str, approximate: bool, distinct_of: Sequence[str]) -> dict[str, Column]:
     c = F.col(f"`{name}`")
-    out = {"count": F.count(c)}
-    if kind in ("numeric", "string"):
-        out["distinct"] = F.approx_count_distinct(c) if approximate else F.countDistinct(c)
+    # the length stands for a string, so the rows of the aggregate carry no text
+    out = {"count": F.count(F.length(c) if kind == "string" else c)}
+    if kind in distinct_of:
+        # a string is told apart by its 16-byte digest, so no text is shuffled
+        value = F.unhex(F.md5(c.cast("binary"))) if kind == "string" else c
+        out["distinct"] = F.approx_count_distinct(c) if approximate else F.countDistinct(value)
     if kind == "numeric":
         v = c.cast("double")
         out |= {"mean": F.avg(v), "min": F.min(v), "max": F.max(v), "stddev": F.stddev_samp(v)}
@@ -48,16 +51,25 @@ def _statistics(name: str, kind: str, approximate: bool) -> dict[str, Column]:
     return out
 
 
-def profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+COUNTED_KINDS = ("numeric", "string")
+
+
+def profile(
+    df: DataFrame, table: str, approximate: bool = False, only: Sequence[str] | None = None,
+    distinct_of: Sequence[str] = COUNTED_KINDS,
+) -> DataFrame:
     """Statistics of every column from one aggregate, one row per column.
 
-    ``approximate`` swaps the exact distinct counts, which shuffle every distinct value,
-    for sketches.
+    ``approximate`` swaps the exact distinct counts, which shuffle every distinct value
+    (of strings, its digest), for sketches. ``only`` restricts the kinds of columns before
+    the aggregate, ``distinct_of`` those whose distinct values are counted.
     """
     kinds = {f.name: field_kind(f.dataType) for f in df.schema.fields}
+    if only is not None:
+        kinds = {name: kind if kind in only else None for name, kind in kinds.items()}
     aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
     for i, (name, kind) in enumerate((n, k) for n, k in kinds.items() if k):
-        stats = _statistics(name, kind, approximate)
+        stats = _statistics(name, kind, approximate, distinct_of)
         aggs += [c.alias(f"{s}_{i}") for s, c in stats.items()]
         rows.append(
             F.struct(
@@ -75,9 +87,12 @@ def profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
     )
 
 
-def layer_profile(tables: Mapping[str, DataFrame], layer: str, approximate: bool = False) -> DataFrame:
+def layer_profile(
+    tables: Mapping[str, DataFrame], layer: str, approximate: bool = False,
+    distinct_of: Sequence[str] = COUNTED_KINDS,
+) -> DataFrame:
     """Profiles of all tables of a layer (Q02)."""
-    parts = [profile(df, name, approximate) for name, df in tables.items()]
+    parts = [profile(df, name, approximate, distinct_of=distinct_of) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts).withColumn("layer", F.lit(layer))
 
 
@@ -166,17 +181,46 @@ def schema_drift(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select(*keys, "field", F.inline(changes)).unionByName(fresh)
 
 
-def table_drift(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Row-count change per table; it does not count as schema drift."""
+def table_drift(
+    current: DataFrame, baseline: DataFrame,
+    current_sizes: DataFrame | None = None, baseline_sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Row-count change per table; it does not count as schema drift.
+
+    With the stored sizes of both states (``table_name``, ``size_mb``) the change in
+    megabytes stands beside it.
+    """
     keys = ["layer", "table_name"]
     def counts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.max("n_rows").alias(name))
 
-    return counts(current, "current_rows").join(counts(baseline, "baseline_rows"), keys, "left").select(
+    out = counts(current, "current_rows").join(counts(baseline, "baseline_rows"), keys, "left").select(
         *keys, "baseline_rows", "current_rows",
         (F.col("current_rows") - F.col("baseline_rows")).alias("delta"),
         percent_change(F.col("current_rows"), F.col("baseline_rows")).alias("percent_change"),
     )
+    if current_sizes is None or baseline_sizes is None:
+        return out
+    now = current_sizes.select("table_name", F.col("size_mb").alias("current_mb"))
+    was = baseline_sizes.select("table_name", F.col("size_mb").alias("baseline_mb"))
+    return out.join(was, "table_name", "left").join(now, "table_name", "left").withColumn(
+        "delta_mb", F.round(F.col("current_mb") - F.col("baseline_mb"), 2)
+    )
+
+
+def with_row_deltas(drift: DataFrame, tables: DataFrame) -> DataFrame:
+    """Schema changes beside the row counts of their table; tables without a change stay too (Q03)."""
+    deltas = tables.select("layer", "table_name", "baseline_rows", "current_rows", "delta")
+    return drift.join(deltas, ["layer", "table_name"], "full_outer")
+
+
+def drift_totals(drift: DataFrame) -> DataFrame:
+    """Number of schema changes and of changed tables per layer and over all layers (Q03)."""
+    # one row per changed table before the totals
+    tables = drift.groupBy("layer", "table_name").agg(F.count(F.lit(1)).alias("_n"))
+    return tables.rollup("layer").agg(
+        F.sum("_n").alias("n_drifts"), F.count(F.lit(1)).alias("n_tables")
+    ).withColumn("layer", F.coalesce("layer", F.lit("TOTAL")))
 
 
 # ---- quality ------------------------------------------------------------------------

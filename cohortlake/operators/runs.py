@@ -36,6 +36,7 @@ class SortedRuns:
 
     rows: DataFrame
     present: tuple[int, ...]  # runs that hold rows
+    ends: tuple[int, ...]  # position of the last row of each run, of an empty one the row before it
 
     def numbered(self, name: str) -> DataFrame:
         """Global row number from 1."""
@@ -97,7 +98,11 @@ class SortedRuns:
         return self.running(keys, {name: F.lit(1).cast("bigint")})
 
     def shifted(self, keys: Sequence[str], columns: Mapping[str, str], step: int) -> DataFrame:
-        """Values of the row ``step`` (1 back, -1 ahead) from this one inside each key."""
+        """Values of the row ``step`` (1 back, -1 ahead) from this one inside each key.
+
+        ``keys`` must be a prefix of the order the rows were sorted by. Inside a run the
+        window is keyed by run and keys, so the runs spread over the tasks.
+        """
         if step not in (1, -1):
             raise ValueError("step is 1 (previous row) or -1 (next row)")
         taken = F.struct(
@@ -105,16 +110,17 @@ class SortedRuns:
             *[F.col(source).alias(name) for name, source in columns.items()],
         )
         rows = self.rows.withColumn("_taken", taken)
-        edge = F.max_by if step == 1 else F.min_by
         # the last (first) row of a run goes to the run after (before) it: one row per run
         receiver = [None] * (max(self.present, default=0) + 1)
         for before, after in zip(self.present, self.present[1:]):
             giver, taker = (before, after) if step == 1 else (after, before)
             receiver[giver] = taker
         to_run = F.element_at(F.lit(receiver).cast("array<bigint>"), F.col(RUN).cast("int") + 1)
-        edges = rows.groupBy(RUN).agg(edge("_taken", POS).alias("_edge"))
-        edges = edges.select(to_run.alias(RUN), "_edge").filter(F.col(RUN).isNotNull())
-        in_run = Window.partitionBy(RUN).orderBy(POS)
+        # the positions of the edges are known, so they are filtered, not aggregated
+        end = F.element_at(F.lit(list(self.ends) or [-1]).cast("array<bigint>"), F.col(RUN).cast("int") + 1)
+        at_edge = F.col(POS) == end if step == 1 else F.col(ROW) == 0
+        edges = rows.filter(at_edge).select(to_run.alias(RUN), F.col("_taken").alias("_edge")).filter(F.col(RUN).isNotNull())
+        in_run = Window.partitionBy(RUN, *keys).orderBy(POS)
         rows = rows.withColumn("_near", F.lag("_taken", step).over(in_run))
         rows = rows.join(F.broadcast(edges), RUN, "left")
         near = F.coalesce("_near", "_edge")
@@ -144,7 +150,8 @@ def sorted_runs(df: DataFrame, order: Sequence[str | Column], partitions: int |
         starts.append(total)
         total += sizes.get(run, 0)
     offset = F.element_at(F.lit(starts), F.col(RUN).cast("int") + 1).cast("bigint")
-    return SortedRuns(marked.withColumn(POS, offset + F.col(ROW)).drop("_id"), tuple(sorted(sizes)))
+    ends = tuple(start + sizes.get(run, 0) - 1 for run, start in enumerate(starts))
+    return SortedRuns(marked.withColumn(POS, offset + F.col(ROW)).drop("_id"), tuple(sorted(sizes)), ends)
 
 
 def exact_quantiles(

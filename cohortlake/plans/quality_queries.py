@@ -21,7 +21,7 @@ def _num(table, name, col):
 @query("a15_numeric_profile", check(" UNION ALL ".join(
     _num("orders", c, c) for c in ("o_orderkey", "o_custkey", "o_totalprice"))))
 def _(t):
-    found = P.profile(t.raw("orders"), "orders").filter(F.col("kind") == "numeric")
+    found = P.profile(t.raw("orders"), "orders", only=("numeric",))
     return found.select(
         "field", "count", "distinct", F.round("mean", 6).alias("mean"), "min", "max", F.round("stddev", 6).alias("stddev"))
 
@@ -30,7 +30,7 @@ def _(t):
     f"""SELECT '{c}' AS field, count({c}) AS count, count(DISTINCT {c}) AS "distinct",
       round(avg(CAST(length({c}) AS DOUBLE)), 6) AS avg_length FROM documents""" for c in ("text", "lang", "source")))
 def _(t):
-    found = P.profile(t.raw("documents"), "documents").filter(F.col("kind") == "string")
+    found = P.profile(t.raw("documents"), "documents", only=("string",))
     return found.select("field", "count", "distinct", F.round("avg_length", 6).alias("avg_length"))
 
 
@@ -38,7 +38,7 @@ def _(t):
     f"SELECT '{c}' AS field, count({c}) AS count, min({c}) AS earliest, max({c}) AS latest FROM admissions"
     for c in ("admittime", "dischtime", "deathtime", "edregtime", "edouttime"))))
 def _(t):
-    found = P.profile(t.admissions, "admissions", approximate=True).filter(F.col("kind") == "temporal")
+    found = P.profile(t.admissions, "admissions", only=("temporal",))
     return found.select("field", "count", "earliest", "latest")
 
 
@@ -47,7 +47,7 @@ def _(t):
       count(*) FILTER (NOT {c}) AS false_count FROM resources"""
     for c in ("ecmo_available", "cardiac_surgery_available", "advanced_cardiac_care_available"))))
 def _(t):
-    found = P.profile(t.resources, "resources").filter(F.col("kind") == "boolean")
+    found = P.profile(t.resources, "resources", only=("boolean",))
     return found.select("field", "count", "true_count", "false_count")
 
 
@@ -63,6 +63,13 @@ def _(t):
     return _sizes(t, "orders", "customer")
 
 
+@query("a19b_table_rows", """
+    SELECT 'orders' AS table_name, count(*) AS row_count, true AS has_bytes FROM orders
+    UNION ALL SELECT 'customer', count(*), true FROM customer""")
+def _(t):
+    return _sizes(t, "orders", "customer").select("table_name", "row_count", (F.col("size_bytes") > 0).alias("has_bytes"))
+
+
 @query("a20_layer_rollup", """
     WITH c AS (SELECT 'raw' AS layer, count(*) AS n FROM orders UNION ALL SELECT 'raw', count(*) FROM customer
       UNION ALL SELECT 'reference', count(*) FROM part)
@@ -117,21 +124,43 @@ _DRIFT_ROWS = """(VALUES ('raw', 'patients', 'anchor_age', 'type', 'long', 'inte
       AS v(layer, table_name, field, change, old, new)"""
 
 
-@query("q03_schema_drift", f"SELECT v.* FROM {_DRIFT_ROWS} WHERE (SELECT count(*) FROM customer) > 0")
+_COUNTS = """b AS (SELECT 'patients' AS table_name, count(*) FILTER (subject_id % 2 = 0) AS was, count(*) AS now FROM patients
+    UNION ALL SELECT 'admissions', NULL, count(*) FROM admissions)"""
+
+
+_DELTAS = f"""WITH {_COUNTS}, d AS (SELECT 'raw' AS layer, table_name, was AS baseline_rows, now AS current_rows, now - was AS delta FROM b
+      UNION ALL SELECT 'extra', 'notes', NULL, (SELECT count(*) FROM labels), NULL)"""
+
+
+@query("q03_schema_drift", check(f"""
+    {_DELTAS} SELECT v.*, d.baseline_rows, d.current_rows, d.delta FROM {_DRIFT_ROWS} JOIN d USING (layer, table_name)"""))
 def _(t):
     current, before = _drift_inputs(t)
-    return P.schema_drift(current, before)
+    return P.with_row_deltas(P.schema_drift(current, before), P.table_drift(current, before))
 
 
-@query("j15_schema_difference", f"""
-    SELECT v.* FROM {_DRIFT_ROWS} WHERE change IN ('type', 'added', 'removed') AND (SELECT count(*) FROM customer) > 0""")
+@query("q03b_drift_totals", f"""
+    SELECT coalesce(layer, 'TOTAL') AS layer, count(*) AS n_drifts, count(DISTINCT (layer, table_name)) AS n_tables
+    FROM {_DRIFT_ROWS} WHERE (SELECT count(*) FROM customer) > 0 GROUP BY ROLLUP (layer)""")
 def _(t):
-    current, before = _drift_inputs(t)
-    return P.schema_drift(current, before).filter(F.col("change").isin("added", "removed", "type", "mode"))
+    return P.drift_totals(P.schema_drift(*_drift_inputs(t)))
 
 
-_COUNTS = """b AS (SELECT 'patients' AS table_name, count(*) FILTER (subject_id % 2 = 0) AS was, count(*) AS now FROM patients
-    UNION ALL SELECT 'admissions', NULL, count(*) FROM admissions)"""
+@query("q03c_stored_size_drift")
+def _(t):
+    current = P.schema_rows({"orders": t.raw("orders")}, "raw")
+    before = P.schema_rows({"orders": t.raw("orders").filter(F.col("o_orderkey") % 2 == 0)}, "raw")
+    path = run_path(t.spark, "before")
+    t.raw("orders").filter(F.col("o_orderkey") % 2 == 0).write.parquet(path)
+    return P.table_drift(current, before, _sizes(t, "orders"), S.table_size(t.spark, path, "orders"))
+
+
+@query("j15_schema_difference", check(f"""
+    {_DELTAS} SELECT v.*, d.delta FROM {_DRIFT_ROWS} JOIN d USING (layer, table_name) WHERE change IN ('type', 'added', 'removed')"""))
+def _(t):
+    current, before = _drift_inputs(t)
+    found = P.with_row_deltas(P.schema_drift(current, before), P.table_drift(current, before))
+    return found.filter(F.col("change").isin("added", "removed", "type", "mode")).drop("baseline_rows", "current_rows")
 
 
 @query("j16_baseline_pairing", check(f"""
@@ -156,8 +185,9 @@ def _(t):
 
 
 def _profiles(t):
-    now = P.layer_profile(_tables(t), "raw")
-    was = P.layer_profile({"patients": t.patients.filter(F.col("subject_id") % 2 == 0)}, "raw")
+    # the rules look at the distinct values of strings only
+    now = P.layer_profile(_tables(t), "raw", distinct_of=("string",))
+    was = P.layer_profile({"patients": t.patients.filter(F.col("subject_id") % 2 == 0)}, "raw", distinct_of=("string",))
     return now, was
 
 
