@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlake.functions.scalars import hash_unit
 from cohortlake.operators import evaluate as E
 from cohortlake.operators.runs import POS, ROW, RUN, sorted_runs
+from cohortlake.session import materialise
 
 
 # ---- scoring --------------------------------------------------------------------------
@@ -104,13 +105,17 @@ def train_federated(
 ) -> DataFrame:
     """Federated logistic regression by site-local full-batch gradient steps.
 
-    Every step is one grouped aggregate over the rows of all sites; what reaches the
-    driver is one gradient per site. Returns one row per round with the averaged
+    The feature rows are stored once. Every step is one grouped aggregate over them, with
+    the sites' parameters joined as a table of one row per site; what reaches the driver is
+    one gradient per site. Rows without a site or label teach nothing. Returns one row per round with the averaged
     weights (bias last), the examples and the loss before the round.
     """
     names, width = list(features), len(features) + 1
     x = F.array(*[F.col(n).cast("double") for n in names], F.lit(1.0))
-    rows = df.select(F.col(site).alias("_site"), F.col(label).cast("double").alias("_y"), x.alias("_x"))
+    rows = materialise(
+        df.select(F.col(site).alias("_site"), F.col(label).cast("double").alias("_y"), x.alias("_x"))
+        .filter(F.col("_site").isNotNull() & F.col("_y").isNotNull())
+    )
     counts = {
         r["_site"]: (r["n"], r["p"])
         for r in rows.groupBy("_site").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).collect()
@@ -122,22 +127,20 @@ def train_federated(
         size = p if y else n - p
         return n / (2.0 * size) if balanced and size else 1.0
 
-    def by_site(values: Mapping[str, object]) -> Column:
-        out = None
-        for s in sites:
-            test, value = F.col("_site") == s, F.lit(values[s])
-            out = F.when(test, value) if out is None else out.when(test, value)
-        return out
-
-    importance = F.when(F.col("_y") == 1, by_site({s: weight_of(s, 1) for s in sites})).otherwise(
-        by_site({s: weight_of(s, 0) for s in sites})
-    )
+    importance = F.when(F.col("_y") == 1, F.col("_i1")).otherwise(F.col("_i0"))
+    kind = dict(df.dtypes)[site]
 
     def step(current: Mapping[str, list[float]]) -> dict[str, tuple[list[float], float]]:
+        # one row per site
+        parameters = df.sparkSession.createDataFrame(
+            [(s, weight_of(s, 0), weight_of(s, 1), current[s]) for s in sites],
+            f"_site {kind}, _i0 double, _i1 double, _w array<double>",
+        )
         dot = F.aggregate(
-            F.zip_with(F.col("_x"), by_site(current), lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v
+            F.zip_with(F.col("_x"), F.col("_w"), lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v
         )
-        scored = rows.withColumn("_p", 1.0 / (1.0 + F.exp(-dot))).withColumn("_i", importance)
+        scored = rows.join(F.broadcast(parameters), "_site").withColumn(
+            "_p", 1.0 / (1.0 + F.exp(-dot))).withColumn("_i", importance)
         error = F.col("_i") * (F.col("_p") - F.col("_y"))
         safe = F.greatest(F.lit(1e-12), F.when(F.col("_y") == 1, F.col("_p")).otherwise(1 - F.col("_p")))
         found = scored.groupBy("_site").agg(

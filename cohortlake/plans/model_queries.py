@@ -67,9 +67,9 @@ _FIT = f"""{_DIRTY}, med AS (SELECT median(age) AS age, median(score) AS score,
 def _(t):
     dirty = _dirty(t)
     params = prep.fit_numeric(S.scan_split(dirty, "train"), ["age", "score"])
-    medians = {r["column"]: r["median"] for r in params.collect()}  # one row per feature
+    medians = {c: params.filter(F.col("column") == c).select("median").scalar() for c in ("age", "score")}
     return prep.coerce_numeric(dirty, ["age", "score"]).select(
-        "row_id", *[F.round(F.coalesce(F.col(c), F.lit(medians[c])), 6).alias(c) for c in ("age", "score")])
+        "row_id", *[F.round(F.coalesce(F.col(c), medians[c]), 6).alias(c) for c in ("age", "score")])
 
 
 @query("m04b_own_median_imputation", check(f"""
@@ -202,6 +202,15 @@ def _(t):
     return MD.oversample(rows, ["score", "age"], "y_true", "row_id")
 
 
+@query("m11b_oversampled_classes", check("""
+    WITH c AS (SELECT y_true, count(*) AS n FROM predictions WHERE y_true IN (0, 1) GROUP BY 1)
+    SELECT y_true, (SELECT max(n) FROM c) AS n, n AS n_given FROM c"""))
+def _(t):
+    rows = t.predictions.select("row_id", "y_true", "score", "age").filter(F.col("y_true").isin(0, 1))
+    return MD.oversample(rows, ["score", "age"], "y_true", "row_id").groupBy("y_true").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_synthetic")).alias("n_given"))
+
+
 @query("m14_federated_rounds")
 def _(t):
     rows = S.scan_split(t.predictions, "train").select(

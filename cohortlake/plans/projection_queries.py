@@ -467,6 +467,15 @@ def _(t):
     return t.events.select("event_id", SC.log_id("log", F.col("ts")).alias("log_id"))
 
 
+@query("f21b_log_id_form", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_events, count(*) AS n_formed FROM events")
+def _(t):
+    # eight hex digits need not be unique alone; with the event they are
+    made = t.events.select("event_id", SC.log_id("log", F.col("ts")).alias("log_id"))
+    return made.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_events"),
+        F.count_if(F.col("log_id").rlike(r"^log_[0-9]{8}_[0-9]{6}_[0-9a-f]{8}$")).alias("n_formed"))
+
+
 @query("f22_unknown_category", check("""
     SELECT coalesce(marital_status, 'Unknown') AS marital_status, count(*) AS n FROM admissions GROUP BY 1"""))
 def _(t):
