@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: rows of one Arrow batch; the default of 10,000 whole documents fills a small executor
-ROWS_PER_BATCH = 1_000
+#: rows and bytes of one Arrow batch; the default of 10,000 whole documents fills a small
+#: executor, and a few very long texts weigh as much as many usual ones
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1_000, "8m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Smaller Arrow batches, and this package on the workers' path if it was not shipped."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
