@@ -10,7 +10,7 @@ import pandas as pd
 _PRIME = np.uint64(0x100000001B3)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: bytes hashed at a time, so that temporary arrays stay small for very long texts
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _powers = _inverse = np.ones(1, np.uint64)
@@ -70,11 +70,21 @@ def hashes_at(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def many_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """``word_hashes`` of several texts, hashed together."""
-    joined = b"\n".join(texts)
-    starts, ends = word_bounds(joined)
-    offsets = np.cumsum([len(t) + 1 for t in texts])
-    return np.split(hashes_at(joined, starts, ends), np.searchsorted(starts, offsets[:-1])) if texts else []
+    """``word_hashes`` of several texts; those that fit into a slice are hashed together."""
+    out: list[np.ndarray] = []
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= _SLICE:
+            size += len(texts[last])
+            last += 1
+        group = texts[first:last]
+        joined = b"\n".join(group)
+        starts, ends = word_bounds(joined)
+        offsets = np.cumsum([len(t) + 1 for t in group])
+        out.extend(np.split(hashes_at(joined, starts, ends), np.searchsorted(starts, offsets[:-1])))
+        first = last
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
