@@ -7,8 +7,10 @@ several ranges. Neighbours are compared and their match is extended to both side
 of ``least`` words or more is a repeated passage.
 
 The neighbour with the longest match to the right need not have the longest to the left, so
-a suffix is compared with several before it. A passage is missed only where none of these
-matches it for ``least`` words, though one farther off would; README has the measured share.
+a suffix is compared with several before it; these are the partners of a passage. They cannot
+tell every passage, nor who holds it first, so each run of ``least`` words whose anchor is
+shared also carries its hash to an aggregate that knows the smallest and the largest id that
+hold it. Spans and copies are exact by these, up to hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.anchors import chosen, repeated
-from cohortlake.llm.text import pieces
+from cohortlake.llm.text import gram_hashes, many_word_hashes, pieces, signed
 from cohortlake.session import materialise
 
 #: words of an anchor, and neighbours before a suffix that it is compared with
@@ -52,6 +54,60 @@ def _suffixes(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, text_key long, place int, right string, left string")
 
 
+def _runs(docs: DataFrame, least: int, placed: bool) -> DataFrame:
+    """Hashes of the runs of ``least`` words of a text whose anchor is shared, with their places."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in pieces(batches, 256):
+            texts, out = list(part["text"]), []
+            hashed = many_word_hashes([t.encode("utf-8", "replace") for t in texts])
+            for id_, key, held, found, (_, places, of_run) in zip(
+                    part["id"], part["text_key"], part["places"], hashed, chosen(texts, ANCHOR, least)):
+                at = np.flatnonzero(np.isin(places, held)[of_run])
+                if not len(at):
+                    continue
+                hashes = signed(gram_hashes(found, least)[at])
+                hashes = hashes if placed else np.unique(hashes)
+                n = len(hashes)
+                out.append((hashes, np.full(n, id_), np.full(n, key), at.astype(np.int32))[:4 if placed else 2])
+            if out:
+                yield pd.DataFrame(dict(zip(("run", "id", "text_key", "place"), map(np.concatenate, zip(*out)))))
+
+    return docs.mapInPandas(run, "run long, id long" + (", text_key long, place int" if placed else ""))
+
+
+def _held_runs(docs: DataFrame, least: int) -> DataFrame:
+    """Spans of the runs that another id holds: once with the smallest such id if it is smaller
+    than the own one, and once with the largest if it is larger.
+
+    Holders are counted by a partial aggregate, so a passage that many documents hold is one
+    record of a task for each of its runs.
+    """
+    ends = materialise(_runs(docs, least, False).groupBy("run").agg(
+        F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"))
+    met = _runs(docs, least, True).join(ends, "run")
+    listed = met.groupBy("id", "text_key").agg(F.collect_list(F.struct("place", "first", "last")).alias("runs")).select(
+        "id", "text_key", "runs.place", "runs.first", "runs.last")
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for id_, key, place, first, last in zip(
+                    batch["id"], batch["text_key"], batch["place"], batch["first"], batch["last"]):
+                order = np.argsort(place, kind="stable")
+                for partner, wanted in ((first[order], first[order] < id_), (last[order], last[order] > id_)):
+                    at, of = place[order][wanted], partner[wanted]
+                    if not len(at):
+                        continue
+                    cut = np.flatnonzero((at[1:] - at[:-1] > 1) | (of[1:] != of[:-1])) + 1
+                    low, high = np.append(0, cut), np.append(cut, len(at)) - 1
+                    out.extend((id_, key, int(a), int(b) + least, int(c)) for a, b, c in zip(at[low], at[high], of[low]))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "text_key", "place", "end", "partner"])
+
+    return listed.mapInPandas(spans, "id long, text_key long, place int, end int, partner long")
+
+
 def common(a: str, b: str) -> int:
     """Leading words that two word lists share."""
     if a == b:
@@ -136,16 +192,17 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """Passages of ``least`` or more words that another document holds.
 
     One row per document text and maximal passage: ``doc_id``, ``text_key`` (hash of the text),
-    ``first_word``, ``end_word``, ``partners`` (ids of neighbours that hold a part of it) and
-    ``is_copy``: some part of it stands in a document with a smaller id. Null, empty and shorter
+    ``first_word``, ``end_word``, ``partners`` (ids of neighbours that hold a part of it, the
+    smallest id that does or the largest) and ``is_copy``: every run of ``least`` words of it
+    stands in a document with a smaller id, otherwise in one with a larger id. Null, empty and shorter
     texts have no passage; rows that repeat an id are not compared with one another; rows
     without an id are left out.
     """
     source = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     held = repeated(source, ANCHOR, least).select("id", "places")
-    suffixes = materialise(_suffixes(
-        source.withColumn("text_key", F.xxhash64("text")).join(held, "id"), least))
+    held = materialise(source.withColumn("text_key", F.xxhash64("text")).join(held, "id"))
+    suffixes = materialise(_suffixes(held, least))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = suffixes.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
     met = materialise(_neighbours(ranged, least))
@@ -153,7 +210,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     edges = met.filter("edge is not null").collect()
     schema = "id long, text_key long, place int, end int, partner long"
     spans = met.filter("edge is null").select("id", "text_key", "place", "end", "partner").union(
-        docs.sparkSession.createDataFrame(_across(edges, least), schema))
+        docs.sparkSession.createDataFrame(_across(edges, least), schema)).union(_held_runs(held, least))
     listed = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct(
         "place", "end", "partner", (F.col("partner") < F.col("id")).alias("copy"))).alias("spans"))
 

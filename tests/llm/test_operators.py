@@ -140,6 +140,21 @@ def test_suffix_dedup_finds_passages(docs, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_suffix_dedup_knows_the_first_of_many_holders(spark):
+    rng = random.Random(9)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage = prose(60)
+    rows = [(i, " ".join(prose(30) + passage + prose(30))) for i in range(1, 121)]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    copies = {r["doc_id"]: r for r in got if r["is_copy"]}
+    assert set(copies) == set(range(2, 121))
+    assert all((r["first_word"], r["end_word"]) == (30, 90) and 1 in r["partners"] for r in copies.values())
+    assert {r["doc_id"] for r in got if not r["is_copy"]} == set(range(1, 120))
+
+
 def expected_components(rows, k, percent):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
