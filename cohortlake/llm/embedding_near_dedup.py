@@ -4,9 +4,11 @@ Equal vectors form a class, and one vector of each class is searched. Every clas
 its nearest centres, so shards overlap; a graph is built on each shard, pruned so that the
 kept neighbours lie in different directions, and the lists of a class over all its shards
 are united. A search walks greedily from a few medoids towards the query and then widens
-over everything within a margin of the threshold. Found pairs are verified in double
-precision. Recall is audited against brute force on a bounded sample of queries, and the
-overlap is raised until it is high enough.
+over everything within a margin of the threshold. It starts from a few medoids, the query's
+own node and one node of every connected part of a block. Found pairs are verified in double
+precision. Recall is audited against brute force on a sample of queries that has seen enough
+true links. Where it is low, blocks are compared exactly, the overlap is raised, and in the
+end all classes are compared with all.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ PER_CENTRE, CENTRES, SAMPLE = 1_000, 1_024, 16_384
 BLOCK, SHARE, NEAR, KEPT = 4_096, 4_096, 48, 24
 #: medoids that a search starts from, nodes that it holds, and margin of the widening
 MEDOIDS, BEAM, MARGIN = 24, 32, 0.04
-#: audited queries, and the recall that ends the raising of the overlap
-AUDIT, RECALL = 256, 0.97
+#: audited queries of the first and of a later round, true links that an audit must see, and the recall it asks for
+AUDIT, AUDIT_MORE, SEEN, RECALL = 256, 4_096, 64, 0.97
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -92,6 +94,22 @@ def medoids(x: np.ndarray) -> np.ndarray:
     return np.array(chosen)
 
 
+def entries(lists: list[np.ndarray]) -> np.ndarray:
+    """One node of every connected part of a graph."""
+    seen, first = np.zeros(len(lists), bool), []
+    for i in range(len(lists)):
+        if not seen[i]:
+            first.append(i)
+            seen[i] = True
+            front = [i]
+            while front:
+                near = lists[front.pop()]
+                near = near[~seen[near]]
+                seen[near] = True
+                front.extend(near.tolist())
+    return np.array(first, np.int64)
+
+
 def search(q: np.ndarray, x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, least: float) -> np.ndarray:
     """Nodes with a similarity over ``least`` less the margin, by greedy walk and widening."""
     seen = np.zeros(len(x), bool)
@@ -148,8 +166,8 @@ def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield whole["id"].to_numpy(), np.stack(whole["vec"].to_numpy()).astype(float)
 
 
-def _searches(rows: DataFrame, least: float) -> DataFrame:
-    """Verified links between the queries and the members of each block."""
+def _searches(rows: DataFrame, least: float, exact: bool) -> DataFrame:
+    """Verified links between the queries and the members of each block, searched or all compared."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, members, ready = None, [], None
@@ -171,21 +189,26 @@ def _searches(rows: DataFrame, least: float) -> DataFrame:
                         place = np.minimum(np.searchsorted(ids, m[2], sorter=order), len(ids) - 1)
                         lists.append(order[place[ids[order[place]] == m[2]]])
                     x = unit(full)
-                    ready = ids, full, np.linalg.norm(full, axis=1), x, lists, medoids(x)
-                ids, full, length, x, lists, starts = ready
+                    starts = None if exact else np.union1d(medoids(x), entries(lists))
+                    ready = ids, order, full, np.linalg.norm(full, axis=1), x, lists, starts
+                ids, order, full, length, x, lists, starts = ready
                 vec = vec.astype(float)
                 norm = np.linalg.norm(vec)
-                found = search(vec / norm, x, lists, starts, least)
+                if exact:
+                    found = np.flatnonzero(x @ (vec / norm) >= least - MARGIN)
+                else:
+                    own = order[min(np.searchsorted(ids, id_, sorter=order), len(ids) - 1)]
+                    found = search(vec / norm, x, lists, np.union1d(starts, [own]), least)
                 found = found[ids[found] != id_]
-                exact = full[found] @ vec / (length[found] * norm)
-                links.extend((min(id_, j), max(id_, j)) for j in ids[found[exact >= least]].tolist())
+                cosine = full[found] @ vec / (length[found] * norm)
+                links.extend((min(id_, j), max(id_, j)) for j in ids[found[cosine >= least]].tolist())
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _links(classes: DataFrame, centres: np.ndarray, overlap: int, least: float) -> DataFrame:
+def _links(classes: DataFrame, centres: np.ndarray, overlap: int, least: float, exact: bool) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,24 +226,46 @@ def _links(classes: DataFrame, centres: np.ndarray, overlap: int, least: float)
     sized = placed.join(load, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # enough partitions that a shard is one task's work, as a shard weighs far more than a row
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(len(centres), 512))
-    graphs = _graphs(sized.select("shard", "block", "id", "vec").repartition(parts, "shard", "block")
-                     .sortWithinPartitions("shard", "block"))
-    lists = materialise(graphs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    held = sized.join(lists, "id").select(
+    none = F.array().cast("array<long>")
+    if exact:
+        listed = sized.withColumn("near", none)
+    else:
+        graphs = _graphs(sized.select("shard", "block", "id", "vec").repartition(parts, "shard", "block")
+                         .sortWithinPartitions("shard", "block"))
+        listed = sized.join(materialise(graphs.groupBy("id").agg(
+            F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))), "id")
+    held = listed.select(
         "shard", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
         F.lit(False).alias("query"), "id", "vec", "near")
     asked = sized.select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("id", F.lit("share")), F.col("shares")).cast("int").alias("share"),
-        F.lit(True).alias("query"), "id", "vec", F.array().cast("array<long>").alias("near"))
+        F.lit(True).alias("query"), "id", "vec", none.alias("near"))
     met = held.union(asked).repartition(parts, "shard", "block", "share").sortWithinPartitions(
         "shard", "block", "share", "query")
-    return materialise(_searches(met, least).distinct())
+    return materialise(_searches(met, least, exact).distinct())
 
 
-def _audit(classes: DataFrame, links: DataFrame, least: float) -> float:
-    """Share of the true links of a bounded sample of classes that were found."""
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).toPandas()
+def _audit(classes: DataFrame, n: int, links: DataFrame, least: float) -> float:
+    """Share of the true links of a sample of classes that were found.
+
+    Further classes are audited until the sample has ``SEEN`` true links, or all are.
+    """
+    slices = -(-n // AUDIT)
+    mine = F.pmod(F.xxhash64("id"), F.lit(slices))
+    at, step, true, hit = 0, 1, 0, 0
+    while at < slices and true < SEEN:
+        marked = _audited(classes, classes.filter((mine >= at) & (mine < at + step)), links, least)
+        true, hit = true + marked[0], hit + marked[1]
+        at, step = at + step, min(2 * step, AUDIT_MORE // AUDIT)
+    return hit / true if true else 1.0
+
+
+def _audited(classes: DataFrame, chosen: DataFrame, links: DataFrame, least: float) -> tuple[int, int]:
+    """True links of the chosen classes with all classes, and how many of them were found."""
+    sample = chosen.toPandas()
+    if not len(sample):
+        return 0, 0
     ids, q = sample["id"].to_numpy(), np.stack(sample["vec"].to_numpy())
     shared = classes.sparkSession.sparkContext.broadcast((ids, unit(q)))
 
@@ -236,7 +281,7 @@ def _audit(classes: DataFrame, links: DataFrame, least: float) -> float:
     true = classes.mapInPandas(run, "a long, b long").distinct()
     marked = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(
         F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return marked["hit"] / marked["n"] if marked["n"] else 1.0
+    return marked["n"], marked["hit"]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -269,13 +314,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
         n = max(1, min(CENTRES, -(-row["count"] // PER_CENTRE)))
         centres = fit_centres(unit(np.stack(sample["vec"].to_numpy())), n)
-        overlap = min(3, len(centres))
+        overlap, exact = min(3, len(centres)), False
         while True:
-            links = _links(own, centres, overlap, least)
-            found = _audit(own, links, least)
-            if found >= RECALL or overlap >= len(centres):
+            links = _links(own, centres, overlap, least, exact)
+            found = _audit(own, row["count"], links, least)
+            # one shard of all classes, compared exactly, has every link
+            if found >= RECALL or (exact and len(centres) == 1):
                 break
-            overlap = min(2 * overlap, len(centres))
+            overlap, exact = 2 * overlap if exact else overlap, True
+            if overlap >= len(centres):
+                centres, overlap = centres[:1], 1
         recall = min(recall, found)
         pairs = links if pairs is None else pairs.union(links)
     if pairs is None:

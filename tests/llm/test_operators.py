@@ -309,6 +309,21 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_near_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_closed_clouds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 32)), 75, axis=0) + rng.normal(size=(3000, 32)) * 0.12
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_near_dedup.near_duplicates(frame).collect()
+    assert sum(r["n_links"] for r in got) >= 0.97 * wanted.sum() > 100_000 and min(r["recall"] for r in got) >= 0.97
+    # a recall that no search reaches ends in the comparison of all with all
+    monkeypatch.setattr(embedding_near_dedup, "RECALL", 2.0)
+    part = embedding_near_dedup.near_duplicates(frame.filter("vec_id % 3 = 0")).collect()
+    third = (unit[::3] @ unit[::3].T >= 0.95).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in part} == {3 * i: int(n) for i, n in enumerate(third)}
+
+
 def test_pipeline_keeps_columns_and_takes_effect(spark, tmp_path, docs, empty):
     import corpus_pipeline
 
