@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import (
+    byte_bpe_codec,
+    collocations,
     embedding_near_dedup,
     language_id,
+    merkle_manifest,
     ngram_join,
     quality,
     secret_scan,
@@ -20,6 +23,7 @@ from cohortlake.llm import (
     template_decontamination,
     toxicity,
 )
+from cohortlake.llm.sql import SQL  # noqa: F401 - registered with the queries
 from cohortlake.llm.workers import prepare
 
 
@@ -88,6 +92,33 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def manifest(docs: DataFrame, **options) -> DataFrame:
+    """The digests of ``documents`` and the roots that folding gives, where 7 divides the id's CRC a tampered one."""
+    raised = [F.col("n_chars").cast("decimal(20,0)") + 1 if f == "n_chars" else F.col(f) for f in merkle_manifest.FIELDS]
+    found = merkle_manifest.proofs(
+        docs, tampered=F.when(remainder(7) == 0, merkle_manifest.leaf_digest(raised)), **options)
+    hexed = merkle_manifest.text_of
+    return found.select(
+        "doc_id", hexed(F.col("leaf")).alias("leaf"), hexed(F.col("subroot")).alias("subroot"),
+        hexed(F.col("root")).alias("root"), merkle_manifest.siblings_digest(F.col("steps")).alias("proof_sha256"),
+        merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(table(spark, folder, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe_codec.digests(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,5 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-SQL: dict[str, str] = {}
