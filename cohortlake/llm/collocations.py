@@ -4,9 +4,12 @@ A phrase is frequent only if its first and its last words without one are. The p
 are frequent in a sample, at a lowered count, go into a filter of fixed size. One pass over
 all texts then counts exactly every word and every phrase whose shorter parts the filter
 holds: the proposed phrases and their negative border. A border phrase that turns out
-frequent was missed by the sample; it joins the filter, and a further pass counts what this
-opens up, until no frequent phrase is outside the filter. False positives of the filter
-are counted in vain and change no result, so neither do the sample and the filter's size.
+frequent was missed by the sample; it joins the filter, and an expansion pass counts what
+this opens up. That pass also follows the phrases that it meets first itself: a frequent
+phrase that the full pass left out has frequent parts, each of which is in the wider filter or
+counted in the expansion for the first time, so after it nothing is open. False positives of
+the filter are counted in vain and change no result, so neither do the sample and the size of
+the filter.
 
 Inside a task words are numbered per chunk and phrases are counted as exact numbers, so a
 record leaves a task once per chunk and phrase, however often the phrase stands there.
@@ -32,7 +35,7 @@ from cohortlake.session import materialise
 #: share of the texts that proposes phrases, and the part of the expected count that suffices there
 SHARE, LOWERED = 0.25, 0.8
 #: bits of the filter (as a power of two) and bytes of text that a task counts at once
-FILTER_BITS, CHUNK = 26, 6 << 20
+FILTER_BITS, CHUNK = 26, 4 << 20
 # fixed values: bytes that end a piece, and a byte that no UTF-8 text holds
 _ENDS, _MARK = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _CUT = re.compile(b"[" + re.escape(_ENDS) + b"]")
@@ -69,6 +72,21 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return mix(np.fromiter((xxhash.xxh3_64_intdigest(prefix + w) for w in words), np.uint64, len(words)))
 
 
+def _phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """Hashes of phrases as ``gram_hashes`` gives them, all of one language and length together."""
+    found = []
+    lengths = pc.count_substring(phrases, " ").to_numpy() + 1
+    for lang in pc.unique(langs).to_pylist():
+        of_lang = pc.equal(langs, lang).to_numpy(zero_copy_only=False)
+        for length in np.unique(lengths[of_lang]):
+            rows = phrases.filter(pa.array(of_lang & (lengths == length)))
+            words = pc.split_pattern(rows, " ").flatten().dictionary_encode()
+            hashes = _word_hashes(lang, words.dictionary.to_pylist())[words.indices.to_numpy()]
+            # the phrases lie end to end, and each begins a run of its length
+            found.append(gram_hashes(hashes, int(length))[::length])
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
 def _slices(texts: list[bytes], size: int) -> Iterator[bytes]:
     """Texts joined to chunks of about ``size`` bytes; a longer text is cut where a piece ends."""
     held, held_size = [], 0
@@ -98,7 +116,10 @@ def _numbered(data: bytes, longest: int) -> Iterator[tuple[pa.Array, np.ndarray,
     words = data.lower().translate(_TO_MARK).replace(_MARK, b" \xff ").split()
     most, back = 1 << (62 // longest), longest - 1
     for at in range(0, max(1, len(words) - back), most - back):
-        coded = pa.array(words[at:at + most], pa.binary()).dictionary_encode()
+        coded = pa.array(words[at:at + most], pa.binary())
+        if len(words) <= most:
+            words = words[:back + 1]
+        coded = coded.dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         mark = pc.index(coded.dictionary, pa.scalar(_MARK, pa.binary())).as_py()
         if mark >= 0:
@@ -106,6 +127,21 @@ def _numbered(data: bytes, longest: int) -> Iterator[tuple[pa.Array, np.ndarray,
         yield coded.dictionary, numbers, back if at else 0
 
 
+def _among(by: PhraseFilter, grams: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where a phrase is in the filter, of the places asked for."""
+    held = np.zeros(len(grams), bool)
+    at = np.flatnonzero(asked)
+    held[at] = by.holds(grams[at])
+    return held
+
+
+def _held(by: PhraseFilter, numbers: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+    """Where a word is in the filter."""
+    held = by.holds(mix(of_word))
+    held[-1] = False
+    return held[numbers]
+
+
 def _counted(lang: str, data: bytes, longest: int, old: PhraseFilter | None, new: PhraseFilter | None
              ) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of one chunk that ``new`` admits and ``old`` did not.
@@ -132,30 +168,25 @@ def _counted(lang: str, data: bytes, longest: int, old: PhraseFilter | None, new
         if new is not None:
             of_word = np.append(_word_hashes(lang, dictionary.to_pylist()), np.uint64(0))
             hashes = of_word[numbers]
-
-        def admitted(by: PhraseFilter, length: int, at: np.ndarray) -> np.ndarray:
-            """Places of ``at`` whose first and last ``length`` words are both in the filter."""
-            held = np.zeros(len(numbers) - length + 1, bool)
-            asked = held.copy()
-            asked[at] = asked[at + 1] = True
-            asked = np.flatnonzero(asked)
-            if length == 1:
-                per_word = by.holds(mix(of_word))
-                held[asked] = per_word[numbers[asked]]
-            else:
-                held[asked] = by.holds(grams[asked])
-            return held[at] & held[at + 1]
+            in_new, in_old = (_held(by, numbers, of_word) if by is not None else None for by in (new, old))
 
         for length in range(2, longest + 1):
             if len(numbers) < length:
                 break
             whole = reduce(np.logical_and, [inside[i:len(numbers) - length + 1 + i] for i in range(length)])
-            at = np.flatnonzero(whole & late[length - 1:])
+            fresh = whole
             if new is not None:
-                grams = gram_hashes(hashes, length - 1)
-                at = at[admitted(new, length - 1, at)]
+                fresh = whole & in_new[:-1] & in_new[1:]
                 if old is not None:
-                    at = at[~admitted(old, length - 1, at)]
+                    was = whole & in_old[:-1] & in_old[1:]
+                    fresh &= ~was
+            at = np.flatnonzero(fresh & late[length - 1:])
+            if new is not None and length < longest:
+                grams = gram_hashes(hashes, length)
+                in_new = _among(new, grams, whole)
+                if old is not None:
+                    # what is counted here for the first time is followed at once
+                    in_old, in_new = _among(old, grams, whole), in_new | fresh
             if not len(at):
                 continue
             key = numbers[at]
@@ -194,7 +225,9 @@ def _pass(source: DataFrame, longest: int, old: PhraseFilter | None, new: Phrase
                     held, size = {}, 0
         yield from flush()
 
-    return source.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # a task has combined its rows by the chunk, and combining few more would cost much
+    return source.mapInArrow(run, _COUNTS).repartition("lang", "phrase").groupBy("lang", "phrase").agg(
+        F.sum("n").alias("n"))
 
 
 def _outside(counts: DataFrame, longest: int, known: PhraseFilter) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +239,7 @@ def _outside(counts: DataFrame, longest: int, known: PhraseFilter) -> tuple[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                words = phrase.split(b" ")
-                found.append(gram_hashes(_word_hashes(lang, words), len(words)))
-            hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
+            hashes = _phrase_hashes(batch.column(0), batch.column(1).cast(pa.binary()))
             hashes = hashes[~shared.value.holds(hashes)]
             at = np.unique(np.concatenate(list(shared.value.places(hashes))))
             slots, first = np.unique(at >> np.uint64(6), return_index=True)
@@ -236,20 +265,18 @@ def frequent_phrases(
     source = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("text")).filter(
         "text is not null and text != ''")
     sample = source.filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(share * 10_000))
-    proposed = _pass(sample, longest, None, None).filter(
+    # the longest phrases open up nothing, so they need no proposal
+    proposed = _pass(sample, longest - 1, None, None).filter(
         F.col("n") >= max(1, int(least * share * LOWERED)))
     known = PhraseFilter(filter_bits)
     known = known.joined(*_outside(proposed, longest, known))
     enough = (F.col("n") >= least) | (F.col("phrase") == "")
     found = materialise(_pass(source, longest, None, known).filter(enough))
-    fresh = found
-    while True:
-        slots, bits = _outside(fresh, longest, known)
-        if not len(slots):
-            return found
-        wider = known.joined(slots, bits)
-        fresh = materialise(_pass(source, longest, known, wider).filter(enough))
-        found, known = found.union(fresh), wider
+    slots, bits = _outside(found, longest, known)
+    if not len(slots):
+        return found
+    more = _pass(source, longest, known, known.joined(slots, bits)).filter(enough)
+    return found.union(more)
 
 
 def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
