@@ -3,9 +3,10 @@
 The merges of a rank file are compiled into a nondeterministic transducer: at each byte it
 guesses whether a token ends, and a guess stands only if the merges would leave that token
 beside the one before it. Determinisation runs while texts are read: a state is the set of
-guesses still alive, each the place in the trie of token bytes and the tokens not yet
-written, and what all guesses have in common is written at once. A guess dies when no token
-continues, so the delay is bounded by the vocabulary and not by the text.
+guesses still alive, each the place in the trie of token bytes and the token before it, and
+a transition writes the one token that can end at its byte. A guess dies when no token
+continues, so all guesses agree on what lies a bounded number of bytes back, and the tokens
+up to there are given out.
 
 Decoding follows the well-formed byte sequences of UTF-8 in a table of eight states and
 writes each character when its last byte has come, whatever the borders of the tokens.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from cohortlake.llm.workers import map_texts
 
 #: pieces kept in memory and the longest kept; determinised transitions kept
-MEMORY, LONGEST, TRANSITIONS = 400_000, 48, 600_000
+MEMORY, LONGEST, TRANSITIONS = 400_000, 48, 1_000_000
+#: bytes of a piece that wait before the guesses are asked what they agree on
+WAIT = 4_096
 
 
 class Transducer:
@@ -38,7 +41,7 @@ class Transducer:
         self.bytes_of = {i: t for t, i in ranks.items()}
         # the trie of token bytes: (node, byte) to node, nodes that go on, and the token that ends at a node
         self.child: dict[int, int] = {}
-        self.inner, self.ends = {0}, {}
+        self.inner, self.ends, self.depth = {0}, {}, [0]
         nodes = 1
         for token, i in ranks.items():
             node = 0
@@ -47,19 +50,25 @@ class Transducer:
                 key = node << 8 | byte
                 if key not in self.child:
                     self.child[key] = nodes
+                    self.depth.append(self.depth[node] + 1)
                     nodes += 1
                 node = self.child[key]
             self.ends[node] = i
+        self.length = {i: len(t) for i, t in self.bytes_of.items()}
+        self.packed = {i: struct.pack("<I", i) for i in self.bytes_of}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """Start the determinised part anew."""
-        begin = ((0, (-1,)),)
-        self.states, self.number = [begin], {begin: 0}
-        self.step: dict[int, tuple[int, bytes]] = {}
-        self.rest = [b""]
+        """Start the determinised part anew.
+
+        A guess is one number: its node above 40 bits, so that 8 bits lie free for the next byte,
+        and the token before it below 32 (0 for none, else one more than its id). A transition is
+        alike: the next state, and the token that ends.
+        """
+        self.states, self.number = [(0,)], {(0,): 0}
+        self.step: dict[int, int] = {}
 
     def merged(self, token: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """What the merges make of a token's own bytes, and the last pair merged."""
@@ -99,73 +108,81 @@ class Transducer:
                 # of equal merges the left one comes first, so an equal one across precedes that inside b
                 until, b = b + 0.5, in_b[0]
 
-    def follows(self, a: int, b: int) -> bool:
-        """True if token ``b`` can stand after ``a`` (or first, if that is -1)."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > TRANSITIONS:
-                self.pairs.clear()
-            found = self.pairs[(a, b)] = self.reachable(b) and (a < 0 or self._apart(a, b))
-        return found
-
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        """Determinise one transition: the guesses after a byte and the ids they agree on."""
-        alive = []
-        child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
-        for node, tokens in self.states[state]:
-            to = child.get(node << 8 | byte)
+    def follows(self, before: int, token: int) -> bool:
+        """True if a token can stand after the one whose id is one less than ``before``, or first if that is 0."""
+        if len(self.pairs) > TRANSITIONS:
+            self.pairs.clear()
+        fits = self.reachable(token) and (not before or self._apart(before - 1, token))
+        self.pairs[before << 32 | token] = fits
+        return fits
+
+    def _move(self, state: int, byte: int) -> int:
+        """Determinise one transition: the guesses alive after a byte and the token that ends there."""
+        alive, ended = [], 0
+        child, ends, inner, pairs = self.child.get, self.ends.get, self.inner, self.pairs.get
+        for guess in self.states[state]:
+            to = child(guess >> 32 | byte)
             if to is None:
                 continue
-            token = ends.get(to)
+            before = guess & 0xFFFFFFFF
+            token = ends(to)
             if token is not None:
-                pair = tokens[-1], token
-                if pairs[pair] if pair in pairs else self.follows(*pair):
-                    alive.append((0, (*tokens, token)))
+                fits = pairs(before << 32 | token)
+                if fits or fits is None and self.follows(before, token):
+                    ended = token + 1
+                    alive.append(ended)
             if to in inner:
-                alive.append((to, tokens))
-        if len(alive) == 1:
-            written = alive[0][1][1:]
-            after = ((alive[0][0], alive[0][1][-1:]),)
-        else:
-            alive.sort()
-            tails = [tokens for _, tokens in alive]
-            shared, first = min(map(len, tails)), tails[0]
-            while any(t[:shared] != first[:shared] for t in tails):
-                shared -= 1
-            written = first[1:shared]
-            # the last token written stays as the neighbour of the next
-            after = tuple([(node, tokens[shared - 1:]) for node, tokens in alive])
+                alive.append(to << 40 | before)
+        alive.sort()
+        after = tuple(alive)
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
             self.states.append(after)
-            # where the text ends here, the guess that ends a token is right; it sorts first
-            self.rest.append(_packed(after[0][1][1:]))
-        out = self.step[state << 8 | byte] = number, _packed(written)
+        out = self.step[state << 8 | byte] = number << 40 | ended
         return out
 
-    def encode(self, piece: bytes) -> bytes:
-        """Packed ids of one piece."""
+    def _agreed(self, state: int, moves: list[int]) -> int:
+        """How many bytes the tokens span that all guesses of a state agree on."""
+        starts = {len(moves) - self.depth[guess >> 40] for guess in self.states[state]}
+        while len(starts) > 1:
+            last = max(starts)
+            starts.remove(last)
+            starts.add(last - self.length[(moves[last - 1] & 0xFFFFFFFF) - 1])
+        return starts.pop()
+
+    def _back(self, moves: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, from the last backwards."""
+        out = []
+        while at:
+            token = (moves[at - 1] & 0xFFFFFFFF) - 1
+            out.append(token)
+            at -= self.length[token]
+        out.reverse()
+        return out
+
+    def encode(self, piece: bytes) -> list[int]:
+        """The ids of one piece."""
         whole = self.rank.get(piece)
-        if whole is not None and not self.reachable(whole):
+        if whole is not None:
             # a piece that is a token stands for it, also where no merge makes it
-            return _packed((whole,))
+            return [whole]
         if len(self.step) > TRANSITIONS:
             self._forget()
-        state, out, step = 0, [], self.step
-        for byte in piece:
-            moved = step.get(state << 8 | byte)
-            if moved is None:
-                moved = self._move(state, byte)
-            state, written = moved
-            if written:
-                out.append(written)
-        out.append(self.rest[state])
-        return b"".join(out)
-
-
-def _packed(ids: tuple[int, ...]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+        out: list[int] = []
+        at, moves, step = 0, [], self.step
+        for n, byte in enumerate(piece, 1):
+            move = step.get(at | byte)
+            if move is None:
+                move = self._move(at >> 8, byte)
+            at = move >> 32
+            moves.append(move)
+            if not n % WAIT:
+                settled = self._agreed(at >> 8, moves)
+                out += self._back(moves, settled)
+                moves = moves[settled:]
+        # where the text ends, the guess that ends a token is right
+        return out + self._back(moves, len(moves))
 
 
 def _utf8_table() -> list[tuple[int, ...]]:
@@ -248,7 +265,9 @@ class Codec:
             pairs = [line.split() for line in lines if line.strip()]
         self.transducer = Transducer({base64.b64decode(token): int(rank) for token, rank in pairs})
         self.pattern = regex.compile(pattern)
+        # pieces met lately, and those met before them
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.texts: dict[int, tuple[str, int, bytes]] = {}
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -258,18 +277,20 @@ class Codec:
 
     def piece(self, text: str) -> tuple[bytes, str]:
         """Packed ids of a piece, and the text that these ids decode to."""
-        packed = self.transducer.encode(text.encode())
-        found = packed, self.decode(struct.unpack(f"<{len(packed) // 4}I", packed))
+        found = self.known.get(text) or self.older.get(text)
+        if found is None:
+            ids = self.transducer.encode(text.encode())
+            found = b"".join(map(self.transducer.packed.__getitem__, ids)), self.decode(ids)
         if len(text) <= LONGEST:
             if len(self.known) >= MEMORY:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[text] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Packed ids of a text, and the decoded text."""
-        known, piece = self.known, self.piece
-        found = [known.get(p) or piece(p) for p in self.pattern.findall(text)]
+        known, piece = self.known.get, self.piece
+        found = [known(p) or piece(p) for p in self.pattern.findall(text)]
         if not found:
             return b"", ""
         packed, texts = zip(*found)

@@ -212,8 +212,9 @@ def test_ids_and_streams_agree_with_the_library(encoding):
 def test_determinised_part_can_be_forgotten(encoding, monkeypatch):
     monkeypatch.setattr(byte_bpe_codec, "TRANSITIONS", 50)
     monkeypatch.setattr(byte_bpe_codec, "MEMORY", 5)
+    monkeypatch.setattr(byte_bpe_codec, "WAIT", 3)
     codec = byte_bpe_codec.Codec(RANKS, public_tokenizers.PATTERN)
-    text = "Streams of unusual words: antidisestablishmentarianism, 日本語, ééé, xyzzy. " * 3
+    text = "aaaabaaab " * 9 + "-" * 500 + "Streams of unusual words: antidisestablishmentarianism, 日本語, ééé, xyzzy. " * 3
     assert unpacked(codec.encode(text)[0]) == encoding.encode_ordinary(text)
     assert len(codec.known) <= 5 and len(codec.transducer.pairs) <= 60
 
@@ -223,7 +224,7 @@ def test_a_token_that_no_merge_makes():
     own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
     machine = byte_bpe_codec.Transducer(ranks)
     for text in ("xyz", "xyzxyz", "abc", "abcabc", "bcbc", "aabcc"):
-        assert unpacked(machine.encode(text.encode())) == own.encode_ordinary(text)
+        assert machine.encode(text.encode()) == own.encode_ordinary(text)
     with pytest.raises(ValueError):
         byte_bpe_codec.Transducer({b"a": 0})
 
