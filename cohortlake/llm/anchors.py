@@ -36,6 +36,7 @@ def _records(source: DataFrame, k: int, window: int, placed: bool) -> DataFrame:
                 yield pd.DataFrame({
                     "anchor": np.concatenate([f[0] for f in found]),
                     "id": np.repeat(part["id"].to_numpy(), [len(f[0]) for f in found]),
+                    "text_key": np.repeat(part["text_key"].to_numpy(), [len(f[0]) for f in found]),
                     "place": np.concatenate([f[1] for f in found]).astype(np.int32)})
             else:
                 # within one document an anchor counts once
@@ -43,18 +44,19 @@ def _records(source: DataFrame, k: int, window: int, placed: bool) -> DataFrame:
                 yield pd.DataFrame({"anchor": np.concatenate(once),
                                     "id": np.repeat(part["id"].to_numpy(), [len(f) for f in once])})
 
-    return source.mapInPandas(run, "anchor long, id long" + (", place int" if placed else ""))
+    return source.mapInPandas(run, "anchor long, id long" + (", text_key long, place int" if placed else ""))
 
 
 def repeated(source: DataFrame, k: int, window: int) -> DataFrame:
-    """``id``, ``places`` and ``firsts``: anchors that two ids hold, and the smallest such id of each.
+    """``id``, ``text_key``, ``places`` and ``firsts``: anchors that two ids hold, and the smallest such id of each.
 
-    ``source`` has ``id`` (not null) and ``text``. Counting is a partial aggregate, so a
+    ``source`` has ``id`` (not null) and ``text``; ``text_key`` is the hash of the text, as an
+    id may stand on several. Counting is a partial aggregate, so a
     frequent anchor is one record of a task; the join back can be split at a frequent anchor.
     A list is as long as its document at most.
     """
     first = materialise(_records(source, k, window, False).groupBy("anchor").agg(
         F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("anchor", "first"))
-    met = _records(source, k, window, True).join(first, "anchor")
-    held = met.groupBy("id").agg(F.collect_list(F.struct("place", "first")).alias("held"))
-    return held.select("id", F.col("held.place").alias("places"), F.col("held.first").alias("firsts"))
+    met = _records(source.withColumn("text_key", F.xxhash64("text")), k, window, True).join(first, "anchor")
+    held = met.groupBy("id", "text_key").agg(F.collect_list(F.struct("place", "first")).alias("held"))
+    return held.select("id", "text_key", F.col("held.place").alias("places"), F.col("held.first").alias("firsts"))

@@ -21,6 +21,8 @@ from cohortlake.llm.workers import map_texts
 UNDETERMINED = "und"
 #: bounds of the model: hashed n-grams, lengths of n-grams, additive smoothing
 BUCKETS, LENGTHS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
+#: how far, in nats an n-gram, a text may fall below the usual one of its language
+SLACK = 4.0
 #: characters hashed at a time
 _SLICE = 1 << 19
 
@@ -31,6 +33,11 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray
 
+    @property
+    def expected(self) -> np.ndarray:
+        """Mean log probability of an n-gram in a text of each language."""
+        return (np.exp(self.log_prob) * self.log_prob).sum(axis=0)
+
 
 def buckets_of(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """Buckets of all character n-grams of a lower-cased text, in slices."""
@@ -88,17 +95,23 @@ def fit(docs: DataFrame, training: Column, buckets: int = BUCKETS) -> Model:
     return Model(languages, np.log(seen / seen.sum()), np.log(smooth / smooth.sum(axis=0)))
 
 
-def posterior(model: Model, text: str) -> tuple[str, float]:
-    """The likeliest language of a text with letters, and its probability."""
-    log = model.log_prior.copy()
+def posterior(model: Model, text: str, expected: np.ndarray) -> tuple[str, float, float]:
+    """The likeliest language of a text with letters, its probability, and how usual the text is in it.
+
+    The last is its mean log probability of an n-gram less that expected of the language:
+    about 0 for prose, and far below for a language or a script that the model never saw.
+    """
+    log, grams = model.log_prior.copy(), 0
     for b in buckets_of(text, len(model.log_prob)):
         # sparse scoring: each n-gram held adds its row of the matrix
         held, times = np.unique(b, return_counts=True) if len(b) < 4096 else _dense(b, len(model.log_prob))
         log += times @ model.log_prob[held]
+        grams += len(b)
     share = np.exp(log - log.max())
     share /= share.sum()
     best = int(share.argmax())
-    return model.languages[best], float(share[best])
+    usual = (log[best] - model.log_prior[best]) / grams - expected[best]
+    return model.languages[best], float(share[best]), float(usual)
 
 
 def _dense(b: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,30 +121,31 @@ def _dense(b: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score``, the probability of that language.
+    """``keep`` columns with ``lang_pred``, its probability ``score``, and ``usual`` (see ``posterior``).
 
     The whole text is read. A null text, one without a letter, or a model without languages
-    gives ``und`` and score 0. Ties go to the first language by name. Every row is answered
+    gives ``und``, score 0 and no ``usual``. Ties go to the first language by name. Every row is answered
     on its own, so repeated rows get equal answers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list[str | None]) -> list[list]:
         m = shared.value
-        found = [posterior(m, t) if m.languages and has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
-        return [[f[0] for f in found], [f[1] for f in found]]
+        expected = m.expected
+        found = [posterior(m, t, expected) if m.languages and has_letter(t) else (UNDETERMINED, 0.0, None) for t in texts]
+        return [list(column) for column in zip(*found)] if found else [[], [], []]
 
-    return map_texts(docs, keep, {"lang_pred": "string", "score": "double"}, make)
+    return map_texts(docs, keep, {"lang_pred": "string", "score": "double", "usual": "double"}, make)
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Documents whose language is determined with probability ``least`` or more.
+def identified(docs: DataFrame, model: Model, least: float = 0.5, slack: float = SLACK) -> DataFrame:
+    """Documents in a language of the model: probability ``least`` or more, and ``usual`` at least ``-slack``.
 
-    The rows keep all their columns; the language column is left as it came.
+    Texts of other languages and scripts, and strings of random letters, go. The rows keep all their columns; the language column is left as it came.
     """
     # columns travel under numbers, so that none can clash with the prediction's
     numbered = tuple(f"__c{i}" for i in range(len(docs.columns)))
     moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, numbered)], F.col("text").alias("text"))
     kept = predict(moved, model, numbered).filter(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & (F.col("usual") >= -slack))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(numbered, docs.columns)])

@@ -110,12 +110,10 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
                     part["id"], part["text_key"], part["text"], part["places"], part["firsts"], anchors):
                 if not len(of_run):
                     continue
-                # rows that repeat an id may bring places of the other text; they are harmless
                 first_at = np.full(int(places[-1]) + 1, -1, np.int64)
                 known = np.zeros(len(first_at), bool)
-                inside = at_ < len(first_at)
-                first_at[at_[inside]] = firsts[inside]
-                known[at_[inside]] = True
+                first_at[at_] = firsts
+                known[at_] = True
                 first, is_known = first_at[places][of_run], known[places][of_run]
                 words = _WORD.findall(text)
                 edge = np.flatnonzero((first[1:] != first[:-1]) | (is_known[1:] != is_known[:-1])) + 1
@@ -183,7 +181,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
         F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
     held = repeated(source, ANCHOR, window)
     passages = materialise(_passages(
-        source.withColumn("text_key", F.xxhash64("text")).join(held, "id"), window))
+        source.withColumn("text_key", F.xxhash64("text")).join(held, ["id", "text_key"]), window))
     load = materialise(passages.filter("query").groupBy("shard").agg(
         F.ceil(F.sum("n") / SHARE).cast("int").alias("shares")))
     sized = passages.join(load, "shard")

@@ -200,8 +200,8 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     source = docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    held = repeated(source, ANCHOR, least).select("id", "places")
-    held = materialise(source.withColumn("text_key", F.xxhash64("text")).join(held, "id"))
+    held = repeated(source, ANCHOR, least).select("id", "text_key", "places")
+    held = materialise(source.withColumn("text_key", F.xxhash64("text")).join(held, ["id", "text_key"]))
     suffixes = materialise(_suffixes(held, least))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = suffixes.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)

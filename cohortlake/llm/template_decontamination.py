@@ -24,14 +24,16 @@ UNITS = (
     "mm|cm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|years|year"
     "|miles|mile|feet|foot|inches|inch|euros|euro|dollars|dollar|cents|percent|degrees|degree|meters|meter|metres|metre"
 )
-NAME = r"([\p{Ll}\p{N},;][ \t\r\n])(\p{Lu}\p{Ll}+(?:[ \t]\p{Lu}\p{Ll}+)*)"
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+# possessive groups: the matcher must not keep a frame for each of thousands of names or numbers
+_CAPITALISED = r"\p{Lu}\p{Ll}++(?!\p{L})"
+NAME = rf"([\p{{Ll}}\p{{N}},;][ \t\r\n])({_CAPITALISED}(?:[ \t]{_CAPITALISED})*+)"
+NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
 UNIT = rf"(<num>[ ]*)({UNITS})(?:[^\p{{L}}\p{{N}}]|$)"
 _SPLIT = r"[^\p{L}\p{N}<>]+"
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, "<>", "  "), NAME, "$1<name>")
+    return F.regexp_replace(F.translate(text, "<>", "  "), NAME, "$1 <name> ")
 
 
 def _numbered(text: Column) -> Column:

@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 ROWS_PER_BATCH, BYTES_PER_BATCH = 1_000, "8m"
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, rows: int = ROWS_PER_BATCH, size: str = BYTES_PER_BATCH) -> None:
     """Smaller Arrow batches, and this package on the workers' path if it was not shipped."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
