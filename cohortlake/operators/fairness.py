@@ -126,9 +126,10 @@ def group_thresholds(
 
     For each target recall level, every group takes its highest grid threshold that
     reaches the level; among levels whose recall and false-positive gaps stay within
-    ``max_gap`` the one with fewest errors wins (else the one with the smallest gap).
+    ``max_gap`` the one with fewest errors wins (else the one with the smallest gap). A null
+    group is the group ``Unknown``.
     """
-    points = TH.sweep(df, grid, [group]).select(
+    points = TH.sweep(df.withColumn(group, known(F.col(group))), grid, [group]).select(
         group, "threshold", "recall", "specificity", "fp", "fn"
     )
     # a grid point reaches the levels up to its recall: at most grid x levels rows per group

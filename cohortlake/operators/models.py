@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions.scalars import hash_unit
 from cohortlake.operators import evaluate as E
+from cohortlake.operators.neighbours import nearest
 from cohortlake.operators.runs import POS, ROW, RUN, sorted_runs
 from cohortlake.session import materialise
 
@@ -199,29 +200,14 @@ def forest_importances(df: DataFrame, features: Sequence[str], label: str, **opt
 # ---- over-sampling ----------------------------------------------------------------------------
 
 
-def _morton(columns: Sequence[str], low: Sequence[float], high: Sequence[float], bits: int) -> Column:
-    """Interleaved bits of the quantised columns: nearby rows get nearby codes."""
-    top = (1 << bits) - 1
-    code = F.lit(0).cast("bigint")
-    cells = []
-    for name, a, b in zip(columns, low, high):
-        span = (b - a) or 1.0
-        cells.append(F.greatest(F.lit(0), F.least(F.lit(top), F.floor((F.col(name) - a) / span * top))))
-    for bit in range(bits):
-        for i, cell in enumerate(cells):
-            digit = F.shiftright(cell.cast("bigint"), bit).bitwiseAND(F.lit(1).cast("bigint"))
-            code = code.bitwiseOR(F.shiftleft(digit, bit * len(cells) + i))
-    return code
-
-
 def oversample(
-    df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 42
+    df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 42, **search
 ) -> DataFrame:
     """Minority rows plus synthetic ones until the classes are even.
 
-    A synthetic row lies between a minority row and one of its k successors in the order
-    of interleaved feature bits, so neighbours come from an equi-join on position and no
-    pairs are formed. The successors are near, not always the k nearest.
+    A synthetic row lies between a minority row and one of its k nearest, drawn by a hash of
+    its key and copy number. ``search`` goes to ``neighbours.nearest``. Keys are unique; rows of
+    the minority that lack a feature are refused. A lone minority row is copied.
     """
     names = list(features)
     balance = df.agg(
@@ -234,23 +220,19 @@ def oversample(
     if n_min == 0 or needed == 0:
         return kept
     small = rows.filter(F.col(label) == minority)
-    edges = small.agg(*[F.min(c).alias(f"lo_{c}") for c in names], *[F.max(c).alias(f"hi_{c}") for c in names]).first()
-    bits = max(1, min(16, 62 // len(names)))
-    code = _morton(names, [edges[f"lo_{c}"] for c in names], [edges[f"hi_{c}"] for c in names], bits)
-    placed = sorted_runs(small.withColumn("_code", code), ["_code", key]).rows.drop(RUN, ROW)
+    near = nearest(small, names, key, k, seed=seed, **search)
     # the copies of a row follow from its position, so their total is exactly ``needed``
+    placed = sorted_runs(small, [key]).rows.drop(RUN, ROW)
     share = lambda p: F.floor(p * F.lit(needed) / F.lit(n_min))
     copies = (share(F.col(POS) + 1) - share(F.col(POS))).cast("int")
-    made = placed.withColumn("_copies", copies).filter(F.col("_copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    )
+    made = placed.withColumn("_copies", copies).filter(F.col("_copies") > 0).join(near, key).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     tag = F.concat_ws("#", F.col(key), F.col("_copy").cast("string"))
-    reach = max(1, min(k, n_min - 1))
+    drawn = F.floor(hash_unit(tag, f"{seed}k") * F.size("near")).cast("int")
     made = made.withColumn("_u", hash_unit(tag, f"{seed}u")).withColumn(
-        "_to", (F.col(POS) + 1 + F.floor(hash_unit(tag, f"{seed}k") * reach)) % n_min
-    )
-    near = placed.select(F.col(POS).alias("_to"), *[F.col(c).alias(f"_b_{c}") for c in names])
-    synthetic = made.join(near, "_to").select(
+        "_to", F.coalesce(F.get("near", drawn)["key"], F.col(key)))
+    other = small.select(F.col(key).alias("_to"), *[F.col(c).alias(f"_b_{c}") for c in names])
+    synthetic = made.join(other, "_to").select(
         tag.alias(key),
         *[(F.col(c) + F.col("_u") * (F.col(f"_b_{c}") - F.col(c))).alias(c) for c in names],
         F.lit(minority).cast(df.schema[label].dataType).alias(label),

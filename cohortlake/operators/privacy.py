@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlake.functions import clinical as C, generalise as G, terms, vocabulary as V
 from cohortlake.functions.scalars import canonical_json, hash_unit
+from cohortlake.session import materialise
 
 
 def identifier_columns(df: DataFrame, names: Sequence[str] = tuple(V.DIRECT_IDENTIFIERS)) -> list[str]:
@@ -64,13 +65,51 @@ def leaked_values(original: DataFrame, output: DataFrame, row_id: str, identifie
     payload = F.to_json(F.struct(*[c for c in output.columns if c != row_id]))
     sent = output.select(row_id, payload.alias("_payload"))
     kept = original.select(row_id, *[F.col(c).cast("string").alias(f"_id_{c}") for c in identifiers])
+
+    def inside(c: str) -> Column:
+        # the value as JSON writes it, without its frame: quotes and backslashes are escaped alike
+        written = F.to_json(F.struct(F.col(f"_id_{c}").alias("v")))
+        return F.contains(F.col("_payload"), F.substring(written, 7, F.length(written) - 8))
+
     leaks = F.array_compact(F.array(*[
-        F.when((F.length(f"_id_{c}") > 3) & F.contains(F.col("_payload"), F.col(f"_id_{c}")), F.lit(c))
-        for c in identifiers
+        F.when((F.length(f"_id_{c}") > 3) & inside(c), F.lit(c)) for c in identifiers
     ]))
     return kept.join(sent, row_id).select(row_id, leaks.alias("leaked")).filter(F.size("leaked") > 0)
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def foreign_leaks(original: DataFrame, output: DataFrame, row_id: str, identifiers: Sequence[str]) -> DataFrame:
+    """Identifiers of *any* person found in an output row: ``row_id``, ``identifier``, ``owner``.
+
+    Every identifier longer than three characters is indexed by its words, and the word windows
+    of the output texts are joined with that index by their hash, so no row meets all
+    identifiers; a hit counts if the words agree. Case and punctuation do not matter. A window
+    inside a longer word is not seen: ``leaked_values`` looks for that in a person's own row.
+    Rows whose ``row_id`` is null are not sent under an id and are left out.
+    """
+    index = materialise(
+        original.select(F.col(row_id).alias("owner"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("identifier"), F.col(c).cast("string").alias("value")) for c in identifiers])))
+        .filter(F.length("value") > 3).withColumn("words", _words(F.col("value"))).filter(F.size("words") > 0)
+        .select("owner", "identifier", "words", F.xxhash64("words").alias("hash")))
+    # a few numbers: how many words identifiers have
+    sizes = sorted(r["n"] for r in index.select(F.size("words").alias("n")).distinct().collect())
+    texts = [f.name for f in output.schema.fields if f.name != row_id]
+    # the fields are kept apart, so that no window spans two of them
+    said = output.filter(F.col(row_id).isNotNull()).select(row_id, F.explode(F.array(*[
+        F.to_json(F.struct(F.col(c).alias("v"))) if isinstance(output.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
+        else F.col(c).cast("string") for c in texts])).alias("text")).select(row_id, _words(F.col("text")).alias("said"))
+    windows = F.flatten(F.array(*[F.when(F.size("said") >= n, F.transform(
+        F.sequence(F.lit(1), F.size("said") - n + 1), lambda i, n=n: F.slice("said", i, n))).otherwise(
+        F.array().cast("array<array<string>>")) for n in sizes])) if sizes else F.array().cast("array<array<string>>")
+    met = said.select(row_id, F.explode(F.array_distinct(windows)).alias("window")).withColumn("hash", F.xxhash64("window"))
+    hit = met.join(index, "hash").filter(F.col("window") == F.col("words"))
+    return hit.select(row_id, "identifier", "owner").distinct()
+
+
 def pattern_hits(df: DataFrame, text: Column | None = None, patterns: Sequence[str] = tuple(V.SUSPICIOUS_PATTERNS)) -> DataFrame:
     """Rows with the suspicious patterns their text contains (V06); whole text, case-blind."""
     body = F.lower(text if text is not None else F.to_json(F.struct(*df.columns)))

@@ -236,6 +236,8 @@ def check(body: str) -> str:
         return body
     ctes = ",\n".join(f"{name} AS ({TABLES[name]})" for name in needed)
     stripped = body.lstrip()
+    if stripped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped.upper().startswith("WITH "):
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import clinical as C, temporal as T, terms, vocabulary as V
 from cohortlake.functions.scalars import bin_column, percent_text
-from cohortlake.operators import cohorts, curated, explore as X, resources as R, verification
+from cohortlake.operators import cohorts, curated, explore as X, placement as PL, resources as R, verification
 from cohortlake.plans.checks import check, inlist, lst
 from cohortlake.plans.registry import query
 
@@ -408,6 +408,34 @@ def _(t):
     return R.allocate_beds(t.requests, t.resources)
 
 
+@query("t06b_stable_placement", check(f"""
+    WITH RECURSIVE h AS (SELECT r.hospital_id, {_TIER} AS tier, icu_beds_available AS beds, f.* EXCLUDE (hospital_id)
+      FROM resources r JOIN flags f ON r.hospital_id = f.hospital_id WHERE NOT absent),
+    c AS (SELECT hospital_id, tier, beds, capability FROM h
+      UNPIVOT (has FOR capability IN (ecmo, cardiac_surgery, advanced_cardiac_care, dialysis)) WHERE has),
+    number AS (SELECT hospital_id, row_number() OVER (ORDER BY hospital_id) AS k, beds FROM h),
+    lists AS (SELECT capability, list(k ORDER BY tier, c.beds DESC, hospital_id) AS l FROM c JOIN number USING (hospital_id) GROUP BY 1),
+    q AS (SELECT request_id, capability, 'hospital_' || (request_id % 5 * 6) AS requesting_hospital,
+      row_number() OVER (ORDER BY risk_score DESC, request_id) AS i FROM requests),
+    asked AS (SELECT i, request_id, coalesce(l, []) AS l, coalesce(k, 0) AS own FROM q LEFT JOIN lists USING (capability)
+      LEFT JOIN number ON hospital_id = requesting_hospital),
+    steps(i, target, free) AS (
+      SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), (SELECT list(beds ORDER BY k) FROM number)
+      UNION ALL
+      SELECT i, target, CASE WHEN target IS NULL THEN free ELSE
+          list_concat(free[:target - 1], [free[target] - 1], free[target + 1:]) END
+      FROM (SELECT a.i, s.free, list_filter(a.l, lambda k: s.free[k] > 0 AND k <> a.own)[1] AS target
+        FROM steps s JOIN asked a ON a.i = s.i + 1))
+    SELECT q.request_id, q.capability, q.requesting_hospital, hospital_id AS target,
+      CASE WHEN hospital_id IS NOT NULL THEN row_number() OVER (PARTITION BY hospital_id ORDER BY q.i) END AS bed
+    FROM q JOIN steps s ON s.i = q.i LEFT JOIN number ON k = s.target"""))
+def _(t):
+    asked = t.requests.select(
+        "request_id", "capability", "risk_score",
+        F.concat(F.lit("hospital_"), (F.col("request_id") % 5 * 6).cast("string")).alias("requesting_hospital"))
+    return PL.place_requests(asked, t.resources)[0]
+
+
 @query("t07_weekday_counts", check(f"""
     SELECT CAST(i - 1 AS INT) AS position, d AS value, count(hadm_id) AS n FROM
       (SELECT unnest({lst(V.WEEKDAYS)}) AS d, unnest(range(1, 8)) AS i) w

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.functions import clinical as C
-from cohortlake.functions.scalars import safe_ratio
-from cohortlake.operators import evaluate as E, fairness as FA, monitor as M, thresholds as TH
+from cohortlake.functions.scalars import known, safe_ratio
+from cohortlake.operators import evaluate as E, fairness as FA, monitor as M, odds as OD, thresholds as TH
 from cohortlake.plans.checks import check
 from cohortlake.plans.registry import query
 
@@ -322,6 +322,44 @@ def _(t):
     return FA.group_thresholds(t.predictions, "gender")
 
 
+_HULL = """
+    s AS (SELECT coalesce(gender, 'Unknown') AS gender, score, count(*) FILTER (y_true = 1) AS pos, count(*) FILTER (y_true <> 1) AS neg
+      FROM predictions WHERE score IS NOT NULL GROUP BY 1, 2),
+    c AS (SELECT gender, score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+      sum(pos) OVER (PARTITION BY gender) AS p, sum(neg) OVER (PARTITION BY gender) AS n FROM s
+      WINDOW w AS (PARTITION BY gender ORDER BY score DESC)),
+    d AS (SELECT gender, fp, max(tp) AS tp, arg_max(threshold, tp) AS threshold, max(p) AS p, max(n) AS n FROM
+      (SELECT * FROM c UNION ALL SELECT DISTINCT gender, NULL, 0, 0, p, n FROM c) GROUP BY gender, fp),
+    hull AS (SELECT gender, CAST(fp AS BIGINT) AS fp, CAST(tp AS BIGINT) AS tp, threshold, CAST(p AS BIGINT) AS p,
+      CAST(n AS BIGINT) AS n FROM d WHERE coalesce(
+      (SELECT min((d.tp - u.tp) / CAST(d.fp - u.fp AS DOUBLE)) FROM d u WHERE u.gender = d.gender AND u.fp < d.fp)
+      > (SELECT max((v.tp - d.tp) / CAST(v.fp - d.fp AS DOUBLE)) FROM d v WHERE v.gender = d.gender AND v.fp > d.fp), true))"""
+
+
+@query("m12b_roc_hull", check(f"WITH {_HULL} SELECT * FROM hull"))
+def _(t):
+    return OD.roc_hull(E.curve(t.predictions.withColumn("gender", known(F.col("gender"))), ["gender"]), "gender")
+
+
+@query("m12c_equalized_odds", check(f"""
+    WITH {_HULL},
+    e AS (SELECT gender, fp / CAST(n AS DOUBLE) AS x1, tp / CAST(p AS DOUBLE) AS y1, threshold AS t1,
+      lag(fp / CAST(n AS DOUBLE)) OVER w AS x0, lag(tp / CAST(p AS DOUBLE)) OVER w AS y0, lag(threshold) OVER w AS t0,
+      fp * 1000 // n AS upto, coalesce(lag(fp * 1000 // n) OVER w, -1) AS after FROM hull WINDOW w AS (PARTITION BY gender ORDER BY fp)),
+    cells AS (SELECT *, CAST(unnest(range(after + 1, upto + 1)) AS BIGINT) AS i FROM e),
+    r AS (SELECT gender, i, i / 1000.0::DOUBLE AS x, t0, t1,
+      CASE WHEN x0 IS NULL THEN 1.0::DOUBLE ELSE (i / 1000.0::DOUBLE - x0) / (x1 - x0) END AS w, x0, y0, y1 FROM cells),
+    y AS (SELECT *, CASE WHEN x0 IS NULL THEN y1 ELSE y0 + w * (y1 - y0) END AS y FROM r),
+    total AS (SELECT CAST(sum(p) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n, count(*) AS k FROM (SELECT DISTINCT gender, p, n FROM hull)),
+    common AS (SELECT i, x, min(y) AS recall FROM y GROUP BY i, x HAVING count(*) = (SELECT k FROM total)),
+    best AS (SELECT i, recall FROM common, total ORDER BY p * recall + n * (1 - x) DESC, i LIMIT 1)
+    SELECT gender, t0 AS strict_threshold, t1 AS lenient_threshold, w AS lenient_weight,
+      CASE WHEN y - x > 0 THEN (y - recall) / (y - x) ELSE 0.0::DOUBLE END AS ignored, x AS fpr, recall
+    FROM y JOIN best USING (i)"""))
+def _(t):
+    return OD.equalized_odds(t.predictions, "gender")
+
+
 @query("m13_variant_comparison", check(f"""
     WITH v AS (SELECT 'baseline' AS variant, gender, y_true, CAST(score >= 0.5 AS DOUBLE) AS score FROM predictions
       UNION ALL SELECT 'lower_cut', gender, y_true, CAST(score >= 0.4 AS DOUBLE) FROM predictions

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.operators import curated, models as MD, prep
+from cohortlake.operators import curated, models as MD, neighbours as N, prep
 from cohortlake.plans.checks import check
 from cohortlake.plans.registry import query
 from cohortlake.session import run_path
@@ -211,6 +211,14 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_synthetic")).alias("n_given"))
 
 
+@query("m11c_neighbour_recall", check("""
+    SELECT least(200, count(*)) AS n_queries, true AS recall_holds FROM predictions WHERE y_true = 1"""))
+def _(t):
+    rows = t.predictions.filter("y_true = 1").select("row_id", "score", "age")
+    return N.neighbour_recall(rows, ["score", "age"], "row_id").select(
+        "n_queries", (F.col("recall") >= 0.9).alias("recall_holds"))
+
+
 @query("m14_federated_rounds")
 def _(t):
     rows = S.scan_split(t.predictions, "train").select(

@@ -85,6 +85,21 @@ def _(t):
     return PR.leaked_values(people, sent.withColumn("note", note), "request_id", ["subject_id", "name"])
 
 
+@query("v05b_foreign_leaks", check("""
+    SELECT r.request_id, 'subject_id' AS identifier, o.request_id AS owner FROM requests r
+      JOIN requests o ON o.request_id = r.request_id // 2 WHERE r.request_id % 100 = 0
+    UNION ALL SELECT r.request_id, 'name', o.request_id FROM requests r
+      JOIN requests o ON o.request_id = r.request_id // 3 WHERE r.request_id % 150 = 0"""))
+def _(t):
+    people = _people(t)
+    sent = PR.anonymise(people, keep=["request_id"])
+    one = F.concat(F.lit("As for (subj-"), F.lpad((F.expr("request_id div 2")).cast("string"), 9, "0"), F.lit("), see below"))
+    two = F.concat(F.lit('told by "NAME  '), F.expr("request_id div 3").cast("string"), F.lit('".'))
+    return PR.foreign_leaks(
+        people, sent.withColumn("note", F.when(F.col("request_id") % 100 == 0, one)).withColumn(
+            "said", F.when(F.col("request_id") % 150 == 0, two)), "request_id", ["subject_id", "name"])
+
+
 _PATTERNS = lst(V.SUSPICIOUS_PATTERNS)
 
 
@@ -320,6 +335,23 @@ def _(t):
         "transfer_id", "status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
+@query("st4b_bounded_status", """
+    SELECT 'xfer_' || user_id AS transfer_id, first(event_type ORDER BY ts DESC, event_id DESC) AS status, max(ts) AS updated_at
+    FROM events GROUP BY 1""")
+def _(t):
+    path, events = run_path(t.spark, "bounded-status"), t.raw("events")
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    for part in range(4):
+        # the updates come in four pieces, in the order of their time
+        low, high = (ends["a"] + (ends["b"] - ends["a"]) * i / 4 for i in (part, part + 1))
+        piece = events.filter((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(part == 3)))
+        piece.write.mode("append").parquet(f"{path}/in")
+        updates = B.shape_transfer_updates(ST.read_files(t.spark, f"{path}/in", schemas.EVENTS))
+        ST.run_available(ST.write_bounded_status(updates, f"{path}/out", f"{path}/checkpoint", "2 days", compact_every=2))
+    return ST.read_bounded_status(t.spark, f"{path}/out").select(
+        "transfer_id", "status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 @query("s15b_site_logs", check(f"""
     SELECT hospital_id, count(*) AS n FROM access_events WHERE hospital_id IN {inlist(V.SITES)} GROUP BY 1"""))
 def _(t):

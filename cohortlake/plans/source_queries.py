@@ -13,7 +13,7 @@ from cohortlake.plans import layers
 from cohortlake.plans.checks import check
 from cohortlake.plans.registry import query
 from cohortlake.session import run_path
-from cohortlake.sources import schemas, tables as S
+from cohortlake.sources import schemas, snapshots as SN, tables as S
 
 
 def _stored_predictions(t) -> DataFrame:
@@ -78,6 +78,53 @@ def _small_sources(t):
     return {"patients": t.patients, "admissions": t.admissions, "transfers": t.transfers}
 
 
+def _versioned(t, share: int):
+    """Two layers, the second from the first; ``share`` of ten patients are in them."""
+    people = t.patients.filter(F.col("subject_id") % 10 < share)
+    return {"patients": people, "admissions": t.admissions}, {
+        "curated": {"people": lambda b: b["patients"].select("subject_id", "gender", "anchor_age")},
+        "verification": {"ages": lambda b: b["people"].groupBy("gender").agg(F.count(F.lit(1)).alias("n"))},
+    }
+
+
+@query("s06b_snapshot_versions", check("""
+    WITH n AS (SELECT count(*) AS every, count(*) FILTER (subject_id % 10 < 9) AS most FROM patients)
+    SELECT 'pinned' AS reader, 1 AS version, most AS n FROM n UNION ALL SELECT 'after_failure', 1, most FROM n
+    UNION ALL SELECT 'newest', 2, every FROM n"""))
+def _(t):
+    root = run_path(t.spark, "versions")
+    sources, builders = _versioned(t, 9)
+    pinned = SN.build(t.spark, root, sources, builders)
+    # the third table names one that was not built, when two are written
+    failing = {**builders, "late": {"broken": lambda b: b["absent"]}}
+    try:
+        SN.build(t.spark, root, sources, failing)
+    except KeyError:
+        pass
+    left = SN.open_version(t.spark, root)
+    sources, builders = _versioned(t, 10)
+    newest = SN.build(t.spark, root, sources, builders)
+    return reduce(DataFrame.unionByName, [
+        s.table("curated", "people").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("reader"), F.lit(s.version).alias("version"), "n")
+        for name, s in (("pinned", pinned), ("after_failure", left), ("newest", newest))])
+
+
+@query("q05b_gated_write", check("""
+    SELECT 'curated' AS layer, 'people' AS table_name, 'row_count_anomaly' AS type, 1 AS version_left,
+      round(100.0 * (count(*) - count(*) FILTER (subject_id % 10 < 2)) / count(*), 6)::DOUBLE AS value FROM patients"""))
+def _(t):
+    root = run_path(t.spark, "gated")
+    SN.build(t.spark, root, *_versioned(t, 10))
+    try:
+        SN.build(t.spark, root, *_versioned(t, 2))
+    except SN.GateRefused as refused:
+        left = SN.open_version(t.spark, root).version
+        return refused.findings.filter("level = 'error'").select(
+            "layer", "table_name", "type", F.lit(left).alias("version_left"), F.round("value", 6).alias("value"))
+    raise AssertionError("a table that lost most of its rows was committed")
+
+
 @query("s07_layer_databases", check("""
     SELECT layer, 0 AS n_tables, n_patients FROM (VALUES ('curated'), ('federated'), ('verification')) AS v(layer),
       (SELECT count(*) AS n_patients FROM patients)""").replace("0 AS n_tables", "CAST(0 AS BIGINT) AS n_tables"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from cohortlake.operators import audit, evaluate as E, monitor as M
+from cohortlake.sources.tables import path_exists
 
 
 def read_files(
@@ -115,6 +116,70 @@ def write_status(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     )
 
 
+def _folders(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Numbered folders that were written to their end."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(target)]
+    return {int(n.removeprefix(prefix)): f"{path}/{n}" for n in names
+            if n.startswith(prefix) and path_exists(spark, f"{path}/{n}/_SUCCESS")}
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_bounded_status(
+    updates: DataFrame, path: str, checkpoint: str, keep: str = "7 days", compact_every: int = 10,
+) -> DataStreamWriter:
+    """Changed transfers of each micro-batch, with state that expires and batches that are merged (ST4).
+
+    State holds one row per transfer and stretch of length ``keep``; a stretch that ended
+    ``keep`` before the newest update is dropped, and so are updates that come later than
+    that. Every ``compact_every`` batches the current status of all transfers is written to
+    one folder; batches and folders that the one before it had already taken in are deleted, so a
+    reader that has just listed them still finds its files.
+    """
+    newest = F.struct("updated_at", "sequence")
+    changed = updates.withWatermark("updated_at", keep).groupBy(
+        F.window("updated_at", keep).alias("stretch"), "transfer_id").agg(
+        F.max_by("status", newest).alias("status"), F.max("updated_at").alias("last_at"),
+        F.max_by("sequence", newest).alias("sequence"))
+    rows = changed.select("transfer_id", "status", F.col("last_at").alias("updated_at"), "sequence")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # a batch can hold two stretches of one transfer
+        latest_status(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        before = _folders(spark, f"{path}/merged", "upto=")
+        read_bounded_status(spark, path).write.mode("overwrite").parquet(f"{path}/merged/upto={batch_id}")
+        done = max((n for n in before if n < batch_id), default=-1)
+        for number, folder in {**_folders(spark, path, "batch=")}.items():
+            if number <= done:
+                _drop(spark, folder)
+        for number, folder in before.items():
+            if number < done:
+                _drop(spark, folder)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+
+
+def read_bounded_status(spark: SparkSession, path: str) -> DataFrame:
+    """Current status per transfer: the newest merged folder and the batches after it."""
+    merged = _folders(spark, f"{path}/merged", "upto=")
+    upto = max(merged, default=-1)
+    batches = [folder for number, folder in sorted(_folders(spark, path, "batch=").items()) if number > upto]
+    read = ([merged[upto]] if merged else []) + batches
+    if not read:
+        return spark.createDataFrame([], "transfer_id string, status string, updated_at timestamp, sequence long")
+    return latest_status(spark.read.parquet(*read))
+
+
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Current status per transfer from the written changes."""
     return latest_status(spark.read.parquet(path).drop("batch"))
