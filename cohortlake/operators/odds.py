@@ -39,8 +39,8 @@ def roc_hull(points: DataFrame, group: str, chunk: int = CHUNK) -> DataFrame:
     """Vertices of the upper hull of each group's curve: ``group``, ``fp``, ``tp``, ``threshold``, ``p``, ``n``.
 
     ``points`` come from ``evaluate.curve``. A curve is cut into chunks along its sorted runs and
-    each chunk keeps its own hull; the hull of these is taken until one chunk is left, so no
-    task holds a whole curve. The start, where nothing is selected, has no threshold.
+    each chunk keeps its own hull; the hulls of two chunks are then joined, until one is left, so
+    no task holds a whole curve, only vertices. The start, where nothing is selected, has no threshold.
     """
     totals = points.groupBy(group).agg(F.max("p").alias("p"), F.max("n").alias("n"))
     start = totals.select(group, F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("tp"),
@@ -57,6 +57,7 @@ def roc_hull(points: DataFrame, group: str, chunk: int = CHUNK) -> DataFrame:
         rows = rows.drop("_chunk")
         if not several:
             return join_small(rows, totals, group)
+        chunk *= 2
 
 
 def equalized_odds(df: DataFrame, group: str, grid: int = GRID) -> DataFrame:

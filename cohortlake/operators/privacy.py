@@ -102,9 +102,13 @@ def foreign_leaks(original: DataFrame, output: DataFrame, row_id: str, identifie
     said = output.filter(F.col(row_id).isNotNull()).select(row_id, F.explode(F.array(*[
         F.to_json(F.struct(F.col(c).alias("v"))) if isinstance(output.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
         else F.col(c).cast("string") for c in texts])).alias("text")).select(row_id, _words(F.col("text")).alias("said"))
-    windows = F.flatten(F.array(*[F.when(F.size("said") >= n, F.transform(
-        F.sequence(F.lit(1), F.size("said") - n + 1), lambda i, n=n: F.slice("said", i, n))).otherwise(
-        F.array().cast("array<array<string>>")) for n in sizes])) if sizes else F.array().cast("array<array<string>>")
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("said") - n + 1)
+        return F.when(F.size("said") >= n, F.transform(places, lambda i: F.slice("said", i, n))).otherwise(
+            F.array().cast("array<array<string>>"))
+
+    windows = F.flatten(F.array(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<array<string>>")
     met = said.select(row_id, F.explode(F.array_distinct(windows)).alias("window")).withColumn("hash", F.xxhash64("window"))
     hit = met.join(index, "hash").filter(F.col("window") == F.col("words"))
     return hit.select(row_id, "identifier", "owner").distinct()
