@@ -33,11 +33,12 @@ def _require_numbers(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"{n} rows lack a feature; impute or drop them before looking for neighbours")
 
 
-def _interleaved(values: Sequence[Column], low: Sequence[float], span: float, shifts: Sequence[float]) -> Column:
-    """Bits of the shifted values in turn, the highest first."""
-    bits = _BITS // len(values)
-    top = float((1 << bits) - 1)
-    cells = [F.floor((v - a + s * span) / (2 * span) * top).cast("bigint") for v, a, s in zip(values, low, shifts)]
+def _cell(value: Column, low: float, span: float, shift: float, bits: int) -> Column:
+    return F.floor((value - low + shift * span) / (2 * span) * float((1 << bits) - 1)).cast("bigint")
+
+
+def _interleaved(cells: Sequence[Column], bits: int) -> Column:
+    """Bits of the cells in turn, the highest first."""
     code = F.lit(0).cast("bigint")
     for bit in range(bits):
         for i, cell in enumerate(cells):
@@ -64,25 +65,27 @@ def nearest(
     names = list(features)
     _require_numbers(df, names)
     x = F.array(*[F.col(c).cast("double") for c in names])
-    rows = materialise(df.select(F.col(key).alias("_key"), x.alias("_x")))
     rng, width = random.Random(seed), min(len(names), PROJECTIONS)
+    bits = _BITS // width
+    drawn = [[rng.gauss(0.0, 1.0) for _ in names] for _ in range(orders * width)]
 
-    def projection() -> Column:
-        parts = [F.col("_x")[i] * F.lit(rng.gauss(0.0, 1.0)) for i in range(len(names))]
-        return reduce(lambda a, b: a + b, parts)
+    def projected(weights: Sequence[float]) -> Column:
+        return F.aggregate(F.zip_with("_x", F.lit(list(weights)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
-    projections = [[projection() for _ in range(width)] for _ in range(orders)]
-    flat = [p for order in projections for p in order]
+    rows = materialise(df.select(F.col(key).alias("_key"), x.alias("_x")).select(
+        "_key", "_x", F.array(*[projected(w) for w in drawn]).alias("_p")))
     # two numbers for each projection
-    edges = rows.agg(*[f(p).alias(f"{n}{i}") for i, p in enumerate(flat) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    edges = rows.agg(*[f(F.col("_p")[i]).alias(f"{n}{i}") for i in range(len(drawn)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if edges["lo0"] is None:
-        return df.select(key, F.lit(None).cast("array<struct<distance:double,key:string>>").alias("near")).limit(0)
+        return df.select(F.col(key), F.array().cast("array<struct<distance:double,key:string>>").alias("near")).limit(0)
     found = []
-    for o, order in enumerate(projections):
-        low = [edges[f"lo{o * width + i}"] for i in range(width)]
-        span = max(edges[f"hi{o * width + i}"] - a for i, a in enumerate(low)) or 1.0
-        code = _interleaved(order, low, span, [rng.random() for _ in order])
-        placed = sorted_runs(rows.withColumn("_code", code), ["_code", "_key"]).rows
+    for o in range(orders):
+        of_order = range(o * width, (o + 1) * width)
+        span = max(edges[f"hi{i}"] - edges[f"lo{i}"] for i in of_order) or 1.0
+        cells = [_cell(F.col("_p")[i], edges[f"lo{i}"], span, rng.random(), bits).alias(f"_c{i}") for i in of_order]
+        code = _interleaved([F.col(f"_c{i}") for i in of_order], bits).alias("_code")
+        coded = rows.select("_key", "_x", *cells).select("_key", "_x", code)
+        placed = sorted_runs(coded, ["_code", "_key"]).rows
         for start in (0, block // 2):
             met = placed.groupBy(F.floor((F.col(POS) + start) / block).alias("_block")).agg(
                 F.collect_list(F.struct("_key", "_x")).alias("m"))

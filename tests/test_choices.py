@@ -20,9 +20,9 @@ def cloud(spark, n, width, seed=1):
     return spark.createDataFrame(rows, ["id", *names]), names, rows
 
 
-@pytest.mark.parametrize("width, options", [(1, {}), (3, {}), (70, {"orders": 8, "block": 256})])
+@pytest.mark.parametrize("width, options", [(1, {}), (3, {}), (70, {"orders": 4, "block": 256})])
 def test_neighbours_are_exact_and_mostly_the_nearest(spark, width, options):
-    df, names, rows = cloud(spark, 600, width)
+    df, names, rows = cloud(spark, 400, width)
     points = {r[0]: r[1:] for r in rows}
     hit = total = 0
     for r in N.nearest(df, names, "id", k=4, **options).collect():
@@ -53,7 +53,7 @@ def test_rows_without_a_feature_are_refused(spark):
         MD.oversample(df, ["a"], "y", "id")
 
 
-@pytest.mark.parametrize("width", [2, 40])
+@pytest.mark.parametrize("width", [2, 20])
 def test_synthetic_rows_lie_between_neighbours(spark, width):
     df, names, rows = cloud(spark, 60, width)
     labelled = df.withColumn("y", (F.col("id") % 4 == 0).cast("int"))
@@ -161,14 +161,14 @@ def serial(requests, hospitals):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_placement_is_stable_and_fills_no_hospital_over_its_beds(spark, seed):
     rng = random.Random(seed)
     names = ["ecmo", "dialysis", "cardiac_surgery"]
     hospitals = [(f"h{i}", rng.choice(["Tertiary Care Center", "Community Hospital", "Rural Hospital", "other"]), rng.randint(0, 4),
-                  rng.sample(names, rng.randint(0, 3))) for i in range(12)]
+                  rng.sample(names, rng.randint(0, 3))) for i in range(8)]
     requests = [(i, rng.choice([*names, "mri", None]), rng.choice(["h0", "h1", "h2", None]), rng.choice([None, 0.1, 0.5, rng.random()]))
-                for i in range(90)]
+                for i in range(50)]
     flags = [(h, t, b, "{" + ", ".join(f'"{n}": {"true" if n in can else "false"}' for n in names) + "}") for h, t, b, can in hospitals]
     resources = spark.createDataFrame(flags, "hospital_id string, hospital_tier string, icu_beds_available int, specialized_capabilities string")
     asked = spark.createDataFrame(requests, "request_id long, capability string, requesting_hospital string, risk_score double")
