@@ -8,6 +8,7 @@ are scored in numpy from the n-grams they hold.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ BUCKETS, LENGTHS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 SLACK = 4.0
 #: characters hashed at a time
 _SLICE = 1 << 19
+# a run of letters that is no part of a number, key, address or path
+_TOKEN = re.compile(r"(?<![\w@./=+-])[^\W\d_]+(?![\w@/=+-])")
 
 
 @dataclass(frozen=True)
@@ -95,23 +98,34 @@ def fit(docs: DataFrame, training: Column, buckets: int = BUCKETS) -> Model:
     return Model(languages, np.log(seen / seen.sum()), np.log(smooth / smooth.sum(axis=0)))
 
 
-def posterior(model: Model, text: str, expected: np.ndarray) -> tuple[str, float, float]:
-    """The likeliest language of a text with letters, its probability, and how usual the text is in it.
-
-    The last is its mean log probability of an n-gram less that expected of the language:
-    about 0 for prose, and far below for a language or a script that the model never saw.
-    """
-    log, grams = model.log_prior.copy(), 0
+def posterior(model: Model, text: str) -> tuple[str, float]:
+    """The likeliest language of a text with letters, and its probability."""
+    log = model.log_prior.copy()
     for b in buckets_of(text, len(model.log_prob)):
         # sparse scoring: each n-gram held adds its row of the matrix
         held, times = np.unique(b, return_counts=True) if len(b) < 4096 else _dense(b, len(model.log_prob))
         log += times @ model.log_prob[held]
-        grams += len(b)
     share = np.exp(log - log.max())
     share /= share.sum()
     best = int(share.argmax())
-    usual = (log[best] - model.log_prior[best]) / grams - expected[best]
-    return model.languages[best], float(share[best]), float(usual)
+    return model.languages[best], float(share[best])
+
+
+def usual(model: Model, text: str, language: str, expected: np.ndarray) -> float:
+    """How usual the words of a text are in a language.
+
+    Mean log probability of an n-gram less that expected of the language: about 0 for prose,
+    and far below for a language or a script that the model never saw. Only words of letters
+    count, as numbers, keys and addresses tell nothing of a language; without any it is 0.
+    """
+    words = " ".join(_TOKEN.findall(text))
+    if not words:
+        return 0.0
+    place, log, grams = model.languages.index(language), 0.0, 0
+    for b in buckets_of(words, len(model.log_prob)):
+        log += float(model.log_prob[b.astype(np.int64), place].sum())
+        grams += len(b)
+    return log / grams - float(expected[place])
 
 
 def _dense(b: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,22 +134,26 @@ def _dense(b: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return held, times[held]
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred``, its probability ``score``, and ``usual`` (see ``posterior``).
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), judged: bool = False) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score``, the probability of that language.
 
     The whole text is read. A null text, one without a letter, or a model without languages
-    gives ``und``, score 0 and no ``usual``. Ties go to the first language by name. Every row is answered
-    on its own, so repeated rows get equal answers.
+    gives ``und`` and score 0. Ties go to the first language by name. Every row is answered
+    on its own, so repeated rows get equal answers. ``judged`` adds ``usual``, null where ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list[str | None]) -> list[list]:
         m = shared.value
-        expected = m.expected
-        found = [posterior(m, t, expected) if m.languages and has_letter(t) else (UNDETERMINED, 0.0, None) for t in texts]
-        return [list(column) for column in zip(*found)] if found else [[], [], []]
+        found = [posterior(m, t) if m.languages and has_letter(t) else (UNDETERMINED, 0.0) for t in texts]
+        out = [[f[0] for f in found], [f[1] for f in found]]
+        if judged:
+            expected = m.expected
+            out.append([usual(m, t, f[0], expected) if f[0] in m.languages else None for t, f in zip(texts, found)])
+        return out
 
-    return map_texts(docs, keep, {"lang_pred": "string", "score": "double", "usual": "double"}, make)
+    added = {"lang_pred": "string", "score": "double"} | ({"usual": "double"} if judged else {})
+    return map_texts(docs, keep, added, make)
 
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5, slack: float = SLACK) -> DataFrame:
@@ -146,6 +164,6 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5, slack: float =
     # columns travel under numbers, so that none can clash with the prediction's
     numbered = tuple(f"__c{i}" for i in range(len(docs.columns)))
     moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, numbered)], F.col("text").alias("text"))
-    kept = predict(moved, model, numbered).filter(
+    kept = predict(moved, model, numbered, judged=True).filter(
         (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least) & (F.col("usual") >= -slack))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(numbered, docs.columns)])
