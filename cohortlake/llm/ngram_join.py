@@ -73,12 +73,12 @@ def least_overlap(n: int, percent: int) -> int:
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """Per row the size and digest of its set, and beside these the tokens frequent in a batch."""
-    schema = "id long, n long, name string, sketch binary, token long, times long"
+    schema = "id long, key long, n long, name string, sketch binary, token long, times long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
             sets = shingles(list(batch["text"]), words)
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets],
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": [len(s) for s in sets],
                                 "name": [digest(s) if len(s) else None for s in sets],
                                 "sketch": [sketch(s) if len(s) else None for s in sets], "token": 0, "times": 0})
             every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
@@ -86,8 +86,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 at = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
                 times = np.diff(np.append(at, len(every)))
                 often = times >= LEAST_IN_BATCH
-                yield pd.DataFrame({"id": None, "n": None, "name": None, "sketch": None, "token": signed(every[at[often]]),
-                                    "times": times[often]})
+                yield pd.DataFrame({"id": None, "key": None, "n": None, "name": None, "sketch": None,
+                                    "token": signed(every[at[often]]), "times": times[often]})
 
     return docs.mapInPandas(run, schema)
 
@@ -252,12 +252,16 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     Two sets link when 100 * intersection >= ``percent`` * union. A row without words (null,
     empty or blank text) has 0 shingles, links with nothing and is its own component. Equal
     sets link, so repeated rows and rows that repeat an id are one component; ``component_id``
-    is the smallest id in it, null only if none of its rows has one.
+    is the smallest id in it, null only if none of its rows has one. ``percent`` is above 50
+    and at most 100: the bound by sketches compares sizes that differ by less than half.
     """
+    if not 50 < percent <= 100:
+        raise ValueError(f"percent must be above 50 and at most 100, not {percent}")
     # rows without an id carry a number that no id has, as a null would turn ids into floats
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").alias("text"))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").alias("text"),
+                         F.xxhash64("text").alias("key"))
     both = materialise(_sets(source, words))
-    rows = both.filter("n is not null").select("id", "n", "name", "sketch")
+    rows = both.filter("n is not null").select("id", "key", "n", "name", "sketch")
     often = (both.filter("n is null").groupBy("token").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "token").limit(FREQUENT).collect())
     frequent = np.array([r["token"] for r in often], np.int64).view(np.uint64)
@@ -290,24 +294,29 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         & (100 * F.col("high") >= percent * F.col("size")) & (percent * F.col("low") <= 100 * F.col("size"))
     )).select("cls", "gid").distinct())
 
+    # one row answers for its class: of its rows the one with the smallest id and text
     names = materialise(rows.filter("n > 0").groupBy("name").agg(
-        F.min("id").alias("id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-    ).withColumn("cls", F.conv(F.substring("name", 1, 16), 16, -10).cast("long")))
+        F.min(F.struct("id", "key")).alias("own"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+    ).select("*", "own.*", F.conv(F.substring("name", 1, 16), 16, -10).cast("long").alias("cls")).drop("own"))
     opened = materialise(_bounded(_meet(opened, groups, names.select("cls", "n", "sketch")), percent).distinct())
 
-    # texts are read again for the classes that take part; one row answers for its class
+    # texts are read again for the classes that take part, by id and text: an id may be missing or repeated
     wanted = opened.select("cls").union(groups.join(opened.select("gid").distinct(), "gid").select("cls")).distinct()
-    chosen = names.join(wanted, "cls").select("id", "name", "cls")
-    texts = source.join(chosen, "id")
+    times = rows.filter("n > 0").groupBy("id", "key").agg(F.count("*").alias("times")).filter("times > 1")
+    chosen = names.join(wanted, "cls").select("id", "key", "name", "cls").join(times, ["id", "key"], "left").fillna(
+        1, ["times"])
+    texts = source.join(chosen, ["id", "key"])
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 256):
             sets = shingles(list(part["text"]), words)
             same = [digest(s) == name for s, name in zip(sets, part["name"])]
-            yield part[["cls", "name"]].assign(tokens=[s.tobytes() for s in sets])[same]
+            yield part[["cls", "name", "times"]].assign(tokens=[s.tobytes() for s in sets])[same]
 
-    sets = materialise(texts.select("cls", "name", "text").mapInPandas(
-        tokens, "cls long, name string, tokens binary"))
+    sets = materialise(texts.select("cls", "name", "times", "text").mapInPandas(
+        tokens, "cls long, name string, times long, tokens binary"))
+    # a row that stands several times is read several times and kept once
+    sets = sets.filter("times = 1").union(sets.filter("times > 1").dropDuplicates(["cls"])).drop("times")
     links = _compare(_meet(opened, groups, sets), percent)
 
     linked = components(links)

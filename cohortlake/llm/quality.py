@@ -192,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Network | flo
     """Vectors from all documents; the network from at most ``rows`` labelled ones.
 
     ``labels`` has ``doc_id`` and ``label`` of the rows that may be learned from; the sample
-    is chosen by a hash of the id. Without both labels the share of label 1 (or 0) is returned
+    is chosen by a hash of the id, and of an id on several rows one text is learned from.
+    Without both labels the share of label 1 (or 0) is returned
     and every document gets it as its score.
     """
     known = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
@@ -203,10 +204,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Network | flo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["doc_id", "label"]].assign(x=[pooled(t, shared.value) for t in batch["text"]])
+            yield batch[["doc_id", "label", "place"]].assign(x=[pooled(t, shared.value) for t in batch["text"]])
 
-    table = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-             .mapInPandas(run, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id"))
+    # one row per labelled id, the text with the smallest hash, so the bound holds for repeated ids
+    table = (docs.select("doc_id", "text", F.xxhash64("text").alias("place")).join(F.broadcast(chosen), "doc_id")
+             .mapInPandas(run, "doc_id long, label int, place long, x array<float>")
+             .groupBy("doc_id", "label").agg(F.min(F.struct("place", "x"))["x"].alias("x"))
+             .toPandas().sort_values("doc_id"))
     if not len(table) or table["label"].nunique() < 2:
         return float(table["label"].mean()) if len(table) else 0.0
     order = np.random.default_rng(3).permutation(len(table))

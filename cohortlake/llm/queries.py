@@ -37,6 +37,11 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def held_out(n: int, rest: int) -> Column:
+    """Whether the remainder is ``rest``; a missing id has no remainder, so it is not, and is not learned from."""
+    return F.coalesce(remainder(n) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.deduplicated(table(spark, folder, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed",
@@ -56,7 +61,7 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language_id.fit(docs, remainder(4) != 2)
     return language_id.predict(docs, model).select(
-        "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+        "doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +77,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label")).filter(remainder(3) != 1)
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score",
+    return scored.select("doc_id", held_out(3, 1), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -88,7 +93,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label")).filter(remainder(5) != 0)
     scored = quality.score(docs, quality.fit(docs, labels))
-    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+    return scored.select("doc_id", held_out(5, 0), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -1,7 +1,8 @@
-"""Secret scan: long candidates, and a random forest that removes false positives.
+"""Secret scan: candidates of two forms, and a random forest that removes false positives.
 
-A candidate is a run of 16 or more characters of keys, tokens and passwords. The forest sees
-its length, its character transitions, how much of it a dictionary covers, whether it is
+A candidate is a run of 16 or more characters of keys, tokens and passwords, or a shorter value
+after an announcing word (``password = ...``) or between a user and a host
+(``://user:...@host``). The forest sees its length, its character transitions, how much of it a dictionary covers, whether it is
 part of a path, and the words around it. It is trained from labelled findings, a bounded
 sample. Everything is DataFrame and SQL functions.
 """
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from cohortlake.session import materialise
 
-#: shortest candidate; characters of context kept on each side
-SHORTEST, AROUND = 16, 48
+#: shortest run, shortest announced value; characters of context kept on each side
+SHORTEST, ANNOUNCED_SHORTEST, AROUND = 16, 6, 48
 #: bounds of the training sample and of the dictionary
 SAMPLE, DICTIONARY = 10_000, 2_000
 LEAST = 0.5
@@ -27,7 +28,17 @@ FORMATS = (
     r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9\-]{10,}$"
     r"|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_\-]{35}$|^glpat-[A-Za-z0-9_\-]{20,}$"
 )
-ANNOUNCED = r"(?i)(password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential)[\"' ]{0,3}[=:][\"' ]{0,3}$"
+WORDS = r"password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|credential"
+_LEADS = r"[\"' ]{0,3}[=:][\"' ]{0,3}"
+ANNOUNCED = rf"(?i)({WORDS}){_LEADS}$"
+USER = r"://[^\s/:@\"']+:$"
+# an announced value holds a digit or a sign: letters alone cannot be told from prose
+_ASSIGNED = (
+    rf"((?<![A-Za-z0-9+/_\-])[A-Za-z_\-]*?(?i:{WORDS}){_LEADS})"
+    rf"((?=[^\s\"'<>,;:=]*[0-9#$%&*+@^_~])[^\s\"'<>,;]{{{ANNOUNCED_SHORTEST - 1},}}[^\s\"'<>,;.:!?)\]}}])"
+)
+_LOGIN = rf"(://[^\s/:@\"']++:)([^\s/@\"']{{{ANNOUNCED_SHORTEST},}}+)(?=@)"
+EVERY = rf"{_ASSIGNED}|{_LOGIN}|({CANDIDATE})"
 KEYWORD = r"(?i)(pass|pwd|secret|token|key|auth|cred|bearer)"
 FEATURES = (
     "length", "digits", "uppers", "hex", "changes", "distinct", "vowels", "covered", "longest_letters",
@@ -43,8 +54,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     is scanned for its rows once the copies have met. Null and empty texts have none.
     """
     text = F.translate("text", _START + _END, "  ")
-    pieces = F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{_START}$1{_END}"), _START)
-    found = docs.filter(F.col("text").rlike(CANDIDATE)).select(
+    pieces = F.split(F.regexp_replace(text, EVERY, f"$1$3{_START}$2$4$5{_END}"), _START)
+    found = docs.filter(F.col("text").rlike(EVERY)).select(
         F.xxhash64("text").alias("text_key"), pieces.alias("p")).select(
         "text_key", F.inline(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(
             F.substring_index(F.col("p")[i], _END, 1).alias("finding"),
@@ -64,6 +75,10 @@ def _share(pattern: str) -> Column:
     return F.length(F.regexp_replace("finding", pattern, "")) / F.length("finding")
 
 
+def _login() -> Column:
+    return F.col("before").rlike(USER) & F.col("after").startswith("@")
+
+
 def with_features(found: DataFrame, known: list[str]) -> DataFrame:
     """The features of each candidate, as one vector."""
     runs = F.filter(F.split(F.lower("finding"), "[^a-z]+"), lambda r: F.length(r) >= 4)
@@ -72,6 +87,8 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         "finding", "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
     letters = F.transform(F.split("finding", "[^A-Za-z]+"), lambda r: F.length(r))
+    # a value between user and host is announced by its place, and is no part of a path
+    login = _login()
     values = {
         "length": F.length("finding"),
         "digits": _share("[^0-9]"),
@@ -82,11 +99,12 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
         "vowels": _share("[^aeiouAEIOU]"),
         "covered": in_words / F.length("finding"),
         "longest_letters": F.coalesce(F.array_max(letters), F.lit(0)),
-        "path": F.length(F.regexp_replace("finding", "[^/]", "")) + F.col("before").rlike(r"(://|www\.|[\\/])[^ ]*$").cast("int"),
-        "mail_or_host": (F.col("before").rlike(r"[@.]$") | F.col("after").rlike(r"^[@.][A-Za-z0-9]")).cast("int"),
+        "path": F.length(F.regexp_replace("finding", "[^/]", "")) + (
+            F.col("before").rlike(r"(://|www\.|[\\/])[^ ]*$") & ~login).cast("int"),
+        "mail_or_host": ((F.col("before").rlike(r"[@.]$") | F.col("after").rlike(r"^[@.][A-Za-z0-9]")) & ~login).cast("int"),
         "assigned": F.col("before").rlike(r"[=:] ?[\"']?$").cast("int"),
         "quoted": (F.col("before").rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")).cast("int"),
-        "keyword": F.col("before").rlike(KEYWORD + r"[^ ]* ?[=:]? ?[^ ]{0,2}$").cast("int"),
+        "keyword": (F.col("before").rlike(KEYWORD + r"[^ ]* ?[=:]? ?[^ ]{0,2}$") | login).cast("int"),
         "sentence": F.col("after").rlike(r"^[,.;!?]? +\p{Ll}").cast("int"),
     }
     table = found.select("*", *[v.cast("double").alias(f"__{k}") for k, v in values.items()])
@@ -97,7 +115,7 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
 def labelled(found: DataFrame) -> DataFrame:
     """Findings whose label is beyond doubt: published formats and announced values are
     secrets, plain words and numbers, hosts and paths are not. The others have no label."""
-    announced = F.col("before").rlike(ANNOUNCED) & F.col("finding").rlike("[0-9]")
+    announced = (F.col("before").rlike(ANNOUNCED) | _login()) & F.col("finding").rlike("[0-9]")
     plain = F.col("finding").rlike(r"^[A-Za-z]?[a-z]+$|^[0-9]+$|^[A-Z]+$") & ~F.col("before").rlike(ANNOUNCED)
     label = F.when(F.col("finding").rlike(FORMATS) | announced, 1.0).when(
         plain | F.col("after").rlike(r"^\.[a-z]{2,6}\b") | F.col("finding").rlike("/.*/"), 0.0)

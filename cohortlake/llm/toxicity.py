@@ -25,6 +25,8 @@ from cohortlake.session import materialise
 
 #: bounds of what the model learns from: labelled documents, words of the lexicon
 SAMPLE, LEXICON, LEAST_DOCS = 20_000, 2_000, 4
+#: parts of the sample, of which the last is for the calibration
+PARTS = 4
 #: letters of word beginnings that enter the lexicon beside whole words, longest first
 STEMS = (5, 4)
 #: words this many standard errors over the other documents enter the lexicon
@@ -141,24 +143,28 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = 12, depth: int = 4, row
     """Lexicon, trees and calibration from at most ``rows`` labelled documents.
 
     ``labels`` has ``doc_id`` and ``label`` (0 or 1) of the rows that may be learned from.
-    Half of the sample (by a hash of the id) gives the lexicon and the trees, the other half the
-    calibration. Without both labels the scorer answers the share of label 1, or 0.
+    Three parts of four of the sample (by a hash of the id) give the lexicon and the trees, the
+    last the calibration, whose rows neither has seen. Of an id on
+    several rows the text with the smallest hash is learned from. Without both labels the scorer
+    answers the share of label 1, or 0.
     """
     known = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max("label").alias("label"))
     chosen = sample(known, "doc_id", rows)
     train = materialise(docs.select("doc_id", "text").filter(F.col("text").isNotNull())
                         .join(F.broadcast(chosen), "doc_id")
-                        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))))
+                        .groupBy("doc_id", "label").agg(
+                            F.min(F.struct(F.xxhash64("text").alias("place"), "text"))["text"].alias("text"))
+                        .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS))))
     shares = train.agg(F.count("*").alias("n"), F.sum("label").alias("m")).first()
     if not shares["n"] or shares["m"] in (0, shares["n"]):
         return Scorer({}, None, None, float((shares["m"] or 0) / shares["n"]) if shares["n"] else 0.0)
-    lexicon = learn_lexicon(train.filter("part != 0"))
+    lexicon = learn_lexicon(train.filter(F.col("part") < PARTS - 1))
     table = materialise(assembled(with_features(train, lexicon, ("doc_id", "label", "part"))))
-    inner = table.filter("part < 3")
+    inner = table.filter(F.col("part") < PARTS - 1)
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32,
                           stepSize=0.3, seed=7).fit(inner)
-    outer = raw_scores(table.filter("part = 3 or part = 0"), model)
+    outer = raw_scores(table.filter(F.col("part") == PARTS - 1), model)
     steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(
         outer.select(F.col("raw"), F.col("label").cast("double").alias("label")))
     return Scorer(lexicon, model, steps, 0.0)

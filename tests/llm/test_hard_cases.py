@@ -6,7 +6,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.llm import language_id, substring_dedup, template_decontamination, workers
+from cohortlake.llm import (
+    language_id,
+    ngram_join,
+    quality,
+    secret_scan,
+    substring_dedup,
+    template_decontamination,
+    toxicity,
+    workers,
+)
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long, __row long"
 
@@ -84,3 +93,52 @@ def test_foreign_texts_go(spark):
         spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(foreign)], "doc_id long, text string"))
     kept = {r["doc_id"] for r in language_id.identified(given, model).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.filter("text rlike '[a-zA-Z]'").select("doc_id").collect()}
+
+
+def test_short_and_punctuated_secrets(spark):
+    workers.prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    short = ['password = "S3cr3t!pass#2024" was set', "see https://bob:hunter2xyz@db.example.org/main now",
+             "run with password=Xy7kQ29a, then stop", "my_api_secret_password: q8Zt41mmW."]
+    plain = ["the password: remember it well", "a secret = nothing", "auth:" * 20_000, "password=" * 20_000,
+             "http://host:8080/path and 10:30", "author: Smith2020x", "://a:" * 20_000, "token: 1" + "." * 50_000]
+    given = docs.union(spark.createDataFrame(
+        [(10_000 + i, t) for i, t in enumerate(short)] + [(20_000 + i, t) for i, t in enumerate(plain)],
+        "doc_id long, text string"))
+    found = secret_scan.scan(given)
+    assert sorted((r["doc_id"], r["finding"]) for r in found.filter("doc_id >= 10000").collect()) == [
+        (10_000, "S3cr3t!pass#2024"), (10_001, "hunter2xyz"), (10_002, "Xy7kQ29a"), (10_003, "q8Zt41mmW")]
+    before = {(r["doc_id"], r["finding"]) for r in secret_scan.scan(docs).select("doc_id", "finding").collect()}
+    assert before <= {(r["doc_id"], r["finding"]) for r in found.select("doc_id", "finding").collect()}
+    assert secret_scan.redacted(given).filter("doc_id = 10001").first()["text"] == (
+        "see https://bob:<SECRET>@db.example.org/main now")
+
+
+def test_an_id_on_many_rows_stays_in_the_bound(spark):
+    workers.prepare(spark)
+    docs = spark.createDataFrame(
+        [(i % 4, f"good clean text {i}" if i % 2 else f"bad junk {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, label int")
+    seen = []
+    kept, quality.train = quality.train, lambda x, y, v: seen.append(len(x)) or kept(x, y, v)
+    try:
+        quality.fit(docs, labels, rows=2)
+        quality.fit(docs, labels)
+    finally:
+        quality.train = kept
+    assert max(seen) <= 4
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 400
+
+
+def test_linked_rows_without_an_id_or_repeated(spark):
+    workers.prepare(spark)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:40] + [f"x{i}"]) for i in range(12)]
+    rows = [(None, t) for t in texts for _ in range(3)] + [(7, texts[0])] * 5 + [(7, texts[1]), (9, "alone in the world here")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert {r["component_id"] for r in got if r["n_shingles"] > 10} == {7}
+    assert [r["component_id"] for r in got if r["doc_id"] == 9] == [9]
+    for percent in (50, 0, 101):
+        with pytest.raises(ValueError):
+            ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
