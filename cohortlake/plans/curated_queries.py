@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortlake.functions import clinical as C
 from cohortlake.functions import vocabulary as V
 from cohortlake.operators import curated, verification
 from cohortlake.operators.runs import sorted_runs
+from cohortlake.plans import layers
 from cohortlake.plans.checks import check
 from cohortlake.plans.registry import query
+from cohortlake.session import run_path
 
 # ---- joins ------------------------------------------------------------------
 
@@ -48,6 +52,24 @@ def _(t):
     return t.admissions.select("hadm_id").join(counts, "hadm_id", "left").fillna(0)
 
 
+def _colocated(t):
+    given = {"patients": t.patients, "admissions": t.admissions, "transfers": t.transfers}
+    return layers.colocated_sources(
+        t.spark, given, run_path(t.spark, "colocated"), f"run_{uuid.uuid4().hex[:12]}_", buckets=8)
+
+
+@query("j01b_colocated_admissions", check("SELECT * FROM fact_admission"))
+def _(t):
+    stored = _colocated(t)
+    return curated.fact_hospital_admission(stored["admissions"], stored["patients"])
+
+
+@query("j02b_colocated_patients", check("SELECT * FROM dim_patient"))
+def _(t):
+    stored = _colocated(t)
+    return curated.dim_patient(stored["patients"], stored["admissions"])
+
+
 _OVERLAP_SQL = check("""
     WITH l AS (SELECT assigned_hospital AS hospital, subject_id, data_split FROM site_stays)
     SELECT hospital,
