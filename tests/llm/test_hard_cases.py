@@ -142,3 +142,20 @@ def test_linked_rows_without_an_id_or_repeated(spark):
     for percent in (50, 0, 101):
         with pytest.raises(ValueError):
             ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+
+
+def test_words_that_collide_under_any_sum_of_powers_stay_apart(spark):
+    workers.prepare(spark)
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    # a combination of powers of the former base that is 0 modulo 2^64
+    zero = [-3, 0, -8, -5, 3, 6, -2, -12, -4, -13, 12, 5, 1, -2]
+    short = "n" * 14, "".join(chr(ord("n") + d) for d in zero)
+    pairs = [(one, two), short]
+    rows = [(10 * k + j, w) for k, p in enumerate(pairs) for j, w in enumerate(p)]
+    rows += [(100 + 10 * k + j, f"{w} x{k} y z {w}") for k, p in enumerate(pairs) for j, w in enumerate(p)]
+    rows += [(200, f"{one} x y z {two} x y z"), (300, "a\0"), (301, "a")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert {r["doc_id"]: r["n_shingles"] for r in got}[200] == 5
