@@ -10,10 +10,13 @@ of the whole table are formed. ``neighbour_recall`` measures what the orders mis
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlake.functions.scalars import hash_unit
 from cohortlake.operators.joins import join_small
@@ -22,6 +25,8 @@ from cohortlake.session import materialise
 
 #: orders, rows of a block, and projections that an order interleaves at most
 ORDERS, BLOCK, PROJECTIONS = 3, 64, 6
+#: rows that one call of the block kernel holds
+CHUNK = 1 << 14
 _BITS = 62
 
 
@@ -54,6 +59,79 @@ def _distance(a: Column, b: Column, width: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
+def _in_blocks(k: int, block: int) -> Callable[[pa.Table], pa.Table]:
+    """A function made here is sent with the job, so workers need not hold this package."""
+
+    def nearest_in_blocks(table: pa.Table) -> pa.Table:
+        """The nearest rows within both cuts of one chunk into blocks, for the rows that belong to the chunk.
+
+        A block takes the distances of its rows in the order of their keys, so the first of equal
+        distances is the one with the smaller key. Rows of equal key, or without one, are no neighbours.
+        """
+        keys = table.column("_key").combine_chunks()
+        n, width = table.num_rows, len(table.column("_x")[0])
+        x = table.column("_x").combine_chunks().flatten().to_numpy().reshape(n, width)
+        pos, home = table.column(POS).to_numpy(), table.column("_home").to_numpy()
+        # dense ranks of the keys; a missing key has rank -1
+        at = pc.sort_indices(keys, null_placement="at_start").to_numpy()
+        known = pc.is_valid(keys).to_numpy(zero_copy_only=False)
+        ordered = keys.take(pa.array(at))
+        new = pc.fill_null(pc.not_equal(ordered[1:], ordered[:-1]), True).to_numpy(zero_copy_only=False) if n > 1 else np.empty(0, bool)
+        rank = np.empty(n, np.int64)
+        rank[at] = np.append(0, np.cumsum(new))
+        holder = at[np.append(True, new)]  # a row with the key of each rank
+        rank[~known] = -1
+        distance, other = np.full((n, 2 * k), np.nan), np.full((n, 2 * k), -1, np.int64)
+        for cut, start in enumerate((0, block // 2)):
+            number = (pos + start) // block
+            order = np.lexsort((rank, number))
+            first = np.flatnonzero(np.append(True, np.diff(number[order]) != 0))
+            size = np.diff(np.append(first, n))
+            for count in np.unique(size):
+                if count < 2:
+                    continue
+                begins = first[size == count]
+                # a bounded number of distances at a time
+                for part in np.array_split(begins, -(-len(begins) * count * count // 1_000_000)):
+                    rows = order[part[:, None] + np.arange(count)]
+                    points, ranks = x[rows], rank[rows]
+                    apart = np.zeros((len(rows), count, count))
+                    for f in range(width):
+                        step = points[:, :, None, f] - points[:, None, :, f]
+                        apart += step * step
+                    barred = (ranks[:, :, None] == ranks[:, None, :]) | (ranks < 0)[:, :, None] | (ranks < 0)[:, None, :]
+                    take = min(k, count)
+                    near = np.lexsort((apart, barred), axis=-1)[..., :take] if not np.isfinite(apart).all() else None
+                    if near is None:
+                        left, near = np.where(barred, np.inf, apart), np.empty((len(rows), count, take), np.int64)
+                        for j in range(take):
+                            near[..., j] = left.argmin(axis=-1)
+                            np.put_along_axis(left, near[..., j:j + 1], np.inf, axis=-1)
+                        # a row that has run out of neighbours repeats one
+                        again = (np.cumsum(~barred, axis=-1)[..., -1:] <= np.arange(take))
+                    else:
+                        again = np.take_along_axis(barred, near, axis=-1)
+                    to = slice(cut * k, cut * k + take)
+                    distance[rows, to] = np.take_along_axis(apart, near, axis=-1)
+                    other[rows, to] = np.where(again, -1, np.take_along_axis(
+                        np.broadcast_to(ranks[:, None, :], apart.shape), near, axis=-1))
+        # of both cuts the k nearest, each once
+        own = np.flatnonzero(home)
+        distance, other = distance[own], other[own]
+        order = np.lexsort((other, distance, other < 0), axis=-1)
+        distance, other = np.take_along_axis(distance, order, axis=-1), np.take_along_axis(other, order, axis=-1)
+        keep = other >= 0
+        same = (distance[:, 1:] == distance[:, :-1]) | (np.isnan(distance[:, 1:]) & np.isnan(distance[:, :-1]))
+        keep[:, 1:] &= ~(same & (other[:, 1:] == other[:, :-1]))
+        keep &= np.cumsum(keep, axis=-1) <= k
+        offsets = np.append(0, np.cumsum(keep.sum(axis=-1))).astype(np.int32)
+        near = pa.StructArray.from_arrays(
+            [pa.array(distance[keep]), keys.take(pa.array(holder[other[keep]]))], ["distance", "key"])
+        return pa.table({"_key": keys.take(pa.array(own)), "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
+
+    return nearest_in_blocks
+
+
 def nearest(
     df: DataFrame, features: Sequence[str], key: str, k: int = 5, orders: int = ORDERS, block: int = BLOCK, seed: int = 42,
 ) -> DataFrame:
@@ -78,6 +156,11 @@ def nearest(
     edges = rows.agg(*[f(F.col("_p")[i]).alias(f"{n}{i}") for i in range(len(drawn)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if edges["lo0"] is None:
         return df.select(F.col(key), F.array().cast("array<struct<distance:double,key:string>>").alias("near")).limit(0)
+    # a chunk is a bounded number of whole blocks; rows at its edges also go to the chunk beside it
+    chunk = block * max(1, CHUNK // block)
+    kind = rows.schema["_key"].dataType
+    made = T.StructType([T.StructField("_key", kind), T.StructField("near", T.ArrayType(T.StructType([
+        T.StructField("distance", T.DoubleType()), T.StructField("key", kind)])))])
     found = []
     for o in range(orders):
         of_order = range(o * width, (o + 1) * width)
@@ -86,21 +169,48 @@ def nearest(
         code = _interleaved([F.col(f"_c{i}") for i in of_order], bits).alias("_code")
         coded = rows.select("_key", "_x", *cells).select("_key", "_x", code)
         placed = sorted_runs(coded, ["_code", "_key"]).rows
-        for start in (0, block // 2):
-            met = placed.groupBy(F.floor((F.col(POS) + start) / block).alias("_block")).agg(
-                F.collect_list(F.struct("_key", "_x")).alias("m"))
-            each = F.transform("m", lambda a: F.struct(a["_key"].alias("_key"), F.slice(F.array_sort(F.transform(
-                F.filter("m", lambda b: b["_key"] != a["_key"]),
-                lambda b: F.struct(_distance(a["_x"], b["_x"], len(names)).alias("distance"), b["_key"].alias("key")))),
-                1, k).alias("near")))
-            found.append(met.select(F.inline(each)))
-    # at most 2 x orders x k records for a row
+        home = F.floor(F.col(POS) / chunk)
+        chunks = F.array_distinct(F.array(home, F.floor((F.col(POS) - block) / chunk), F.floor((F.col(POS) + block) / chunk)))
+        dealt = placed.select("_key", "_x", POS, home.alias("_own"), F.explode(chunks).alias("_chunk")).select(
+            "_key", "_x", POS, "_chunk", (F.col("_own") == F.col("_chunk")).alias("_home")).filter("_chunk >= 0")
+        found.append(dealt.groupBy("_chunk").applyInArrow(_in_blocks(k, block), made))
+    # at most orders x k records for a row
     joined = reduce(DataFrame.unionAll, found).groupBy("_key").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
     return joined.select(F.col("_key").alias(key), F.transform(best, lambda n: F.struct(
         F.sqrt(n["distance"]).alias("distance"), n["key"].alias("key"))).alias("near"))
 
 
+def _closer(held: list, width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task and query: the other rows, and those strictly nearer than each neighbour found."""
+    keys = [r["q"] for r in held]
+    nth = [keys.index(q) for q in keys]  # a repeated key is one query
+    points = [[float(v) for v in r["qx"]] for r in held]
+    limits = [list(r["d"]) for r in held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(keys), k + 1), np.int64)
+        for batch in batches:
+            found = batch.column(0)
+            x = np.ascontiguousarray(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, width).T)
+            for i, (key, point, limit) in enumerate(zip(keys, points, limits)):
+                other = pc.fill_null(pc.not_equal(found, pa.scalar(key, found.type)), False).to_numpy(zero_copy_only=False)
+                away = np.zeros(batch.num_rows)
+                for f in range(width):
+                    step = x[f] - point[f]
+                    away += step * step
+                away = np.sqrt(away)
+                counts[i, 0] += np.count_nonzero(other)
+                for j, d in enumerate(limit):
+                    counts[i, j + 1] += np.count_nonzero((away < d if d == d else away == away) & other)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nth, pa.int64()), *[pa.array(c) for c in counts.T],
+             pa.array([len(d) for d in limits], pa.int64())],
+            ["nth", "others", *[f"closer{j}" for j in range(k)], "n_found"])
+
+    return run
+
+
 def neighbour_recall(df: DataFrame, features: Sequence[str], key: str, k: int = 5, queries: int = 200, **options) -> DataFrame:
     """Share of the neighbours found that belong to the true k nearest, over ``queries`` rows drawn by a hash.
 
@@ -112,15 +222,14 @@ def neighbour_recall(df: DataFrame, features: Sequence[str], key: str, k: int =
     drawn = asked.select(F.col(key).alias("q"), F.array(*[F.col(c).cast("double") for c in names]).alias("qx"))
     near = nearest(df, names, key, k, **options)
     found = materialise(join_small(near.withColumnRenamed(key, "q"), drawn, "q"))
-    # one row: the queries and the squared distances of their neighbours
-    held = found.agg(F.collect_list(F.struct("q", "qx", F.transform("near", lambda n: n["distance"]).alias("d"))).alias("all"))
-    rows = df.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in names]).alias("_x"), F.lit(1).alias("_one"))
-    met = rows.join(F.broadcast(held.withColumn("_one", F.lit(1))), "_one").select("_key", F.col("_x"), F.inline("all"))
-    away = F.sqrt(_distance(F.col("_x"), F.col("qx"), len(names)))
-    closer = met.filter(F.col("_key") != F.col("q")).withColumn("away", away).groupBy("q").agg(
-        F.count(F.lit(1)).alias("others"),
-        *[F.count_if(F.col("away") < F.get(F.col("d"), F.lit(j))).alias(f"closer{j}") for j in range(k)],
-        F.max(F.size("d")).alias("n_found"))
+    # ``queries`` rows reach the driver, with the distances of their neighbours
+    held = found.select("q", "qx", F.transform("near", lambda n: n["distance"]).alias("d")).collect()
+    rows = df.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in names]).alias("_x"))
+    met = rows.mapInArrow(_closer(held, len(names), k), T.StructType([
+        T.StructField(c, T.LongType()) for c in ("nth", "others", *[f"closer{j}" for j in range(k)], "n_found")]))
+    closer = met.groupBy("nth").agg(
+        *[F.sum(c).alias(c) for c in ("others", *[f"closer{j}" for j in range(k)])], F.max("n_found").alias("n_found")
+    ).filter("others > 0")
     right = reduce(lambda a, b: a + b, [
         F.when((F.lit(j) < F.col("n_found")) & (F.col(f"closer{j}") < k), 1).otherwise(0) for j in range(k)])
     return closer.agg(

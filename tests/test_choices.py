@@ -199,3 +199,14 @@ def test_identifiers_with_quotes_and_those_of_others_are_found(spark):
     found = {tuple(r) for r in PR.foreign_leaks(people, sent, "id", ["name", "mrn"]).collect()}
     assert found == {(1, "name", 1), (2, "mrn", 2), (2, "name", 2), (2, "mrn", 1), (2, "name", 1), (4, "mrn", 3)}
     assert PR.foreign_leaks(people.limit(0), sent, "id", ["name"]).count() == 0
+
+
+def test_neighbours_do_not_depend_on_the_cut_into_chunks(spark, monkeypatch):
+    rows = [(None if i % 97 == 0 else i % 290, (i * 7 % 50) / 5, float(i * 11 % 30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    whole = N.nearest(df, ["a", "b"], "id", k=4, block=16).collect()
+    monkeypatch.setattr(N, "CHUNK", 32)
+    cut = N.nearest(df, ["a", "b"], "id", k=4, block=16).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, cut)) and len(cut) == 289
+    seen = N.neighbour_recall(spark.createDataFrame([(i, float(i)) for i in range(40)], "id long, a double"), ["a"], "id", queries=7)
+    assert seen.first().asDict() == {"n_queries": 7, "recall": 1.0}
