@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.components import components
-from cohortlake.llm.text import gram_hashes, many_word_hashes, pieces, signed
+from cohortlake.llm.text import block_hashes, gram_hashes, many_word_hashes, pieces, signed
 from cohortlake.session import materialise
 
 #: bound of the list of frequent tokens, and the count in one batch of rows that makes a candidate
@@ -36,7 +36,7 @@ _NO_ID = -(1 << 63)
 def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Per text the distinct hashes of its runs of ``words`` words, ascending; of the whole if shorter."""
     out = []
-    for found in many_word_hashes([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]):
+    for found in many_word_hashes([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts], block_hashes):
         n = len(found)
         out.append(np.unique(gram_hashes(found, words)) if n >= words
                    else gram_hashes(found, n) + np.uint64(n) if n else found)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.anchors import chosen, repeated
-from cohortlake.llm.text import gram_hashes, many_word_hashes, pieces, signed
+from cohortlake.llm.text import block_hashes, gram_hashes, many_word_hashes, pieces, signed
 from cohortlake.session import materialise
 
 #: words of an anchor, and neighbours before a suffix that it is compared with
@@ -60,7 +60,7 @@ def _runs(docs: DataFrame, least: int, placed: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 256):
             texts, out = list(part["text"]), []
-            hashed = many_word_hashes([t.encode("utf-8", "replace") for t in texts])
+            hashed = many_word_hashes([t.encode("utf-8", "replace") for t in texts], block_hashes)
             for id_, key, held, found, (_, places, of_run) in zip(
                     part["id"], part["text_key"], part["places"], hashed, chosen(texts, ANCHOR, least)):
                 at = np.flatnonzero(np.isin(places, held)[of_run])

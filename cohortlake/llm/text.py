@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 
+_PRIME = np.uint64(0x100000001B3)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: bytes hashed at a time, so that temporary arrays stay small for very long texts
 _SLICE = 1 << 18
@@ -15,6 +16,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: bits of the first bytes of a block that belong to its word
 _WITHIN = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_powers = _inverse = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,6 +26,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse modulo 2^64."""
+    global _powers, _inverse
+    if len(_powers) < n:
+        size = max(n, 2 * len(_powers))
+        tables = []
+        for base in (int(_PRIME), pow(int(_PRIME), -1, 1 << 64)):
+            grown = np.full(size, base, np.uint64)
+            grown[0] = 1
+            tables.append(np.cumprod(grown, dtype=np.uint64))
+        _powers, _inverse = tables
+    return _powers, _inverse
+
+
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets where words of ``[^\\x20\\x09-\\x0D]+`` start and end."""
     blank = np.ones(len(data) + 2, bool)
@@ -33,15 +49,35 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """One mixed 64-bit hash for each word of a UTF-8 text."""
+    """One mixed 64-bit hash for each word of a UTF-8 text.
+
+    A word's polynomial is a difference of running sums, brought back to power zero.
+    """
     return hashes_at(data, *word_bounds(data))
 
 
 def hashes_at(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Each block of eight bytes is mixed before and after its place in the word is added.
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    raw, parts, first = np.frombuffer(data, np.uint8), [], 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + _SLICE)))
+        base, end = starts[first], ends[last - 1]
+        powers, inverse = _power_tables(int(end - base) + 1)
+        sums = np.zeros(int(end - base) + 1, np.uint64)
+        np.cumsum((raw[base:end].astype(np.uint64) + np.uint64(1)) * powers[:end - base], out=sums[1:])
+        low = starts[first:last] - base
+        parts.append((sums[ends[first:last] - base] - sums[low]) * inverse[low])
+        first = last
+    return mix(np.concatenate(parts) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def block_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words as ``hashes_at``: each block of eight bytes is mixed before and after its place is added.
 
     A sum over the bytes themselves would not do: words of equal sum can be written down
     for any base (Thue-Morse words for 2^64), and they would count as one word.
+    Where a hash only finds candidates, ``hashes_at`` does.
     """
     if not len(starts):
         return np.empty(0, np.uint64)
@@ -62,8 +98,8 @@ def hashes_at(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(np.concatenate(parts))
 
 
-def many_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """``word_hashes`` of several texts; those that fit into a slice are hashed together."""
+def many_word_hashes(texts: list[bytes], hashes: Callable[..., np.ndarray] = hashes_at) -> list[np.ndarray]:
+    """The hashes of the words of several texts; those that fit into a slice are hashed together."""
     out: list[np.ndarray] = []
     first = 0
     while first < len(texts):
@@ -75,7 +111,7 @@ def many_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
         joined = b"\n".join(group)
         starts, ends = word_bounds(joined)
         offsets = np.cumsum([len(t) + 1 for t in group])
-        out.extend(np.split(hashes_at(joined, starts, ends), np.searchsorted(starts, offsets[:-1])))
+        out.extend(np.split(hashes(joined, starts, ends), np.searchsorted(starts, offsets[:-1])))
         first = last
     return out
 
