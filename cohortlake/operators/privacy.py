@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlake.functions import clinical as C, generalise as G, terms, vocabulary as V
 from cohortlake.functions.scalars import canonical_json, hash_unit
+from cohortlake.operators.joins import join_small
 from cohortlake.session import materialise
 
+#: rows that share a window before it counts as frequent, and windows that one task sorts
+OFTEN, ROWS_PER_TASK = 100_000, 1_000_000
+
 
 def identifier_columns(df: DataFrame, names: Sequence[str] = tuple(V.DIRECT_IDENTIFIERS)) -> list[str]:
     """Columns that are direct identifiers, whatever their case."""
@@ -89,6 +94,8 @@ def foreign_leaks(original: DataFrame, output: DataFrame, row_id: str, identifie
     identifiers; a hit counts if the words agree. Case and punctuation do not matter. A window
     inside a longer word is not seen: ``leaked_values`` looks for that in a person's own row.
     Rows whose ``row_id`` is null are not sent under an id and are left out.
+    Windows in more than ``OFTEN`` rows are not shuffled; each of them stands for many rows, so
+    they are few.
     """
     index = materialise(
         original.select(F.col(row_id).alias("owner"), F.inline(F.array(*[
@@ -109,9 +116,15 @@ def foreign_leaks(original: DataFrame, output: DataFrame, row_id: str, identifie
             F.array().cast("array<array<string>>"))
 
     windows = F.flatten(F.array(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<array<string>>")
-    met = said.select(row_id, F.explode(F.array_distinct(windows)).alias("window")).withColumn("hash", F.xxhash64("window"))
-    hit = met.join(index, "hash").filter(F.col("window") == F.col("words"))
-    return hit.select(row_id, "identifier", "owner").distinct()
+    met = materialise(said.select(row_id, F.explode(F.array_distinct(windows)).alias("window")).select(
+        row_id, F.xxhash64("window").alias("hash"), F.array_join("window", " ").alias("window")))
+    index = index.withColumn("words", F.array_join("words", " "))
+    # windows that many rows hold meet their identifiers where they are; of the others a task gets a bounded number
+    often = materialise(met.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OFTEN).select("hash"))
+    usual = met.join(F.broadcast(often), "hash", "left_anti").repartition(met.count() // ROWS_PER_TASK + 1, "hash")
+    hits = [usual.join(index, "hash"), join_small(met, index.join(F.broadcast(often), "hash", "left_semi"), "hash")]
+    return reduce(DataFrame.unionByName, [
+        h.filter(F.col("window") == F.col("words")).select(row_id, "identifier", "owner") for h in hits]).distinct()
 
 
 def pattern_hits(df: DataFrame, text: Column | None = None, patterns: Sequence[str] = tuple(V.SUSPICIOUS_PATTERNS)) -> DataFrame:

@@ -201,6 +201,16 @@ def test_identifiers_with_quotes_and_those_of_others_are_found(spark):
     assert PR.foreign_leaks(people.limit(0), sent, "id", ["name"]).count() == 0
 
 
+def test_frequent_windows_are_found_beside_the_others(spark, monkeypatch):
+    monkeypatch.setattr(PR, "OFTEN", 3)
+    monkeypatch.setattr(PR, "ROWS_PER_TASK", 7)
+    people = spark.createDataFrame([(1, "Smith Jo"), (2, "Rare One"), (3, "smith, jo"), (4, "Nobody")], "id long, name string")
+    sent = spark.createDataFrame(
+        [(i, "smith jo" if i % 2 else "said by rare one" if i == 4 else "nothing") for i in range(12)], "id long, note string")
+    found = sorted(tuple(r) for r in PR.foreign_leaks(people, sent, "id", ["name"]).collect())
+    assert found == sorted([(i, "name", o) for i in range(1, 12, 2) for o in (1, 3)] + [(4, "name", 2)])
+
+
 def test_neighbours_do_not_depend_on_the_cut_into_chunks(spark, monkeypatch):
     rows = [(None if i % 97 == 0 else i % 290, (i * 7 % 50) / 5, float(i * 11 % 30)) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
