@@ -20,15 +20,16 @@ BUILDERS = {
             b["admissions"], b["patients"]
         ),
         "fact_transfers": lambda b: curated.fact_transfers(b["transfers"]),
-        "fact_icu_stay": lambda b: curated.fact_icu_stay(b["transfers"]),
+        # movements are read from the stored table, so that their source is evaluated once
+        "fact_icu_stay": lambda b: curated.fact_icu_stay(b["fact_transfers"]),
         "clinical_features": lambda b: curated.clinical_features(
-            b["fact_icu_stay"], b["fact_hospital_admission"], b["dim_patient"], b["transfers"]
+            b["fact_icu_stay"], b["fact_hospital_admission"], b["dim_patient"], b["fact_transfers"]
         ),
         "patient_split_assignment": lambda b: curated.patient_split_assignment(b["patients"]),
     },
     FEDERATED: {
         "site_data": lambda b: curated.site_stays(
-            b["fact_icu_stay"], b["fact_hospital_admission"], b["dim_patient"], b["transfers"]
+            b["fact_icu_stay"], b["fact_hospital_admission"], b["dim_patient"], b["fact_transfers"]
         ),
     },
     VERIFICATION: {

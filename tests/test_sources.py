@@ -54,6 +54,13 @@ def test_layers_lazy_and_written_agree(spark, tables, tmp_path):
     assert S.layer_tables(spark, ["agree_verification"]) == {"agree_verification": ["data_leakage_check", "dataset_statistics"]}
 
 
+def test_layers_evaluate_the_movements_once(spark, tables):
+    lazy = layers.build_layers({"patients": tables.patients, "admissions": tables.admissions, "transfers": tables.transfers})
+    stored = {name: df for built in lazy.values() for name, df in built.items()}
+    for layer, name in (("curated", "fact_icu_stay"), ("curated", "clinical_features"), ("federated", "site_data")):
+        assert layers.BUILDERS[layer][name](stored).columns == stored[name].columns
+
+
 def test_table_size(spark, tmp_path):
     path = os.path.join(tmp_path, "t")
     spark.range(100).write.parquet(path)
