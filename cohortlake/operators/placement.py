@@ -1,17 +1,19 @@
-"""Placement of requests under capacity: deferred acceptance by rising limits.
+"""Placement of requests under capacity: deferred acceptance in the order of risk.
 
 Every hospital prefers requests by risk, every request prefers the hospitals that have its
-capability by tier and free beds. A hospital has a limit: the last place in the order of
-risk that it still accepts. A request proposes to the first hospital on its list whose
-limit admits it; a hospital with more proposals than beds lowers its limit to the last one
-that it can hold, and the rejected propose further down in the next round. Limits only
-fall, so the rounds end, and where no hospital has too many, no request and hospital would
-rather have each other: the placement is stable, and the best stable one for the requests.
+capability by tier and free beds. As all hospitals share one order, a request that is served
+after all of higher risk is never turned out again: each takes the first hospital on its list
+with a free bed, and the placement is stable, and the only stable one. Requests are served in
+blocks of a bounded size, one block a round; a block needs no more of a list than its first
+open hospitals, and leaves the beds that it has taken to the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlake.functions import terms
@@ -21,6 +23,8 @@ from cohortlake.operators.runs import sorted_runs
 from cohortlake.session import materialise
 
 _OPEN = (1 << 62)
+#: requests of one block, over the number of capabilities; each list gives at most twice as many hospitals
+BLOCK, LEAST_BLOCK = 400_000, 10_000
 
 
 def _preferences(resources: DataFrame) -> DataFrame:
@@ -31,66 +35,115 @@ def _preferences(resources: DataFrame) -> DataFrame:
                               F.explode(flags).alias("capability", "has")).filter("has")
     # as many rows as hospitals in a capability
     order = Window.partitionBy("capability").orderBy(F.col("tier"), F.col("less").asc_nulls_last(), "hospital_id")
-    return having.select("capability", "hospital_id", "beds", F.row_number().over(order).alias("nth"),
-                         F.sum("beds").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    return having.select("capability", "hospital_id", "beds", F.row_number().over(order).alias("nth"))
 
 
-def _first_limits(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """A limit that the last one cannot exceed, for each hospital.
+def _serve(rows: DataFrame) -> DataFrame:
+    """Serve the requests of one block in order: ``target`` and ``bed``, and ``first``, where each asked at the start.
 
-    If the beds before a hospital on a list and its own are fewer than the list's requests above
-    some place, not counting the hospital's own, those requests leave no bed free to a place below.
+    The rows of the one partition are the open hospitals of each list in order, then the requests.
     """
-    own = rows.groupBy("capability", F.col("requesting_hospital").alias("hospital_id")).agg(F.count(F.lit(1)).alias("own"))
-    need = lists.join(own, ["capability", "hospital_id"], "left").select(
-        "capability", "hospital_id",
-        (F.coalesce("before", F.lit(0)) + F.col("beds") + F.coalesce("own", F.lit(0))).alias("_order"))
-    met = join_small(rows.select("capability", "_order", "place"), need.filter("_order > 0"), ["capability", "_order"])
-    return met.groupBy("hospital_id").agg(F.min("place").alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[str, list[str]] = {}
+        beds: dict[str, int] = {}
+        free: dict[str, int] = {}
+        # the first open place of each list and the one after it; full hospitals stay full
+        heads: dict[str, int] = {}
+        seconds: dict[str, int] = {}
+
+        def open_from(names: list[str], at: int) -> int:
+            while at < len(names) and not free[names[at]]:
+                at += 1
+            return at
+
+        for batch in batches:
+            asked = batch.column("asked").to_pylist()
+            options = len(asked) - sum(asked)
+            held = batch.slice(0, options).to_pydict()
+            for capability, name, has, left in zip(held["capability"], held["hospital"], held["beds"], held["free"]):
+                lists.setdefault(capability, []).append(name)
+                beds[name], free[name] = has, left
+            part = batch.slice(options)
+            first: list[str | None] = []
+            target: list[str | None] = []
+            bed: list[int | None] = []
+            for capability, own in zip(part.column("capability").to_pylist(), part.column("hospital").to_pylist()):
+                names = lists.get(capability, [])
+                start = 1 if names and names[0] == own else 0
+                first.append(names[start] if start < len(names) else None)
+                at = heads[capability] = open_from(names, heads.get(capability, 0))
+                if at < len(names) and names[at] == own:
+                    at = seconds[capability] = open_from(names, max(seconds.get(capability, 0), at + 1))
+                name = names[at] if at < len(names) else None
+                target.append(name)
+                bed.append(None if name is None else beds[name] - free[name] + 1)
+                if name is not None:
+                    free[name] -= 1
+            if len(part):
+                text = batch.schema.field("hospital").type
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("request_id"), pa.array(target, text), pa.array(bed, pa.int64()), pa.array(first, text)],
+                    ["request_id", "target", "bed", "first"])
+
+    id_type, hospital = rows.schema["request_id"].dataType.simpleString(), rows.schema["hospital"].dataType.simpleString()
+    return rows.mapInArrow(run, f"request_id {id_type}, target {hospital}, bed bigint, first {hospital}")
 
 
 def place_requests(requests: DataFrame, resources: DataFrame, most_rounds: int = 10_000) -> tuple[DataFrame, list[dict]]:
     """Each request with its ``target`` (null if none is left) and ``bed`` from 1, and a log of the rounds.
 
     ``requests`` has unique ``request_id``, ``capability``, ``requesting_hospital`` (never a
-    target) and ``risk_score``; higher risk comes first, null last, ties by id. The log has a
-    row per round: hospitals with too many proposals, and proposals rejected. What reaches
-    the driver is two numbers a round; the limits are one row per hospital.
+    target) and ``risk_score``; higher risk comes first, null last, ties by id. A round serves
+    one block. The log has a row for each that rejects proposals to the first hospital open at
+    its start: hospitals with too many proposals, and proposals rejected; and one for the end,
+    counted anew over all that was placed. What reaches the driver is two numbers a round.
     """
-    order = [F.col("risk_score").desc_nulls_last(), F.col("request_id")]
-    placed = sorted_runs(requests.select("request_id", "capability", "requesting_hospital", "risk_score"), order).numbered("place")
-    rows = materialise(sorted_runs(placed.drop("risk_score"), ["capability", "place"]).row_number(["capability"], "_order"))
-    lists = materialise(_preferences(resources))
-    beds = lists.select("hospital_id", "beds").distinct()
-    limits = materialise(beds.join(_first_limits(rows, lists), "hospital_id", "left").select(
-        "hospital_id", "beds",
-        F.when(F.col("beds") <= 0, F.lit(0)).otherwise(F.coalesce("place", F.lit(_OPEN))).cast("bigint").alias("limit")))
+    listed = materialise(_preferences(resources).filter("hospital_id is not null"))
+    # a hospital on several rows has the least of their beds, and stands where its first row does
+    beds = listed.filter("beds > 0").groupBy("hospital_id").agg(F.min("beds").cast("bigint").alias("beds"))
+    lists = materialise(listed.groupBy("capability", "hospital_id").agg(F.min("nth").alias("nth")).join(beds, "hospital_id").select(
+        "capability", "nth", "hospital_id", "beds", F.col("beds").alias("free")))
+    size = max(LEAST_BLOCK, BLOCK // max(1, lists.select("capability").distinct().count()))
+    wanted = requests.select("request_id", "capability", "requesting_hospital", "risk_score")
+    runs = sorted_runs(wanted.join(lists.select("capability").distinct(), "capability", "left_semi"),
+                       [F.col("risk_score").desc_nulls_last(), F.col("request_id")])
+    asked, total = runs.numbered("place").drop("risk_score"), max(runs.ends) + 1
     log: list[dict] = []
-    for number in range(1, most_rounds + 1):
-        ranked = lists.select("capability", "nth", "hospital_id").join(limits, "hospital_id").filter("limit > 0")
-        # one row per capability, as long as its list of hospitals
-        options = ranked.groupBy("capability").agg(F.array_sort(F.collect_list(
-            F.struct("nth", "hospital_id", "limit", "beds"))).alias("options"))
-        first = F.get(F.filter("options", lambda o: (o["limit"] >= F.col("place")) & ~o["hospital_id"].eqNullSafe(
-            F.col("requesting_hospital"))), F.lit(0))
-        proposed = materialise(join_small(rows, options, "capability", "left").withColumn("o", first).select(
-            "request_id", "place", F.col("o.hospital_id").alias("target"), F.col("o.beds").alias("beds")))
-        full = materialise(proposed.filter("target is not null").groupBy("target").agg(
-            F.count(F.lit(1)).alias("n"), F.max("beds").alias("beds")).filter("n > beds"))
-        found = full.agg(F.count(F.lit(1)).alias("hospitals"), F.sum(F.col("n") - F.col("beds")).alias("rejected")).first()
-        log.append({"round": number, "hospitals": found["hospitals"], "rejected": found["rejected"] or 0})
-        if not found["hospitals"]:
+    served: list[DataFrame] = []
+    before = Window.partitionBy("capability").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    for start in range(0, total, size):
+        if len(served) == most_rounds:
+            raise RuntimeError(f"placement is not stable after {most_rounds} rounds")
+        # of a list no more than a block can use, wherever its requests come from
+        ahead = F.coalesce(F.sum(F.least("free", F.lit(size))).over(before), F.lit(0))
+        options = lists.withColumn("ahead", ahead).filter(F.col("ahead") < 2 * size)
+        block = asked.filter(F.col("place").between(start + 1, start + size)).join(
+            lists.select("capability").distinct(), "capability", "left_semi")
+        rows = options.select(F.lit(0).alias("asked"), "capability", F.col("nth").cast("bigint").alias("at"),
+                              F.col("hospital_id").alias("hospital"), "beds", "free").unionByName(
+            block.select(F.lit(1).alias("asked"), "capability", F.col("place").alias("at"),
+                         F.col("requesting_hospital").alias("hospital"), "request_id"), allowMissingColumns=True)
+        done = materialise(_serve(rows.repartition(1).sortWithinPartitions("asked", "at")))
+        served.append(done)
+        moved = done.filter("first is not null and not (first <=> target)")
+        found = moved.agg(F.count_distinct("first").alias("hospitals"), F.count(F.lit(1)).alias("rejected")).first()
+        if found["rejected"]:
+            log.append({"round": len(served), **found.asDict()})
+        taken = done.filter("target is not null").groupBy(F.col("target").alias("hospital_id")).agg(
+            F.count(F.lit(1)).alias("taken"))
+        lists = materialise(lists.join(taken, "hospital_id", "left").withColumn(
+            "free", F.col("free") - F.coalesce("taken", F.lit(0))).filter("free > 0").drop("taken").select(*lists.columns))
+        if lists.isEmpty():
             break
-        crowd = join_small(proposed.select("target", "place"), full.select("target", "beds"), "target")
-        last = sorted_runs(crowd, ["target", "place"]).row_number(["target"], "_rn").filter(
-            F.col("_rn") == F.col("beds")).select(F.col("target").alias("hospital_id"), F.col("place").alias("lower"))
-        limits = materialise(limits.join(last, "hospital_id", "left").select(
-            "hospital_id", "beds", F.least("limit", F.coalesce("lower", "limit")).alias("limit")))
-    else:
-        raise RuntimeError(f"placement is not stable after {most_rounds} rounds")
-    seated = sorted_runs(proposed.filter("target is not null").select("request_id", "target", "place"), ["target", "place"])
-    held = seated.row_number(["target"], "bed").select("request_id", "target", "bed")
-    return rows.select("request_id", "capability", "requesting_hospital").join(held, "request_id", "left"), log
+    placed = reduce(DataFrame.unionAll, served) if served else wanted.limit(0).select(
+        "request_id", F.col("requesting_hospital").alias("target"), F.lit(0).cast("bigint").alias("bed"))
+    held = placed.filter("target is not null").select("request_id", "target", "bed")
+    over = held.groupBy(F.col("target").alias("hospital_id")).agg(F.count(F.lit(1)).alias("n")).join(
+        beds, "hospital_id", "left").filter("beds is null or n > beds")
+    end = over.agg(F.count(F.lit(1)).alias("hospitals"), F.sum(F.col("n") - F.coalesce("beds", F.lit(0))).alias("rejected")).first()
+    log.append({"round": len(served) + 1, "hospitals": end["hospitals"], "rejected": end["rejected"] or 0})
+    return wanted.drop("risk_score").join(held, "request_id", "left"), log
 
 
 def unstable_pairs(placements: DataFrame, requests: DataFrame, resources: DataFrame) -> DataFrame:

@@ -184,6 +184,30 @@ def test_placement_is_stable_and_fills_no_hospital_over_its_beds(spark, seed):
     assert PL.place_requests(asked.limit(0), resources)[0].count() == 0
 
 
+@pytest.mark.parametrize("block", [40, 10_000])
+def test_placement_serves_long_lists_in_few_rounds(spark, monkeypatch, block):
+    """Lists that share hospitals: a round serves a block of requests, however many hospitals turn them down."""
+    rng = random.Random(3)
+    names = ["ecmo", "dialysis", "cardiac_surgery"]
+    hospitals = [(f"h{i:03}", "Rural Hospital", rng.randint(0, 2), rng.sample(names, rng.randint(1, 3))) for i in range(120)]
+    requests = [(i, rng.choice([*names, "mri"]), rng.choice(["h000", "h007", None]), rng.choice([None, 0.5, rng.random()]))
+                for i in range(400)]
+    flags = [(h, t, b, "{" + ", ".join(f'"{n}": {"true" if n in can else "false"}' for n in names) + "}") for h, t, b, can in hospitals]
+    resources = spark.createDataFrame(flags, "hospital_id string, hospital_tier string, icu_beds_available int, specialized_capabilities string")
+    asked = spark.createDataFrame(requests, "request_id long, capability string, requesting_hospital string, risk_score double")
+    monkeypatch.setattr(PL, "BLOCK", 1, raising=False)
+    monkeypatch.setattr(PL, "LEAST_BLOCK", block, raising=False)
+    placed, log = PL.place_requests(asked, resources, most_rounds=-(-400 // block))
+    rows = placed.collect()
+    assert {r["request_id"]: r["target"] for r in rows} == serial(requests, hospitals)
+    taken = {}
+    for r in rows:
+        if r["target"]:
+            taken.setdefault(r["target"], []).append(r["bed"])
+    assert all(sorted(beds) == list(range(1, len(beds) + 1)) for beds in taken.values())
+    assert log[-1]["hospitals"] == 0 and len(log) <= -(-400 // block) + 1
+
+
 # ---- leaks ----------------------------------------------------------------------------
 
 
