@@ -29,6 +29,8 @@ from cohortlake.session import materialise
 FREQUENT, LEAST_IN_BATCH = 1 << 16, 4
 #: classes of one group, and queries that one task compares with a group
 GROUP, SHARE = 48, 512
+#: bits of the filter of texts that are read again, and of one of its rows (as powers of two)
+FILTER_BITS, ROW_BITS = 26, 15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NO_ID = -(1 << 63)
 
@@ -200,9 +202,11 @@ class _Forest:
         return True
 
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
+def _compare(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between the queries and the members that meet under one group and share.
 
+    Texts meet, and their sets are made here: hashes are larger and cannot be compressed.
+
     Components need no more than a spanning forest, so a task leaves out the links between
     classes that it has joined already.
     """
@@ -211,11 +215,10 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
         forest = _Forest()
         at, names, sizes, tokens, owners, built = None, [], [], [], [], False
         flat = owner = size = np.empty(0)
-        for batch in batches:
+        for batch in pieces(batches, 256):
             links: list[tuple[str, str]] = []
-            for key, query, name, raw in zip(zip(batch["gid"], batch["share"]), batch["query"], batch["name"],
-                                             batch["tokens"]):
-                own = np.frombuffer(raw, np.uint64)
+            for key, query, name, own in zip(zip(batch["gid"], batch["share"]), batch["query"], batch["name"],
+                                             shingles(list(batch["text"]), words)):
                 if key != at:
                     at, names, sizes, tokens, built = key, [], [], [], False
                 if not query:
@@ -246,6 +249,19 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "a string, b string")
 
 
+def _admitted(source: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``source`` whose ``key`` may be in ``chosen``, so that the other texts are not shuffled.
+
+    The filter has a fixed size and is broadcast; a key that it admits in vain finds no partner later.
+    """
+    at = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
+    slot, place = F.shiftright(at, ROW_BITS).alias("slot"), at.bitwiseAND((1 << ROW_BITS) - 1).alias("place")
+    bits = chosen.select(slot, place).repartition("slot").groupBy("slot").agg(F.bitmap_construct_agg("place").alias("bits"))
+    marked = source.select("*", slot, place.cast("int").alias("place")).join(F.broadcast(bits), "slot")
+    byte = F.conv(F.hex(F.expr("substring(bits, place div 8 + 1, 1)")), 16, 10).cast("bigint")
+    return marked.filter(F.bit_get(byte, F.expr("place % 8")) == 1).select(*source.columns)
+
+
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row, by exact Jaccard similarity.
 
@@ -303,21 +319,20 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     # texts are read again for the classes that take part, by id and text: an id may be missing or repeated
     wanted = opened.select("cls").union(groups.join(opened.select("gid").distinct(), "gid").select("cls")).distinct()
     times = rows.filter("n > 0").groupBy("id", "key").agg(F.count("*").alias("times")).filter("times > 1")
-    chosen = names.join(wanted, "cls").select("id", "key", "name", "cls").join(times, ["id", "key"], "left").fillna(
-        1, ["times"])
-    texts = source.join(chosen, ["id", "key"])
+    chosen = materialise(names.join(wanted, "cls").select("id", "key", "name", "cls").join(
+        times, ["id", "key"], "left").fillna(1, ["times"]))
+    texts = _admitted(source, chosen).join(chosen, ["id", "key"])
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches, 256):
-            sets = shingles(list(part["text"]), words)
-            same = [digest(s) == name for s, name in zip(sets, part["name"])]
-            yield part[["cls", "name", "times"]].assign(tokens=[s.tobytes() for s in sets])[same]
+            yield part[[digest(s) == name for s, name in zip(shingles(list(part["text"]), words), part["name"])]]
 
-    sets = materialise(texts.select("cls", "name", "times", "text").mapInPandas(
-        tokens, "cls long, name string, times long, tokens binary"))
+    read = materialise(texts.select("cls", "name", "times", "text").mapInPandas(
+        own_texts, "cls long, name string, times long, text string"))
     # a row that stands several times is read several times and kept once
-    sets = sets.filter("times = 1").union(sets.filter("times > 1").dropDuplicates(["cls"])).drop("times")
-    links = _compare(_meet(opened, groups, sets), percent)
+    read = read.filter("times = 1").union(read.filter("times > 1").dropDuplicates(["cls"])).drop("times")
+    # written, as the components read both directions of a link
+    links = materialise(_compare(_meet(opened, groups, read), words, percent))
 
     linked = components(links)
     smallest = names.join(linked.withColumnRenamed("node", "name"), "name", "left").select(

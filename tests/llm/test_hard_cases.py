@@ -159,3 +159,24 @@ def test_words_that_collide_under_any_sum_of_powers_stay_apart(spark):
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got)
     assert {r["doc_id"]: r["n_shingles"] for r in got}[200] == 5
+
+
+def test_the_join_compares_once_and_shuffles_only_the_texts_that_take_part(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 9) for _ in range(40)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts[:7])]
+    rows += [(200, texts[0]), (200, texts[0]), (None, texts[1]), (300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = []
+    kept = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links: plans.append(
+        links._jdf.queryExecution().toString()) or kept(links))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got[200] == got[100] == got[0] == 0 and got[None] == got[101] == 1 and got[300] == 300
+    assert all(got[100 + i] == i for i in range(7)) and got[50] == 50
+    # the components read both directions of a link, and the comparison is not run for each
+    assert len(plans) == 1 and "MapInPandas" not in plans[0]
+    source = spark.range(-5000, 5000).select(F.col("id"), F.xxhash64("id").alias("key"))
+    chosen = source.filter("id % 100 = 0")
+    admitted = {r["id"] for r in ngram_join._admitted(source, chosen).collect()}
+    assert admitted >= set(range(-5000, 5000, 100)) and len(admitted) < 200
