@@ -1,15 +1,18 @@
-"""Nearest rows by several random orders of the plane, with exact distances inside blocks.
+"""The nearest rows, exactly, without pairs of the whole table.
 
-Rows are sorted by the interleaved bits of a few random projections. Near rows are usually near
-in such an order, and rows that one order tears apart meet in another; every order is cut
-into blocks twice, the second time half a block later. Within a block all distances are
-taken, so the work is rows x block x orders, no block exceeds its stated size, and no pairs
-of the whole table are formed. ``neighbour_recall`` measures what the orders miss.
+Rows with equal features are one place, which keeps its k + 1 smallest keys: no row needs more
+of them. Places are cut into chunks of a bounded size along a tree, so the places of a chunk lie
+together. Every place is searched for in its own chunk first. The distance of the last neighbour
+found there says which other chunks may hold one as near, by the box around their places, and
+the place is searched for in all of these too. Nothing is left out, in any number of features;
+with a few, few chunks are asked beside the own one, with many, most of them are.
+
+Bounds of boxes are rounded as distances are, feature by feature in the same order, so a bound
+is never above the distance of a place in the box. ``neighbour_recall`` checks the result.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -19,15 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlake.functions.scalars import hash_unit
-from cohortlake.operators.joins import join_small
+from cohortlake.operators.joins import SMALL_ROWS, join_small
 from cohortlake.operators.runs import POS, sorted_runs
 from cohortlake.session import materialise
 
-#: orders, rows of a block, and projections that an order interleaves at most
-ORDERS, BLOCK, PROJECTIONS = 3, 64, 6
-#: rows that one call of the block kernel holds
+#: orders of the plane (the exact search needs none), rows of a block
+ORDERS, BLOCK = 3, 64
+#: keys that a chunk of places holds on average, and places that are searched for in one task
 CHUNK = 1 << 14
-_BITS = 62
+#: places for each chunk, and numbers in all, that the tree of the chunks is made from
+CUT_FROM, CUT_MOST = 64, 1 << 20
 
 
 def _require_numbers(df: DataFrame, features: Sequence[str]) -> None:
@@ -38,147 +42,377 @@ def _require_numbers(df: DataFrame, features: Sequence[str]) -> None:
         raise ValueError(f"{n} rows lack a feature; impute or drop them before looking for neighbours")
 
 
-def _cell(value: Column, low: float, span: float, shift: float, bits: int) -> Column:
-    return F.floor((value - low + shift * span) / (2 * span) * float((1 << bits) - 1)).cast("bigint")
+# Functions made by a function are sent with the job, so workers need not hold this package.
 
 
-def _interleaved(cells: Sequence[Column], bits: int) -> Column:
-    """Bits of the cells in turn, the highest first."""
-    code = F.lit(0).cast("bigint")
-    for bit in range(bits):
-        for i, cell in enumerate(cells):
-            digit = F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("bigint"))
-            code = code.bitwiseOR(F.shiftleft(digit, bit * len(cells) + i))
-    return code
+def _halving() -> Callable[[np.ndarray, int], tuple[list, list[np.ndarray]]]:
+    def halved(points: np.ndarray, most: int) -> tuple[list, list[np.ndarray]]:
+        """A tree that halves the points along their widest feature, and the points of its leaves.
 
+        A node is [feature, greatest value on the left, left, right], a leaf [-1, 0, its number, -1].
+        Leaves near in number are near in space; equal points are not parted.
+        """
+        points = np.clip(points, -1e100, 1e100)  # the spread of a feature is a number
+        nodes: list = []
+        leaves: list[np.ndarray] = []
+        waiting = [(np.arange(len(points)), -1, 0)]
+        while waiting:
+            rows, parent, side = waiting.pop()
+            if parent >= 0:
+                nodes[parent][side] = len(nodes)
+            spread = np.ptp(points[rows], axis=0) if len(rows) > most else np.zeros(1)
+            if not spread.max() > 0:
+                nodes.append([-1, 0.0, len(leaves), -1])
+                leaves.append(rows)
+                continue
+            feature = int(spread.argmax())
+            value = points[rows, feature]
+            middle = (len(rows) - 1) // 2
+            cut = np.partition(value, middle)[middle]
+            if cut == value.max():
+                cut = value[value < cut].max()
+            waiting += [(rows[value > cut], len(nodes), 3), (rows[value <= cut], len(nodes), 2)]
+            nodes.append([feature, float(cut), 0, 0])
+        return nodes, leaves
 
-def _distance(a: Column, b: Column, width: int) -> Column:
-    """Squared distance of two feature lists."""
-    if width <= 16:
-        return reduce(lambda x, y: x + y, [(a[i] - b[i]) * (a[i] - b[i]) for i in range(width)])
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    return halved
 
 
-def _in_blocks(k: int, block: int) -> Callable[[pa.Table], pa.Table]:
-    """A function made here is sent with the job, so workers need not hold this package."""
+def _bounding() -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    def bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each point and box, no more than the squared distance of anything in the box; 0 where that is no number."""
+        least = np.zeros((len(x), len(low)))
+        for f in range(x.shape[1]):
+            gap = np.maximum(np.maximum(low[:, f] - x[:, f, None], x[:, f, None] - high[:, f]), 0.0)
+            least += gap * gap
+        least[np.isnan(least)] = 0.0
+        return least
 
-    def nearest_in_blocks(table: pa.Table) -> pa.Table:
-        """The nearest rows within both cuts of one chunk into blocks, for the rows that belong to the chunk.
+    return bounds
 
-        A block takes the distances of its rows in the order of their keys, so the first of equal
-        distances is the one with the smaller key. Rows of equal key, or without one, are no neighbours.
-        """
-        keys = table.column("_key").combine_chunks()
-        n, width = table.num_rows, len(table.column("_x")[0])
-        x = table.column("_x").combine_chunks().flatten().to_numpy().reshape(n, width)
-        pos, home = table.column(POS).to_numpy(), table.column("_home").to_numpy()
-        # dense ranks of the keys; a missing key has rank -1
-        at = pc.sort_indices(keys, null_placement="at_start").to_numpy()
-        known = pc.is_valid(keys).to_numpy(zero_copy_only=False)
+
+def _matrix() -> Callable[[pa.Array | pa.ChunkedArray, int], np.ndarray]:
+    def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+    return matrix
+
+
+def _ranking() -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    def ranked(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Dense ranks of the keys, -1 of a missing one, and a row that holds each rank."""
+        at = pc.sort_indices(keys, null_placement="at_end").to_numpy()
+        at = at[:len(keys) - keys.null_count]
         ordered = keys.take(pa.array(at))
-        new = pc.fill_null(pc.not_equal(ordered[1:], ordered[:-1]), True).to_numpy(zero_copy_only=False) if n > 1 else np.empty(0, bool)
-        rank = np.empty(n, np.int64)
-        rank[at] = np.append(0, np.cumsum(new))
-        holder = at[np.append(True, new)]  # a row with the key of each rank
-        rank[~known] = -1
-        distance, other = np.full((n, 2 * k), np.nan), np.full((n, 2 * k), -1, np.int64)
-        for cut, start in enumerate((0, block // 2)):
-            number = (pos + start) // block
-            order = np.lexsort((rank, number))
-            first = np.flatnonzero(np.append(True, np.diff(number[order]) != 0))
-            size = np.diff(np.append(first, n))
-            for count in np.unique(size):
-                if count < 2:
-                    continue
-                begins = first[size == count]
-                # a bounded number of distances at a time
-                for part in np.array_split(begins, -(-len(begins) * count * count // 1_000_000)):
-                    rows = order[part[:, None] + np.arange(count)]
-                    points, ranks = x[rows], rank[rows]
-                    apart = np.zeros((len(rows), count, count))
-                    for f in range(width):
-                        step = points[:, :, None, f] - points[:, None, :, f]
-                        apart += step * step
-                    barred = (ranks[:, :, None] == ranks[:, None, :]) | (ranks < 0)[:, :, None] | (ranks < 0)[:, None, :]
-                    take = min(k, count)
-                    near = np.lexsort((apart, barred), axis=-1)[..., :take] if not np.isfinite(apart).all() else None
-                    if near is None:
-                        left, near = np.where(barred, np.inf, apart), np.empty((len(rows), count, take), np.int64)
-                        for j in range(take):
-                            near[..., j] = left.argmin(axis=-1)
-                            np.put_along_axis(left, near[..., j:j + 1], np.inf, axis=-1)
-                        # a row that has run out of neighbours repeats one
-                        again = (np.cumsum(~barred, axis=-1)[..., -1:] <= np.arange(take))
-                    else:
-                        again = np.take_along_axis(barred, near, axis=-1)
-                    to = slice(cut * k, cut * k + take)
-                    distance[rows, to] = np.take_along_axis(apart, near, axis=-1)
-                    other[rows, to] = np.where(again, -1, np.take_along_axis(
-                        np.broadcast_to(ranks[:, None, :], apart.shape), near, axis=-1))
-        # of both cuts the k nearest, each once
-        own = np.flatnonzero(home)
-        distance, other = distance[own], other[own]
-        order = np.lexsort((other, distance, other < 0), axis=-1)
-        distance, other = np.take_along_axis(distance, order, axis=-1), np.take_along_axis(other, order, axis=-1)
-        keep = other >= 0
-        same = (distance[:, 1:] == distance[:, :-1]) | (np.isnan(distance[:, 1:]) & np.isnan(distance[:, :-1]))
-        keep[:, 1:] &= ~(same & (other[:, 1:] == other[:, :-1]))
-        keep &= np.cumsum(keep, axis=-1) <= k
-        offsets = np.append(0, np.cumsum(keep.sum(axis=-1))).astype(np.int32)
+        new = np.append(True, pc.not_equal(ordered[1:], ordered[:-1]).to_numpy(zero_copy_only=False)) if len(at) else np.empty(0, bool)
+        rank = np.full(len(keys), -1, np.int64)
+        rank[at] = np.cumsum(new) - 1
+        return rank, at[new]
+
+    return ranked
+
+
+def _least_keys(width: int, most: int, gathered: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    matrix, ranked = _matrix(), _ranking()
+    names = ["_x", "_keys"]
+
+    def thinned(places: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        keys = lists.flatten()
+        of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        x, rank = matrix(places, width), ranked(keys)[0]
+        # equal places side by side, in the order in which they come
+        by = np.lexsort(x.T)
+        new = np.append(True, (x[by[1:]] != x[by[:-1]]).any(axis=1))
+        number = np.empty(len(x), np.int64)
+        number[by] = np.minimum.reduceat(by, np.flatnonzero(new))[np.cumsum(new) - 1]
+        number = number[of]
+        order = np.lexsort((rank, number))
+        number, rank = number[order], rank[order]
+        new = np.append(True, number[1:] != number[:-1])
+        once = new | np.append(True, rank[1:] != rank[:-1])
+        order, number, new = order[once], number[once], new[once]
+        first = np.flatnonzero(new)
+        keep = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < most
+        offsets = np.append(0, np.cumsum(np.add.reduceat(keep, first, dtype=np.int64))).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [places.take(pa.array(number[first])), pa.ListArray.from_arrays(pa.array(offsets), keys.take(pa.array(order[keep])))], names)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of a batch, each with its smallest keys; if gathered, equal places come one after the other."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places, lists = batch.columns
+            if held is not None:
+                places = pa.concat_arrays([held.column(0).cast(places.type), places])
+                lists = pa.concat_arrays([held.column(1).cast(lists.type), lists])
+            done = thinned(places, lists)
+            if gathered:
+                # the last place may go on in the next batch
+                held = done.slice(done.num_rows - 1)
+                done = done.slice(0, done.num_rows - 1)
+            yield done
+        if held is not None:
+            yield held
+
+    return least
+
+
+def _in_cells(nodes: list, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    matrix = _matrix()
+    tree = [np.array(column) for column in zip(*nodes)]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leaf of the tree that each place falls into."""
+        feature, cut, left, right = tree
+        for batch in batches:
+            x = matrix(batch.column(0), width)
+            node = np.zeros(len(x), np.int64)
+            while (inner := np.flatnonzero(feature[node] >= 0)).size:
+                at = node[inner]
+                node[inner] = np.where(x[inner, feature[at]] <= cut[at], left[at], right[at])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(left[node].astype(np.int64))], ["_x", "_keys", "_cell"])
+
+    return placed
+
+
+def _in_chunk(width: int, most: int, block: int, floor: np.ndarray, ceiling: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    halved, bounds, matrix, ranked = _halving(), _bounding(), _matrix(), _ranking()
+    nothing = complex(np.nan, np.nan)
+
+    def search(points: np.ndarray, ranks: np.ndarray, asked: np.ndarray, bars: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """The ``most`` nearest of the points for each one asked, but for those of the barred rank.
+
+        A neighbour is a complex number, the squared distance and the rank: they sort by distance and rank,
+        a distance that is no number after the others, and one without a rank is none.
+        """
+        held = np.full((len(asked), most), nothing)
+        if not len(points):
+            return held
+        _, leaves = halved(points, block)
+        size = max(map(len, leaves))
+        member = np.full((len(leaves), size), -1, np.int64)
+        for number, leaf in enumerate(leaves):
+            member[number, :len(leaf)] = leaf
+        low = np.array([points[leaf].min(axis=0) for leaf in leaves])
+        high = np.array([points[leaf].max(axis=0) for leaf in leaves])
+        # a key at several places may be met twice at one distance
+        repeated = len(np.unique(ranks)) < len(ranks)
+
+        def visit(best: np.ndarray, x: np.ndarray, bar: np.ndarray, i: np.ndarray, leaf: np.ndarray) -> None:
+            rows = member[leaf]
+            away = np.zeros(rows.shape)
+            for f in range(width):
+                step = points[rows, f] - x[i, f, None]
+                away += step * step
+            away[rows < 0] = np.inf
+            # the others have nothing to add
+            near = ~(away.min(axis=1) > best[i, -1].real)
+            i, rows, away = i[near], rows[near], away[near]
+            found = np.empty(rows.shape, complex)
+            found.real, found.imag = away, ranks[rows]
+            found[(rows < 0) | (ranks[rows] == bar[i, None])] = nothing
+            found = np.concatenate([best[i], found], axis=1)
+            if repeated:
+                found.sort(axis=1)
+                a, b = found[:, 1:], found[:, :-1]
+                again = (a.imag == b.imag) & ((a.real == b.real) | (np.isnan(a.real) & np.isnan(b.real)))
+                found[:, 1:][again] = nothing
+            found.partition(most - 1, axis=1)
+            best[i] = np.sort(found[:, :most], axis=1)
+
+        # a bounded number of bounds and distances at a time
+        step = max(1, 1_000_000 // max(len(leaves), size + most))
+        for start in range(0, len(asked), step):
+            part = slice(start, start + step)
+            best, x, bar, limit = held[part], asked[part], bars[part], limits[part]
+            every = np.arange(len(x))
+            near = bounds(x, low, high)
+            first = near.argmin(axis=1)
+            visit(best, x, bar, every, first)
+            # other leaves that may hold one as near as the last one found; all of them while too few are found
+            may = ~(near > np.fmin(best[:, -1].real, limit)[:, None])
+            may[every, first] = False
+            i, leaf = np.nonzero(may)
+            order = np.lexsort((near[i, leaf], i))
+            i, leaf = i[order], leaf[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, every)[i]
+            # the nearest of them for every place at once, then the second
+            for turn in np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1]) if len(i) else []:
+                now, there = i[turn], leaf[turn]
+                still = ~(near[now, there] > np.fmin(best[now, -1].real, limit[now]))
+                if still.any():
+                    visit(best, x, bar, now[still], there[still])
+        return held
+
+    def nearest_in_chunk(table: pa.Table) -> pa.Table:
+        """What the places asked for find among those held, and whether the box of another chunk is as near as the last one found."""
+        asking = pc.is_null(table.column("_keys"))
+        held, asked = table.filter(pc.invert(asking)), table.filter(asking)
+        lists, bars = held.column("_keys").combine_chunks(), asked.column("_bar").combine_chunks()
+        keys = pa.concat_arrays([lists.flatten(), bars])
+        rank, holder = ranked(keys)
+        n = len(keys) - len(bars)
+        points = np.repeat(matrix(held.column("_x"), width), pc.list_value_length(lists).to_numpy(zero_copy_only=False), axis=0)
+        limits = pc.fill_null(asked.column("_limit"), np.nan).to_numpy()
+        x, own = matrix(asked.column("_x"), width), asked.column("_chunk").to_numpy()
+        more = np.zeros(len(x), bool)
+        step = max(1, 1_000_000 // max(1, len(floor)))
+        with np.errstate(all="ignore"):
+            best = search(points, rank[:n], x, rank[n:], limits)
+            for start in range(0, len(x), step) if len(floor) > 1 else []:
+                may = ~(bounds(x[start:start + step], floor, ceiling) > best[start:start + step, -1:].real)
+                may[np.arange(len(may)), own[start:start + step]] = False
+                more[start:start + step] = may.any(axis=1)
+        keep = ~np.isnan(best.imag)
+        offsets = np.append(0, np.cumsum(keep.sum(axis=1))).astype(np.int32)
+        found = best[keep]
         near = pa.StructArray.from_arrays(
-            [pa.array(distance[keep]), keys.take(pa.array(holder[other[keep]]))], ["distance", "key"])
-        return pa.table({"_key": keys.take(pa.array(own)), "near": pa.ListArray.from_arrays(pa.array(offsets), near)})
+            [pa.array(found.real), keys.take(pa.array(holder[found.imag.astype(np.int64)]))], ["distance", "key"])
+        return asked.select(["_place", "_bar", "_x", "_chunk"]).append_column("_more", pa.array(more)).append_column(
+            "near", pa.ListArray.from_arrays(pa.array(offsets), near))
+
+    return nearest_in_chunk
+
+
+def _elsewhere(low: np.ndarray, high: np.ndarray, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    bounds, matrix = _bounding(), _matrix()
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other chunks that may hold a neighbour as near as the last one found, or any while too few are found."""
+        width = low.shape[1]
+        step = max(1, 1_000_000 // (len(low) * width))
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("near"))
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            away = np.append(lists.flatten().field("distance").to_numpy(zero_copy_only=False), np.nan)
+            limit = np.where(sizes == most, away[np.cumsum(sizes) - 1], np.nan)
+            own = batch.column(batch.schema.get_field_index("_chunk")).to_numpy()
+            x = matrix(batch.column(batch.schema.get_field_index("_x")), width)
+            for start in range(0, len(x), step):
+                with np.errstate(all="ignore"):
+                    may = ~(bounds(x[start:start + step], low, high) > limit[start:start + step, None])
+                may[np.arange(len(may)), own[start:start + step]] = False
+                i, chunk = np.nonzero(may)
+                taken = batch.select(["_place", "_bar", "_x"]).take(pa.array(start + i))
+                yield pa.RecordBatch.from_arrays(
+                    [*taken.columns, pa.array(chunk), pa.array(limit[start + i])], ["_place", "_bar", "_x", "_chunk", "_limit"])
+
+    return reaching
+
+
+def _searched(places: DataFrame, asked: DataFrame, n_chunks: int, kernel: Callable[[pa.Table], pa.Table], made: T.StructType) -> DataFrame:
+    """What each place asked for finds in the chunk that it is sent to, in tasks of a bounded number of them."""
+    # one number for each chunk
+    sizes = {r["_chunk"]: r["count"] for r in asked.groupBy("_chunk").count().collect()}
+    parts = F.element_at(F.lit([-(-sizes.get(c, 0) // CHUNK) for c in range(max(1, n_chunks))]), F.col("_chunk").cast("int") + 1)
+    kind = asked.schema["_bar"].dataType
+    held = places.select("_chunk", parts.alias("_parts"), "_place", "_x", "_keys").filter("_parts > 0").select(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_place", "_x",
+        F.lit(None).cast(kind).alias("_bar"), F.lit(None).cast("double").alias("_limit"), "_keys")
+    sent = asked.select(
+        "_chunk", F.pmod(F.xxhash64("_place", "_bar"), parts).cast("int").alias("_part"), "_place", "_x", "_bar", "_limit",
+        F.lit(None).cast(places.schema["_keys"].dataType).alias("_keys"))
+    return held.unionByName(sent).groupBy("_chunk", "_part").applyInArrow(kernel, made)
 
-    return nearest_in_blocks
+
+def _least(column: str, k: int) -> Column:
+    """The first ``k`` of the lists of a group, each once."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k)
 
 
 def nearest(
     df: DataFrame, features: Sequence[str], key: str, k: int = 5, orders: int = ORDERS, block: int = BLOCK, seed: int = 42,
 ) -> DataFrame:
-    """``key`` and ``near``: up to ``k`` other rows as (distance, key), the nearest first.
+    """``key`` and ``near``: the ``k`` nearest other rows as (distance, key), the nearest first.
 
-    ``key`` is unique; distances are Euclidean and exact, ties go to the smaller key. Rows
-    without a feature are refused. Any number of features works.
+    Distances are Euclidean, and none nearer is left out; ties go to the smaller key. Rows
+    without a feature are refused. Any number of features works. ``key`` is unique; rows of equal key, or
+    without one, are no neighbours, and a repeated key has the nearest of all its rows. ``block`` rows are
+    compared at a time, ``seed`` draws the places that the tree of the chunks is made from: neither
+    changes the result, nor does ``orders``, which is no longer needed.
     """
     names = list(features)
     _require_numbers(df, names)
-    x = F.array(*[F.col(c).cast("double") for c in names])
-    rng, width = random.Random(seed), min(len(names), PROJECTIONS)
-    bits = _BITS // width
-    drawn = [[rng.gauss(0.0, 1.0) for _ in names] for _ in range(orders * width)]
-
-    def projected(weights: Sequence[float]) -> Column:
-        return F.aggregate(F.zip_with("_x", F.lit(list(weights)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-    rows = materialise(df.select(F.col(key).alias("_key"), x.alias("_x")).select(
-        "_key", "_x", F.array(*[projected(w) for w in drawn]).alias("_p")))
-    # two numbers for each projection
-    edges = rows.agg(*[f(F.col("_p")[i]).alias(f"{n}{i}") for i in range(len(drawn)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if edges["lo0"] is None:
-        return df.select(F.col(key), F.array().cast("array<struct<distance:double,key:string>>").alias("near")).limit(0)
-    # a chunk is a bounded number of whole blocks; rows at its edges also go to the chunk beside it
-    chunk = block * max(1, CHUNK // block)
+    width, most = len(names), k + 1
+    # adding 0.0 makes one zero of two
+    x = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in names])
+    rows = materialise(df.select(F.col(key).alias("_key"), x.alias("_x")))
     kind = rows.schema["_key"].dataType
-    made = T.StructType([T.StructField("_key", kind), T.StructField("near", T.ArrayType(T.StructType([
-        T.StructField("distance", T.DoubleType()), T.StructField("key", kind)])))])
-    found = []
-    for o in range(orders):
-        of_order = range(o * width, (o + 1) * width)
-        span = max(edges[f"hi{i}"] - edges[f"lo{i}"] for i in of_order) or 1.0
-        cells = [_cell(F.col("_p")[i], edges[f"lo{i}"], span, rng.random(), bits).alias(f"_c{i}") for i in of_order]
-        code = _interleaved([F.col(f"_c{i}") for i in of_order], bits).alias("_code")
-        coded = rows.select("_key", "_x", *cells).select("_key", "_x", code)
-        placed = sorted_runs(coded, ["_code", "_key"]).rows
-        home = F.floor(F.col(POS) / chunk)
-        chunks = F.array_distinct(F.array(home, F.floor((F.col(POS) - block) / chunk), F.floor((F.col(POS) + block) / chunk)))
-        dealt = placed.select("_key", "_x", POS, home.alias("_own"), F.explode(chunks).alias("_chunk")).select(
-            "_key", "_x", POS, "_chunk", (F.col("_own") == F.col("_chunk")).alias("_home")).filter("_chunk >= 0")
-        found.append(dealt.groupBy("_chunk").applyInArrow(_in_blocks(k, block), made))
-    # at most orders x k records for a row
-    joined = reduce(DataFrame.unionAll, found).groupBy("_key").agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
-    return joined.select(F.col("_key").alias(key), F.transform(best, lambda n: F.struct(
-        F.sqrt(n["distance"]).alias("distance"), n["key"].alias("key"))).alias("near"))
+    known = rows.filter(F.col("_key").isNotNull())
+    listed = T.StructType([T.StructField("_x", T.ArrayType(T.DoubleType())), T.StructField("_keys", T.ArrayType(kind))])
+    # the rows of a place are thinned out before they are shuffled, and once more where they meet
+    thinned = known.select("_x", F.array("_key").alias("_keys")).mapInArrow(_least_keys(width, most, False), listed)
+    met = thinned.withColumn("_hash", F.xxhash64("_x")).repartition("_hash").sortWithinPartitions("_hash", "_x").select("_x", "_keys")
+    places = materialise(met.mapInArrow(_least_keys(width, most, True), listed))
+    total = places.agg(F.count(F.lit(1)).alias("places"), F.sum(F.size("_keys")).alias("keys")).first()
+    if rows.isEmpty():
+        return df.select(F.col(key), F.array().cast("array<struct<distance:double,key:string>>").alias("near")).limit(0)
+    n_places, n_keys = total["places"], total["keys"] or 0
+    nodes = [[-1, 0.0, 0, -1]]
+    if n_keys > CHUNK:
+        # the tree only says which places share a chunk
+        drawn = F.pmod(F.xxhash64(F.lit(seed), "_x"), F.lit(n_places)) < min(CUT_FROM * (n_keys // CHUNK + 1), CUT_MOST // width)
+        points = places.filter(drawn).select("_x").toArrow().column("_x")
+        nodes, _ = _halving()(_matrix()(points, width), CUT_FROM)
+    cells = places.mapInArrow(_in_cells(nodes, width), T.StructType([*listed, T.StructField("_cell", T.LongType())]))
+    ordered = sorted_runs(cells, ["_cell", "_x"]).rows
+    # a few numbers for each leaf of the tree; a leaf is one chunk, a very full one several
+    leaves = {r["_cell"]: r for r in ordered.groupBy("_cell").agg(
+        F.min(POS).alias("start"), F.count(F.lit(1)).alias("places"), F.sum(F.size("_keys")).alias("keys")).collect()}
+    starts, sizes, cuts, before, n_chunks = [], [], [], [], 0
+    for cell in range(max(leaves, default=0) + 1):
+        r = leaves.get(cell)
+        starts.append(r["start"] if r else 0)
+        sizes.append(r["places"] if r else 1)
+        cuts.append(min(r["places"], -(-r["keys"] // (2 * CHUNK))) if r else 0)
+        before.append(n_chunks)
+        n_chunks += cuts[-1]
+    start, size, cut, first = [F.element_at(F.lit(v).cast("array<bigint>"), F.col("_cell").cast("int") + 1) for v in (starts, sizes, cuts, before)]
+    placed = ordered.withColumns({"_start": start, "_size": size, "_cut": cut, "_first": first}).select(
+        F.col(POS).alias("_place"), "_x", "_keys", F.expr(f"_first + ({POS} - _start) * _cut div _size").alias("_chunk"))
+    # one box for each chunk
+    boxes = placed.groupBy("_chunk").agg(
+        *[F.array(*[f(F.col("_x")[i]) for i in range(width)]).alias(n) for n, f in (("low", F.min), ("high", F.max))]).orderBy("_chunk").collect()
+    # a row finds its own key among those of its place, so one more is looked for; a key at several places
+    # may be met more often, and asks for itself
+    asked = placed.select("_place", F.lit(None).cast(kind).alias("_bar"), "_x", "_chunk")
+    repeated = materialise(known.groupBy("_key").count().filter("count > 1").select("_key"))
+    barred = not repeated.isEmpty()
+    if barred:
+        asking = known.join(repeated, "_key", "left_semi").distinct()
+        asked = asked.unionByName(asking.join(placed, "_x").select("_place", F.col("_key").alias("_bar"), "_x", "_chunk"))
+    asked = materialise(asked.withColumn("_limit", F.lit(None).cast("double")))
+    made = T.StructType([
+        T.StructField("_place", T.LongType()), T.StructField("_bar", kind), listed["_x"], T.StructField("_chunk", T.LongType()),
+        T.StructField("_more", T.BooleanType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("key", kind)])))])
+    low, high = (np.array([r[n] for r in boxes], float).reshape(len(boxes), width) for n in ("low", "high"))
+    found = materialise(_searched(placed, asked, n_chunks, _in_chunk(width, most, block, low, high), made))
+    if n_chunks > 1:
+        more = found.filter("_more")
+        others = more.mapInArrow(_elsewhere(low, high, most), asked.select("_place", "_bar", "_x", "_chunk", "_limit").schema)
+        there = _searched(placed, others, n_chunks, _in_chunk(width, most, block, low[:0], high[:0]), made)
+        found = materialise(found.filter(~F.col("_more")).select("_bar", "_x", "near").unionByName(
+            more.unionByName(there).groupBy("_place", "_bar", "_x").agg(_least("near", most).alias("near")).select("_bar", "_x", "near")))
+
+    def answer(keys: DataFrame, near: Column) -> DataFrame:
+        return keys.select(F.col("_key").alias(key), F.transform(near, lambda n: F.struct(
+            F.sqrt(n["distance"]).alias("distance"), n["key"].alias("key"))).alias("near"))
+
+    single = known.join(repeated, "_key", "left_anti") if barred else known
+    of_place = found.filter(F.col("_bar").isNull()).select("_x", "near")
+    others = F.filter("near", lambda n: n["key"] != F.col("_key"))
+    # a bounded number of values is broadcast
+    answers = answer(join_small(single, of_place, "_x", limit=min(SMALL_ROWS, 4_000_000 // (width + 4 * most))), F.slice(others, 1, k))
+    if barred:
+        of_key = found.filter(F.col("_bar").isNotNull()).groupBy(F.col("_bar").alias("_key")).agg(_least("near", k).alias("near"))
+        answers = answers.unionByName(answer(of_key, F.col("near")))
+    unknown = rows.filter(F.col("_key").isNull()).select("_key").limit(1)
+    return answers.unionByName(answer(unknown, F.array().cast(made["near"].dataType)))
 
 
 def _closer(held: list, width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

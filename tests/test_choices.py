@@ -244,3 +244,35 @@ def test_neighbours_do_not_depend_on_the_cut_into_chunks(spark, monkeypatch):
     assert sorted(map(str, whole)) == sorted(map(str, cut)) and len(cut) == 289
     seen = N.neighbour_recall(spark.createDataFrame([(i, float(i)) for i in range(40)], "id long, a double"), ["a"], "id", queries=7)
     assert seen.first().asDict() == {"n_queries": 7, "recall": 1.0}
+
+
+def nearest_by_pairs(rows, k):
+    at = {}
+    for key, *point in rows:
+        at.setdefault(key, set()).add(tuple(point))
+    found = {}
+    for key, own in at.items():
+        away = {(sum((a - b) ** 2 for a, b in zip(x, y)), other) for x in own for other, points in at.items()
+                if None not in (key, other) and other != key for y in points}
+        found[key] = [(math.sqrt(d), other) for d, other in sorted(away)[:k]]
+    return found
+
+
+@pytest.mark.parametrize("rows", [
+    # many features of unlike spread, so no order of the plane keeps near rows together
+    lambda draw: [(i, *[draw.gauss(0, 1 + j) for j in range(12)]) for i in range(600)],
+    # one place of most rows, ties between places, keys at several places and without a key
+    lambda draw: [(None if i % 90 == 7 else i % 500, *([0.0, -0.0] if i % 3 else [draw.randrange(9) / 1.0, float(draw.randrange(9))]))
+                  for i in range(560)],
+])
+def test_no_nearer_row_is_left_out(spark, monkeypatch, rows):
+    rows = rows(random.Random(3))
+    names = [f"f{j}" for j in range(len(rows[0]) - 1)]
+    monkeypatch.setattr(N, "CHUNK", 64)
+    df = spark.createDataFrame(rows, ", ".join(["id long", *[f"{n} double" for n in names]]))
+    found = {r["id"]: [(n["distance"], n["key"]) for n in r["near"]] for r in N.nearest(df, names, "id", block=16).collect()}
+    wanted = nearest_by_pairs(rows, 5)
+    assert found.keys() == wanted.keys()
+    for key, near in wanted.items():
+        assert [n[1] for n in found[key]] == [n[1] for n in near]
+        assert [n[0] for n in found[key]] == pytest.approx([n[0] for n in near], rel=1e-12)
